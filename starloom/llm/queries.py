@@ -8,6 +8,8 @@ import importlib
 ENTRIES = [
     ("sharding", "op10_sharding", None),
     ("mixing", "op6_mixing", "OP6_SQL"),
+    ("secrets", "op3_secrets", None),
+    ("quality_rules", "op9_quality_rules", None),
 ]
 
 
