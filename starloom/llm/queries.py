@@ -9,6 +9,7 @@ ENTRIES = [
     ("sharding", "op10_sharding", None),
     ("mixing", "op6_mixing", "OP6_SQL"),
     ("secrets", "op3_secrets", None),
+    ("neardup", "op4_minhash_near_dedup", None),
     ("quality_rules", "op9_quality_rules", None),
 ]
 
