@@ -10,6 +10,7 @@ ENTRIES = [
     ("mixing", "op6_mixing", "OP6_SQL"),
     ("secrets", "op3_secrets", None),
     ("neardup", "op4_minhash_near_dedup", None),
+    ("decontamination", "op5_decontamination", None),
     ("quality_rules", "op9_quality_rules", None),
 ]
 

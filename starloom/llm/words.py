@@ -21,6 +21,10 @@ SPACED[[0x20, *range(9, 14)]] = True
 PUNCTUATED = np.ones(256, bool)
 PUNCTUATED[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
+#: For words of a-z and everything beyond ASCII.
+LETTERS = np.ones(256, bool)
+LETTERS[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -51,6 +55,7 @@ class Words(NamedTuple):
     end: np.ndarray
     data: np.ndarray  # the slice's bytes as they were
     offsets: np.ndarray  # of texts in data
+    run: np.ndarray  # running sums behind the hashes
 
 
 def slices(texts: pa.Array, separators: np.ndarray, lower: bool = True, most: int = 1 << 20) -> Iterator[Words]:
@@ -82,5 +87,12 @@ def slices(texts: pa.Array, separators: np.ndarray, lower: bool = True, most: in
         run = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[low] * p[: len(data)], out=run[1:], dtype=np.uint64)
         hashes = mix((run[end] - run[start]) * q[start] + (end - start).astype(np.uint64))
-        yield Words(at, np.searchsorted(start, o), hashes, start, end, data, o)
+        yield Words(at, np.searchsorted(start, o), hashes, start, end, data, o, run)
         at = to
+
+
+def prefixes(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(indices of words of at least k bytes, hashes of their first k bytes), apart from the hashes of words."""
+    long = np.flatnonzero(w.end - w.start >= k)
+    s = w.start[long]
+    return long, mix((w.run[s + k] - w.run[s]) * _power(len(w.data) + 1)[1][s] + np.uint64(1 << 40 | k))
