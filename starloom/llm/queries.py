@@ -7,6 +7,7 @@ import importlib
 #: (module, query, name of its SQL or None)
 ENTRIES = [
     ("toxicity", "op1_toxicity", None),
+    ("token_store", "op8_token_store", None),
     ("sharding", "op10_sharding", None),
     ("mixing", "op6_mixing", "OP6_SQL"),
     ("secrets", "op3_secrets", None),
