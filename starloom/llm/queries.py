@@ -9,6 +9,7 @@ ENTRIES = [
     ("toxicity", "op1_toxicity", None),
     ("token_store", "op8_token_store", None),
     ("line_dedup", "op2_line_dedup", "OP2_SQL"),
+    ("quality_model", "op7_quality_model", None),
     ("sharding", "op10_sharding", None),
     ("mixing", "op6_mixing", "OP6_SQL"),
     ("secrets", "op3_secrets", None),
