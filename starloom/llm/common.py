@@ -82,6 +82,18 @@ def occupied(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column,
     return df.withColumn("_slot", slot(key)).join(F.broadcast(marks), "_slot", "left_semi").drop("_slot")
 
 
+def without(df: DataFrame, key: str, gone: DataFrame, gone_key: str, slots: int = 1 << 20) -> DataFrame:
+    """Rows of df whose key is not among ``gone``, a stored table; null keys stay.
+
+    Rows whose hash slot holds no such key pass as they are; only the others
+    are shuffled for the exact join. At most ``slots`` integers are broadcast.
+    """
+    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(slots)).cast("int")
+    marks = gone.select(slot(F.col(gone_key)).alias("_slot")).distinct()
+    clear = df.withColumn("_slot", slot(F.col(key))).join(F.broadcast(marks), "_slot", "left_anti").drop("_slot")
+    return clear.unionAll(occupied(df, F.col(key), gone, F.col(gone_key), slots).join(gone, F.col(key) == F.col(gone_key), "left_anti"))
+
+
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """(id, component_id) of every id in links(a, b): component_id is the smallest id reachable.
 

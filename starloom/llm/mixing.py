@@ -48,30 +48,60 @@ def targets(scratch: Scratch, sizes: DataFrame, pattern=(5, 2, 1), share: float
     return t.select("source", "source_size", "weight", target.alias("target"))
 
 
-def thresholds(scratch: Scratch, rows: DataFrame, budgets: DataFrame, levels: int = LEVELS, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
-    """The first histogram (source, bucket) and (source, threshold): rows of a source with hash < threshold hold at most its budget, and all that whole hash values allow.
+def thresholds(scratch: Scratch, rows: DataFrame, budgets: DataFrame, levels: int = LEVELS, bits: int = BITS) -> DataFrame:
+    """(source, threshold): rows of a source with hash < threshold hold at most its budget, and all that whole hash values allow.
 
     rows(source, size, hash), hash below 2^(levels*bits); budgets(source, budget).
-    Each later level reads only the rows of the bucket that the threshold
-    falls in, joined by source and bucket, so no join is dealt by source alone.
+    Sources that fit whole have no row. Each later level reads only the rows
+    of the bucket that the threshold falls in, joined by source and bucket, so
+    no join is dealt by source alone.
     """
     part = lambda k: F.shiftrightunsigned("hash", bits * (levels - k)).alias("bucket")
-    first = scratch.keep(rows.groupBy("source", part(1)).agg(F.sum("size").alias("size")), "histogram")
-    hist, rest, found = first, budgets, None
+    hist, rest, edge = rows.groupBy("source", part(1)).agg(F.sum("size").alias("size")), budgets, None
     for k in range(1, levels + 1):
         r = rest.withColumnRenamed("source", "_s")
         run = hist.join(r, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_sum", F.sum("size").over(Window.partitionBy("source").orderBy("bucket")))
         over = run.where("_sum > budget").groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("budget") - F.col("_sum") + F.col("size")).alias("budget")), "bucket").alias("_e"))
         edge = scratch.keep(over.select("source", F.col("_e.bucket").alias("bucket"), F.col("_e.budget").alias("budget")), "edge")
-        found = edge
         if k < levels:
             e = edge.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"))
             near = rows.withColumn("bucket", part(k)).join(e, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")))
             hist, rest = near.groupBy("source", part(k + 1)).agg(F.sum("size").alias("size")), edge.select("source", "budget")
-    return first, found.select("source", F.col("bucket").alias("threshold"))
+    return edge.select("source", F.col("bucket").alias("threshold"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", pattern=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+def row_hash(key: str):
+    """The first bits of the MD5 of the key's text."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, LEVELS * BITS // 4), 16, 10).cast("long")
+
+
+def plan(scratch: Scratch, rows: DataFrame, **how) -> DataFrame:
+    """(source, source_size, target, whole, threshold) for rows(source, size, hash): whole copies of each row, and one more of those under the threshold."""
+    bucket = F.shiftrightunsigned("hash", BITS * (LEVELS - 1))
+    sizes = rows.groupBy("source", bucket.alias("_b")).agg(F.sum("size").alias("_n")).groupBy("source").agg(F.sum("_n").alias("source_size"))
+    goal = targets(scratch, sizes, **how)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    goal = scratch.keep(goal.withColumn("whole", whole.cast("long")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "goal")
+    limit = thresholds(scratch, rows, goal.where("budget > 0").select("source", "budget")).withColumnRenamed("source", "_s")
+    last = F.coalesce("threshold", F.when(F.col("budget") > 0, F.lit(1 << (LEVELS * BITS))).otherwise(0))
+    out = goal.join(limit, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "source_size", "target", "whole", last.alias("threshold"))
+    return scratch.keep(out, "plan")
+
+
+def with_copies(df: DataFrame, made: DataFrame, source: str = "source", hash_: str = "_mix_hash", small: int = 50_000) -> DataFrame:
+    """df plus source_size, target and copies. The plan is broadcast up to ``small`` sources; beyond, it is dealt by source and hash bucket."""
+    p = made.withColumnRenamed("source", "_ps")
+    on = F.col(source).eqNullSafe(F.col("_ps"))
+    if made.count() <= small:
+        j = df.join(F.broadcast(p), on)
+    else:
+        p = p.withColumn("_pb", F.explode(F.sequence(F.lit(0), F.lit((1 << BITS) - 1))))
+        j = df.join(p, on & (F.shiftrightunsigned(hash_, BITS * (LEVELS - 1)) == F.col("_pb")))
+    copies = F.col("whole") + F.when(F.col(hash_) < F.col("threshold"), 1).otherwise(0)
+    return j.select(*df.columns, "source_size", "target", copies.cast("long").alias("copies"))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """Rows (key, source, size, source_size, target, copies, taken) of all docs.
 
     copies says how often the mix repeats a row: whole copies of the source
@@ -80,22 +110,18 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     the same key share a hash, so ties are taken or left together. An empty
     table gives no rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
-    hash_ = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, LEVELS * BITS // 4), 16, 10).cast("long")
-    rows = scratch.keep(docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), word_count(text).alias("size"), hash_.alias("hash")), "rows")
-    bucket = F.shiftrightunsigned("hash", BITS * (LEVELS - 1))
-    sizes = rows.groupBy("source", bucket.alias("_b")).agg(F.sum("size").alias("_n")).groupBy("source").agg(F.sum("_n").alias("source_size"))
-    goal = targets(scratch, sizes, pattern, share, most)
-    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(most)))).otherwise(0)
-    goal = scratch.keep(goal.withColumn("_whole", whole.cast("long")).withColumn("budget", F.col("target") - F.col("_whole") * F.col("source_size")), "goal")
-    first, limit = thresholds(scratch, rows, goal.where("_whole < 2").select("source", "budget"))
-    lim = limit.select(F.col("source").alias("_s2"), "threshold")
-    plan = first.select("source", "bucket").join(goal.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-    plan = plan.join(lim, F.col("source").eqNullSafe(F.col("_s2")), "left").select(F.col("_s").alias("_ps"), F.col("bucket").alias("_pb"), "source_size", "target", "_whole", F.coalesce("threshold", F.when(F.col("budget") > 0, F.lit(1 << (LEVELS * BITS))).otherwise(0)).alias("_t"))
-    j = rows.withColumn("_b", bucket).join(plan, F.col("source").eqNullSafe(F.col("_ps")) & (F.col("_b") == F.col("_pb")))
-    copies = (F.col("_whole") + F.when(F.col("hash") < F.col("_t"), 1).otherwise(0)).cast("long")
-    return j.select(F.col("_key").alias(key), "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    scratch = Scratch(docs.sparkSession, "mixing")
+    rows = scratch.keep(docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), word_count(text).alias("size"), row_hash(key).alias("hash")), "rows")
+    out = with_copies(rows, plan(scratch, rows, **how), hash_="hash")
+    return out.select(F.col("_key").alias(key), "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def repeat(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The mix itself: each row of docs as often as ``mix`` says, with its columns."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    rows = scratch.keep(docs.select(F.col(source).alias("source"), word_count(text).alias("size"), row_hash(key).alias("hash")), "rows")
+    out = with_copies(docs.withColumn("_mix_hash", row_hash(key)), plan(scratch, rows, **how), source)
+    return out.where("copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

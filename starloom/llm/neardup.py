@@ -21,18 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.common import Scratch, components, occupied, table
+from starloom.llm.common import Scratch, components, occupied, table, without
 from starloom.llm.words import SPACED, mix, slices
 
-#: 32 bands of 6 minima find a pair of similarity 0.85 but for 3 in 10 million, and one of 0.8 but for 6 in 100,000.
-BANDS, ROWS = 32, 6
+#: Minima of a signature. 32 bands of 6 miss a pair of similarity 0.85 once in 4 million, 38 bands of 5 one of 0.8 as rarely.
+MINIMA = 192
 SIGNATURE, BATCH, BLOCK = 128, 32, 256
 
 _rng = np.random.default_rng(7)
-_A = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
-_BAND = _rng.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
-_SALT = _rng.integers(1, 2**63, BANDS, dtype=np.uint64)
+_A = _rng.integers(0, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32)
+_BAND = _rng.integers(1, 2**63, MINIMA, dtype=np.uint64) | np.uint64(1)
+_SALT = _rng.integers(1, 2**63, MINIMA, dtype=np.uint64)
 _STEP = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -57,7 +57,7 @@ def _sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 def _minima(x: np.ndarray) -> np.ndarray:
     x = (x >> np.uint64(32)).astype(np.uint32)
-    out = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+    out = np.full(MINIMA, 2**32 - 1, np.uint32)
     for at in range(0, len(x), 4096):
         np.minimum(out, (x[None, at : at + 4096] * _A[:, None] + _B[:, None]).min(axis=1), out=out)
     return out
@@ -66,21 +66,22 @@ def _minima(x: np.ndarray) -> np.ndarray:
 SIGNED = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, sig binary"
 
 
-def _signer(width: int) -> Callable:
+def _signer(width: int, bands: int, rows: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
         for batch in batches:
             n = batch.num_rows
             size, d1, d2 = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            least = np.zeros((n, BANDS * ROWS), np.uint32)
+            least = np.zeros((n, MINIMA), np.uint32)
             for i, s in enumerate(_sets(batch.column(1), width)):
                 size[i] = len(s)
                 if len(s):
                     d1[i], d2[i] = s.sum(), mix(s).sum()
                     least[i] = _minima(s)
             full = size > 0
-            keys = mix((least.reshape(n, BANDS, ROWS).astype(np.uint64) * _BAND).sum(axis=2, dtype=np.uint64) + _SALT).view(np.int64)
-            ends = np.concatenate([[0], np.cumsum(np.where(full, BANDS, 0))]).astype(np.int32)
+            some = (least[:, : bands * rows].astype(np.uint64) * _BAND[: bands * rows]).reshape(n, bands, rows)
+            keys = mix(some.sum(axis=2, dtype=np.uint64) + _SALT[:bands]).view(np.int64)
+            ends = np.concatenate([[0], np.cumsum(np.where(full, bands, 0))]).astype(np.int32)
             short = ((least[:, :SIGNATURE] * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
             sig = [short[i].tobytes() if full[i] else b"" for i in range(n)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[full].reshape(-1))), pa.array(sig, pa.binary())], schema=schema)
@@ -174,7 +175,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     scratch = Scratch(spark, "neardup")
     needed = [(n, least_matches(n, percent / 100, miss)) for n in range(BATCH, SIGNATURE + 1, BATCH)]
     body = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sigs = scratch.keep(body.mapInArrow(_signer(width), SIGNED), "signatures")
+    bands, rows = (32, 6) if percent >= 85 else (38, 5)
+    sigs = scratch.keep(body.mapInArrow(_signer(width, bands, rows), SIGNED), "signatures")
 
     have = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = have.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
@@ -206,11 +208,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         comp = scratch.keep(components(scratch, copies.unionAll(links)), "components")
         placed = buckets.select("band", "id").join(comp, "id", "left").select("band", "id", F.coalesce("component_id", "id").alias("comp"))
         mixed = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high")
-        rows = placed.join(mixed.select("band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "band").join(reps.select("id", "n_shingles", "sig"), "id")
+        both = placed.join(mixed.select("band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "band").join(reps.select("id", "n_shingles", "sig"), "id")
         own = F.pmod(F.xxhash64("id", "band"), F.col("blocks")).cast("int")
-        rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "comp", "n_shingles", "sig")
-        found = rows.groupBy("band", "i", "j").applyInArrow(_block(needed, percent, most), "a bigint, b bigint").distinct()
+        both = both.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        both = both.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "comp", "n_shingles", "sig")
+        found = both.groupBy("band", "i", "j").applyInArrow(_block(needed, percent, most), "a bigint, b bigint").distinct()
         fresh = scratch.keep(found.join(tested, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
             break
@@ -223,5 +225,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """docs without the rows that ``near_duplicates`` doesn't keep; only rows that may go are shuffled."""
+    gone = near_duplicates(docs, key, text, **how).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return without(docs, key, Scratch(docs.sparkSession, "kept").keep(gone, "gone"), "_gone")
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
