@@ -1,0 +1,40 @@
+"""Aggregations over catalogs: counts per tile, completeness, intervals, robust scores."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def robust_score(df: DataFrame, weights: dict[str, float], out: str = "score") -> DataFrame:
+    """df plus the weighted sum of (x - median) / interquartile range; a constant column adds null."""
+    q = df.agg(*[F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(f"_{c}") for c in weights])
+    term = lambda c, w: F.lit(w) * (F.col(c) - F.col(f"_{c}")[1]) / F.nullif(F.col(f"_{c}")[2] - F.col(f"_{c}")[0], F.lit(0.0))
+    total = sum((term(c, w) for c, w in weights.items()), F.lit(0.0))
+    return df.join(F.broadcast(q)).withColumn(out, total).select(*df.columns, out)  # one row of quantiles
+
+
+def tile_counts(df: DataFrame, tile: Sequence[str], flags: Sequence[str]) -> DataFrame:
+    """Rows and rows of each boolean cut per tile, in one scan."""
+    return df.groupBy(*tile).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f)).alias(f"n_{f}") for f in flags])
+
+
+def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
+    """Wilson interval of k out of n; null when n is 0."""
+    n = F.nullif(n.cast("double"), F.lit(0.0))
+    p = k / n
+    mid, half, den = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)), 1 + z * z / n
+    return F.greatest((mid - half) / den, F.lit(0.0)), F.least((mid + half) / den, F.lit(1.0))
+
+
+def completeness(df: DataFrame, by: Sequence[str], recovered: Column, value: str) -> DataFrame:
+    """n, n_recovered, missing, mean and median of a value, completeness and its Wilson interval per cell.
+
+    A missing outcome counts as not recovered and is reported in n_null.
+    """
+    hit = F.count_if(F.coalesce(recovered, F.lit(False)))
+    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), hit.alias("n_recovered"), F.count_if(recovered.isNull()).alias("n_null"), F.avg(value).alias("mean_value"), F.percentile(value, F.lit(0.5)).alias("median_value"))
+    low, high = wilson(F.col("n_recovered"), F.col("n"))
+    return out.withColumn("completeness", F.col("n_recovered") / F.col("n")).withColumn("ci_low", low).withColumn("ci_high", high)
