@@ -6,9 +6,10 @@
    pruned batch by batch of the signature, as soon as the posterior probability
    of reaching the threshold falls below ``miss``; the rest are verified on
    full sets.
-3. Buckets that still hold several components are compared in blocks, each
-   member with the members of other components, until no untested pair is left.
-   A pair inside one component decides nothing, so it is never made.
+3. Members of buckets that still hold several components are compared in blocks,
+   each with the members of other components, first by signature and then on
+   full sets, inside the task. Only the links that join two components come out:
+   pairs are never listed, and none inside one component is looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from starloom.llm.words import SPACED, mix, slices
 
 #: Minima of a signature. 32 bands of 6 miss a pair of similarity 0.85 once in 4 million, 38 bands of 5 one of 0.8 as rarely.
 MINIMA = 192
-SIGNATURE, BATCH, BLOCK = 128, 32, 256
+#: BLOCK is in shingles.
+SIGNATURE, BATCH, BLOCK = 128, 32, 500_000
 
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -129,34 +131,36 @@ def _prune(needed: list[tuple[int, int]]) -> Callable:
     return run
 
 
-def _block(needed: list[tuple[int, int]], percent: int, most: int) -> Callable:
-    """Compares two blocks of a bucket: members of different components, the ``most`` likest of each other component for each member."""
+def _block(needed: list[tuple[int, int]], percent: int) -> Callable:
+    """Compares two blocks of a group: members of different components, likest first; a link joins their components at once."""
 
     def run(t: pa.Table) -> pa.Table:
         left = t.column("side").to_numpy() == 0
-        ids, comp, size = (t.column(c).to_numpy() for c in ("id", "comp", "n_shingles"))
+        ids, size = t.column("id").to_numpy(), t.column("n_shingles").to_numpy()
+        root = np.unique(t.column("comp").to_numpy(), return_inverse=True)[1]
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+        lists = t.column("shingles").combine_chunks()
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
         i, j = np.flatnonzero(left), np.flatnonzero(~left)
-        if not len(j):  # a block with itself
-            j = i
-        out_a, out_b = [], []
-        for x in i:
-            k = j[(comp[j] != comp[x]) & (100 * np.minimum(size[j], size[x]) >= percent * np.maximum(size[j], size[x]))]
-            same, at = np.zeros(len(k), np.int64), 0
-            for n, m in needed:
-                same += (sig[k, at:n] == sig[x, at:n]).sum(axis=1)
-                keep = same >= m
-                k, same, at = k[keep], same[keep], n
-            if most and len(k):
-                order = np.lexsort((ids[k], -same, comp[k]))
-                k = k[order]
-                head = np.flatnonzero(np.r_[True, comp[k][1:] != comp[k][:-1]])
-                k = k[np.arange(len(k)) - np.repeat(head, np.diff(np.r_[head, len(k)])) < most]
-            out_a.append(np.minimum(ids[k], ids[x]))
-            out_b.append(np.maximum(ids[k], ids[x]))
-        a = np.concatenate(out_a) if out_a else ids[:0]
-        b = np.concatenate(out_b) if out_b else ids[:0]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        same_block = not len(j)
+        links: list[tuple[int, int]] = []
+        for n, x in enumerate(i):
+            k = i[n + 1 :] if same_block else j
+            k = k[(root[k] != root[x]) & (100 * np.minimum(size[k], size[x]) >= percent * np.maximum(size[k], size[x]))]
+            same, done = np.zeros(len(k), np.int64), 0
+            for m, least in needed:
+                same += (sig[k, done:m] == sig[x, done:m]).sum(axis=1)
+                keep = same >= least
+                k, same, done = k[keep], same[keep], m
+            own = flat[at[x] : at[x + 1]]
+            for y in k[np.argsort(-same, kind="stable")]:
+                if root[y] != root[x] and len(own):
+                    other = flat[at[y] : at[y + 1]]
+                    common = int((own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other).sum())
+                    if 100 * common >= percent * (len(own) + len(other) - common):
+                        links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                        root[root == root[y]] = root[x]
+        return pa.table({"a": pa.array([int(a) for a, _ in links], pa.int64()), "b": pa.array([int(b) for _, b in links], pa.int64())})
 
     return run
 
@@ -175,8 +179,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     scratch = Scratch(spark, "neardup")
     needed = [(n, least_matches(n, percent / 100, miss)) for n in range(BATCH, SIGNATURE + 1, BATCH)]
     body = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    bands, rows = (32, 6) if percent >= 85 else (38, 5)
-    sigs = scratch.keep(body.mapInArrow(_signer(width, bands, rows), SIGNED), "signatures")
+    bands, per_band = (32, 6) if percent >= 85 else (38, 5)
+    sigs = scratch.keep(body.mapInArrow(_signer(width, bands, per_band), SIGNED), "signatures")
 
     have = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = have.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
@@ -188,36 +192,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     shared = flat.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
     buckets = scratch.keep(flat.join(shared.select("band", "low"), "band"), "buckets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-        sets = scratch.keep(occupied(body, F.col("doc_id"), ids, F.col("id")).mapInArrow(_lister(width), "id bigint, shingles array<bigint>"), "sets")
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        links = both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
-        links = scratch.keep(links, "links")
-        scratch.drop(sets)
-        return links
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = occupied(body, F.col("doc_id"), ids, F.col("id"))
+        return scratch.keep(wanted.mapInArrow(_lister(width), "id bigint, shingles array<bigint>"), "sets")
 
     one = lambda c, s: reps.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(s))
     star = buckets.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     near = star.join(one("a", "sa"), "a").join(one("b", "sb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    tested = scratch.keep(near.select("a", "b", "sa", "sb").mapInArrow(_prune(needed), "a bigint, b bigint").distinct(), "pairs")
-    links = verified(tested)
-
-    for most in (2, 0):  # the second time, every pair that is left
-        comp = scratch.keep(components(scratch, copies.unionAll(links)), "components")
-        placed = buckets.select("band", "id").join(comp, "id", "left").select("band", "id", F.coalesce("component_id", "id").alias("comp"))
-        mixed = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high")
-        both = placed.join(mixed.select("band", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "band").join(reps.select("id", "n_shingles", "sig"), "id")
-        own = F.pmod(F.xxhash64("id", "band"), F.col("blocks")).cast("int")
-        both = both.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        both = both.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "comp", "n_shingles", "sig")
-        found = both.groupBy("band", "i", "j").applyInArrow(_block(needed, percent, most), "a bigint, b bigint").distinct()
-        fresh = scratch.keep(found.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            break
-        links = scratch.keep(links.unionAll(verified(fresh)), "links")
-        tested = tested.unionAll(fresh)
+    pairs = scratch.keep(near.select("a", "b", "sa", "sb").mapInArrow(_prune(needed), "a bigint, b bigint").distinct(), "pairs")
+    sets = sets_of(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    links = scratch.keep(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct(), "links")
+    scratch.drop(sets)
+
+    comp = scratch.keep(components(scratch, copies.unionAll(links)), "components")
+    placed = buckets.select("band", "low", "id").join(comp, "id", "left").select("band", "low", "id", F.coalesce("component_id", "id").alias("comp"))
+    mixed = placed.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("band")
+    open_ = placed.join(mixed, "band")
+    group = scratch.keep(components(scratch, open_.select(F.col("low").alias("a"), F.col("id").alias("b"))), "groups")
+    member = group.select("id", F.col("component_id").alias("grp")).join(comp, "id", "left").select("id", "grp", F.coalesce("component_id", "id").alias("comp"))
+    member = scratch.keep(member.join(reps.select("id", "n_shingles", "sig"), "id"), "members")
+    sets = sets_of(member)
+    blocks = member.groupBy("grp").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
+    rows = member.join(blocks, "grp").join(sets, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "comp", "n_shingles", "sig", "shingles")
+    more = scratch.keep(rows.groupBy("grp", "i", "j").applyInArrow(_block(needed, percent), "a bigint, b bigint").distinct(), "links")
+    links = links.unionAll(more)
 
     comp = scratch.keep(components(scratch, copies.unionAll(links)), "components")
     out = sigs.select("doc_id", "n_shingles").join(comp, F.col("doc_id") == F.col("id"), "left")
