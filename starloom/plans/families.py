@@ -1,3 +1,3 @@
 """Importing this module registers every family of queries."""
 
-from starloom.plans import columns  # noqa: F401
+from starloom.plans import columns, relations  # noqa: F401

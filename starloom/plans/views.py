@@ -23,11 +23,11 @@ def sky(df: DataFrame, key: str) -> DataFrame:
 
 
 def sql_ra(key: str) -> str:
-    return f"(({key}::BIGINT * 137507) % 360000) / 1000.0::DOUBLE"
+    return f"((({key})::BIGINT * 137507) % 360000) / 1000.0::DOUBLE"
 
 
 def sql_dec(key: str) -> str:
-    return f"((({key}::BIGINT * 61803) % 50000) / 1000.0::DOUBLE - 18.0::DOUBLE)"
+    return f"(((({key})::BIGINT * 61803) % 50000) / 1000.0::DOUBLE - 18.0::DOUBLE)"
 
 
 def sql_uniform(key: str, seed: int | str) -> str:
