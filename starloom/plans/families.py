@@ -1,3 +1,3 @@
 """Importing this module registers every family of queries."""
 
-from starloom.plans import aggregates, columns, evaluation, relations  # noqa: F401
+from starloom.plans import aggregates, columns, evaluation, pipelines, relations  # noqa: F401

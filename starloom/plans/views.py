@@ -32,3 +32,16 @@ def sql_dec(key: str) -> str:
 
 def sql_uniform(key: str, seed: int | str) -> str:
     return f"(('0x' || substr(sha256({key}::VARCHAR || '_{seed}'), 1, 8))::UBIGINT / 4294967296.0::DOUBLE)"
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one in local mode."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/starloom-{uuid.uuid4().hex}"
