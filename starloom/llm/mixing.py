@@ -89,16 +89,16 @@ def plan(scratch: Scratch, rows: DataFrame, **how) -> DataFrame:
 
 
 def with_copies(df: DataFrame, made: DataFrame, source: str = "source", hash_: str = "_mix_hash", small: int = 50_000) -> DataFrame:
-    """df plus source_size, target and copies. The plan is broadcast up to ``small`` sources; beyond, it is dealt by source and hash bucket."""
-    p = made.withColumnRenamed("source", "_ps")
-    on = F.col(source).eqNullSafe(F.col("_ps"))
+    """df plus _mix: a struct of source_size, target and copies. The plan is broadcast up to ``small`` sources; beyond, it is dealt by source and hash bucket."""
+    p = made.select(F.col("source").alias("_mix_source"), F.struct("source_size", "target", "whole", "threshold").alias("_mix_plan"))
+    on = F.col(source).eqNullSafe(F.col("_mix_source"))
     if made.count() <= small:
         j = df.join(F.broadcast(p), on)
     else:
-        p = p.withColumn("_pb", F.explode(F.sequence(F.lit(0), F.lit((1 << BITS) - 1))))
-        j = df.join(p, on & (F.shiftrightunsigned(hash_, BITS * (LEVELS - 1)) == F.col("_pb")))
-    copies = F.col("whole") + F.when(F.col(hash_) < F.col("threshold"), 1).otherwise(0)
-    return j.select(*df.columns, "source_size", "target", copies.cast("long").alias("copies"))
+        p = p.withColumn("_mix_bucket", F.explode(F.sequence(F.lit(0), F.lit((1 << BITS) - 1))))
+        j = df.join(p, on & (F.shiftrightunsigned(hash_, BITS * (LEVELS - 1)) == F.col("_mix_bucket")))
+    copies = F.col("_mix_plan.whole") + F.when(F.col(hash_) < F.col("_mix_plan.threshold"), 1).otherwise(0)
+    return j.select(*df.columns, F.struct("_mix_plan.source_size", "_mix_plan.target", copies.cast("long").alias("copies")).alias("_mix"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
@@ -113,15 +113,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = scratch.keep(docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), word_count(text).alias("size"), row_hash(key).alias("hash")), "rows")
     out = with_copies(rows, plan(scratch, rows, **how), hash_="hash")
-    return out.select(F.col("_key").alias(key), "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select(F.col("_key").alias(key), "source", "size", "_mix.*", (F.col("size") * F.col("_mix.copies")).alias("taken"))
 
 
 def repeat(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The mix itself: each row of docs as often as ``mix`` says, with its columns."""
+    """The mix itself: each row of docs as often as ``mix`` says, with its columns. Names that begin with _mix are taken."""
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = scratch.keep(docs.select(F.col(source).alias("source"), word_count(text).alias("size"), row_hash(key).alias("hash")), "rows")
     out = with_copies(docs.withColumn("_mix_hash", row_hash(key)), plan(scratch, rows, **how), source)
-    return out.where("copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    return out.where("_mix.copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_mix.copies"))).alias("_mix_copy")).drop("_mix_copy")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,7 +140,7 @@ def _block(needed: list[tuple[int, int]], percent: int) -> Callable:
         root = np.unique(t.column("comp").to_numpy(), return_inverse=True)[1]
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
         lists = t.column("shingles").combine_chunks()
-        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)  # sorted as unsigned numbers
         i, j = np.flatnonzero(left), np.flatnonzero(~left)
         same_block = not len(j)
         links: list[tuple[int, int]] = []

@@ -47,7 +47,7 @@ def rebalance(owner: list[int], sizes: dict[int, int], shards: int, tolerance: f
     moving = []
     for s in sorted(range(len(owner)), key=lambda s: (-sizes.get(s, 0), s)):
         o = owner[s]
-        if o >= shards or load[o] - sizes.get(s, 0) >= goal and load[o] > goal * (1 + tolerance):
+        if o >= shards or load[o] > goal * (1 + tolerance) and load[o] - goal > sizes.get(s, 0) / 2:
             moving.append(s)
             load[o] -= sizes.get(s, 0)
     new = list(owner)
