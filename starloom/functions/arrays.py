@@ -53,7 +53,8 @@ def robust_norm(a: C, outer: Sequence[int], clip: float = 10.0) -> Column:
     """(x - median) / (1.4826 MAD) of the outer pixels, clipped; null where the MAD is 0."""
     o = pick(a, outer)
     m, s = median(o), mad(o) * 1.4826
-    return F.transform(col(a), lambda x: F.greatest(F.least((x.cast("double") - m) / F.nullif(s, F.lit(0.0)), F.lit(clip)), F.lit(-clip)))
+    scaled = lambda x: (x.cast("double") - m) / F.nullif(s, F.lit(0.0))
+    return F.transform(col(a), lambda x: F.when(scaled(x).isNotNull(), F.greatest(F.least(scaled(x), F.lit(clip)), F.lit(-clip))))
 
 
 def laplacian(a: C, side: int, mask: Sequence[int]) -> Column:

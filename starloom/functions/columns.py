@@ -238,17 +238,18 @@ def ang_sep(ra1: C, dec1: C, ra2: C, dec2: C) -> Column:
     """Great-circle separation in degrees by the haversine formula."""
     d1, d2 = F.radians(col(dec1)), F.radians(col(dec2))
     h = F.pow(F.sin((d2 - d1) / 2), 2) + F.cos(d1) * F.cos(d2) * F.pow(F.sin(F.radians(col(ra2) - col(ra1)) / 2), 2)
-    return F.degrees(F.lit(2.0) * F.asin(F.least(F.sqrt(h), F.lit(1.0))))
+    return F.when(h.isNotNull(), F.degrees(F.lit(2.0) * F.asin(F.least(F.sqrt(h), F.lit(1.0)))))
 
 
 def inclination(axis_ratio: C) -> Column:
-    return F.degrees(F.acos(F.greatest(F.least(col(axis_ratio), F.lit(1.0)), F.lit(0.01))))
+    """Degrees from the axis ratio, which is held within [0.01, 1]; null stays null."""
+    return F.when(col(axis_ratio).isNotNull(), F.degrees(F.acos(F.greatest(F.least(col(axis_ratio), F.lit(1.0)), F.lit(0.01)))))
 
 
 def prevalence_shift(p: C, old: float, new: float) -> Column:
     """Posterior after the class share moves from old to new."""
     ratio = (new / (1 - new)) / (old / (1 - old))
-    x = F.greatest(F.least(col(p), F.lit(1 - 1e-9)), F.lit(1e-9))
+    x = F.when(col(p).isNotNull(), F.greatest(F.least(col(p), F.lit(1 - 1e-9)), F.lit(1e-9)))
     odds = x / (F.lit(1.0) - x) * F.lit(ratio)
     return odds / (F.lit(1.0) + odds)
 

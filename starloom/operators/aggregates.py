@@ -26,7 +26,8 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     n = F.nullif(n.cast("double"), F.lit(0.0))
     p = k / n
     mid, half, den = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)), 1 + z * z / n
-    return F.greatest((mid - half) / den, F.lit(0.0)), F.least((mid + half) / den, F.lit(1.0))
+    ok = mid.isNotNull()  # greatest and least pass over nulls
+    return F.when(ok, F.greatest((mid - half) / den, F.lit(0.0))), F.when(ok, F.least((mid + half) / den, F.lit(1.0)))
 
 
 def completeness(df: DataFrame, by: Sequence[str], recovered: Column, value: str) -> DataFrame:

@@ -54,7 +54,7 @@ def primary_backup(regions: DataFrame, area: str, score: str, key: str, low: flo
 
 def scores(df: DataFrame, density: str, area: str, psf: str, depth: str, ebv: str, alpha: float = 0.5) -> DataFrame:
     """Density, density * area^alpha, and density weighted by seeing, depth and extinction, each weight in [0, 1]."""
-    unit = lambda x: F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0))
+    unit = lambda x: F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0)))
     w_psf = unit(F.exp(-(F.col(psf) - F.lit(1.2)) / F.lit(0.3)))
     w_depth = unit(F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col(depth) - F.lit(23.5)) / F.lit(0.3))))
     w_ebv = unit(F.exp(-F.col(ebv) / F.lit(0.1)))
