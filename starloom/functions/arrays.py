@@ -36,10 +36,14 @@ def median(a: Column) -> Column:
     return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also inside a lambda."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def mad(a: Column) -> Column:
     """Median absolute deviation."""
-    m = median(a)
-    return median(F.transform(a, lambda x: F.abs(x - m)))
+    return let(median(a), lambda m: median(F.transform(a, lambda x: F.abs(x - m))))
 
 
 def bad_share(a: C) -> Column:
@@ -52,9 +56,12 @@ def bad_share(a: C) -> Column:
 def robust_norm(a: C, outer: Sequence[int], clip: float = 10.0) -> Column:
     """(x - median) / (1.4826 MAD) of the outer pixels, clipped; null where the MAD is 0."""
     o = pick(a, outer)
-    m, s = median(o), mad(o) * 1.4826
-    scaled = lambda x: (x.cast("double") - m) / F.nullif(s, F.lit(0.0))
-    return F.transform(col(a), lambda x: F.when(scaled(x).isNotNull(), F.greatest(F.least(scaled(x), F.lit(clip)), F.lit(-clip))))
+
+    def norm(z: Column) -> Column:
+        scaled = F.transform(col(a), lambda x: (x.cast("double") - z["m"]) / F.nullif(z["s"], F.lit(0.0)))
+        return F.transform(scaled, lambda x: F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(clip)), F.lit(-clip))))
+
+    return let(F.struct(median(o).alias("m"), (mad(o) * 1.4826).alias("s")), norm)
 
 
 def laplacian(a: C, side: int, mask: Sequence[int]) -> Column:
