@@ -140,7 +140,7 @@ def _block(needed: list[tuple[int, int]], percent: int) -> Callable:
         root = np.unique(t.column("comp").to_numpy(), return_inverse=True)[1]
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
         lists = t.column("shingles").combine_chunks()
-        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)  # sorted as unsigned numbers
+        at, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().view(np.uint64)  # sorted as unsigned numbers
         i, j = np.flatnonzero(left), np.flatnonzero(~left)
         same_block = not len(j)
         links: list[tuple[int, int]] = []
@@ -152,14 +152,19 @@ def _block(needed: list[tuple[int, int]], percent: int) -> Callable:
                 same += (sig[k, done:m] == sig[x, done:m]).sum(axis=1)
                 keep = same >= least
                 k, same, done = k[keep], same[keep], m
-            own = flat[at[x] : at[x + 1]]
-            for y in k[np.argsort(-same, kind="stable")]:
-                if root[y] != root[x] and len(own):
-                    other = flat[at[y] : at[y + 1]]
-                    common = int((own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other).sum())
-                    if 100 * common >= percent * (len(own) + len(other) - common):
+            own, k, some = flat[at[x] : at[x + 1]], k[np.argsort(-same, kind="stable")], 8
+            while len(k) and len(own):
+                part, k, some = k[:some], k[some:], 256
+                lens = at[part + 1] - at[part]
+                begin = np.cumsum(lens) - lens
+                other = flat[np.repeat(at[part] - begin, lens) + np.arange(lens.sum())]
+                found = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+                common = np.add.reduceat(found.astype(np.int64), begin)
+                for y in part[100 * common >= percent * (len(own) + lens - common)]:
+                    if root[y] != root[x]:
                         links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
                         root[root == root[y]] = root[x]
+                k = k[root[k] != root[x]]
         return pa.table({"a": pa.array([int(a) for a, _ in links], pa.int64()), "b": pa.array([int(b) for _, b in links], pa.int64())})
 
     return run
