@@ -21,14 +21,19 @@ def scored(spark, d):
 
 
 S = "s AS (SELECT doc_id, lang, source, n_chars, quality, toxic, (n_chars % 1000) / 1000.0::DOUBLE AS score FROM documents JOIN labels USING (doc_id))"
-Y = F.col("quality") == 1
+
+
+def good():
+    return F.col("quality") == 1
+
+
 CONF = "count(*) FILTER (WHERE score >= 0.5 AND quality = 1) AS tp, count(*) FILTER (WHERE score >= 0.5 AND quality = 0) AS fp, count(*) FILTER (WHERE score < 0.5 AND quality = 1) AS fn, count(*) FILTER (WHERE score < 0.5 AND quality = 0) AS tn"
 RATES = "tp / nullif(tp + fn, 0) AS recall, tp / nullif(tp + fp, 0) AS precision, fp / nullif(fp + tn, 0) AS fpr, tn / nullif(tn + fp, 0) AS specificity"
 
 
 @register("ev_confusion", f"WITH {S} SELECT *, {RATES} FROM (SELECT {CONF} FROM s)")
 def _(spark, d):
-    return m.confusion(scored(spark, d), "score", Y, 0.5)
+    return m.confusion(scored(spark, d), "score", good(), 0.5)
 
 
 AUC = "(sum(r) FILTER (WHERE quality = 1) - count(*) FILTER (WHERE quality = 1) * (count(*) FILTER (WHERE quality = 1) + 1) / 2.0) / nullif(count(*) FILTER (WHERE quality = 1) * count(*) FILTER (WHERE quality = 0), 0)"
@@ -37,17 +42,17 @@ RANK = "rank() OVER ({w} ORDER BY score) + (count(*) OVER (PARTITION BY {p}score
 
 @register("ev_auc", f"WITH {S} SELECT count(*) FILTER (WHERE quality = 1) AS n_pos, count(*) FILTER (WHERE quality = 0) AS n_neg, round({AUC}, 9) AS auc FROM (SELECT *, {RANK.format(w='', p='')} FROM s)")
 def _(spark, d):
-    return rounded(m.auc(scored(spark, d), "score", Y), 9)
+    return rounded(m.auc(scored(spark, d), "score", good()), 9)
 
 
 @register("ev_stratified_auc", f"WITH {S} SELECT lang, count(*) FILTER (WHERE quality = 1) AS n_pos, count(*) FILTER (WHERE quality = 0) AS n_neg, CASE WHEN count(*) FILTER (WHERE quality = 0) >= 10 AND count(*) FILTER (WHERE quality = 1) >= 10 THEN round({AUC}, 9) END AS auc FROM (SELECT *, {RANK.format(w='PARTITION BY lang', p='lang, ')} FROM s) GROUP BY 1")
 def _(spark, d):
-    return rounded(m.auc(scored(spark, d), "score", Y, ["lang"], 10), 9)
+    return rounded(m.auc(scored(spark, d), "score", good(), ["lang"], 10), 9)
 
 
 @register("ev_by_group", f"WITH {S} SELECT *, {RATES} FROM (SELECT source, {CONF} FROM s GROUP BY 1)")
 def _(spark, d):
-    return m.confusion(scored(spark, d), "score", Y, 0.5, ["source"])
+    return m.confusion(scored(spark, d), "score", good(), 0.5, ["source"])
 
 
 ROC = "c AS (SELECT score, count(*) FILTER (WHERE quality = 1) AS p, count(*) FILTER (WHERE quality = 0) AS n FROM s GROUP BY 1), roc AS (SELECT score AS threshold, sum(n) OVER w / sum(n) OVER () AS fpr, sum(p) OVER w / sum(p) OVER () AS tpr FROM c WINDOW w AS (ORDER BY score DESC))"
@@ -55,27 +60,27 @@ ROC = "c AS (SELECT score, count(*) FILTER (WHERE quality = 1) AS p, count(*) FI
 
 @register("ev_roc_points", f"WITH {S}, {ROC} SELECT threshold, round(fpr, 9) AS fpr, round(tpr, 9) AS tpr FROM roc")
 def _(spark, d):
-    return m.roc_points(scored(spark, d), "score", Y).select("threshold", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
+    return m.roc_points(scored(spark, d), "score", good()).select("threshold", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
 
 
 @register("ev_tpr_at_fpr", f"WITH {S}, {ROC}, a AS (SELECT unnest([0.05::DOUBLE, 0.1::DOUBLE, 0.5::DOUBLE]) AS rate), b AS (SELECT rate, (SELECT max(struct_pack(f := fpr, t := tpr)) FROM roc WHERE fpr <= rate) AS lo, (SELECT min(struct_pack(f := fpr, t := tpr)) FROM roc WHERE fpr > rate) AS hi FROM a) SELECT rate, round(coalesce(coalesce(lo.t, 0) + (hi.t - coalesce(lo.t, 0)) / (hi.f - coalesce(lo.f, 0)) * (rate - coalesce(lo.f, 0)), lo.t, 0), 9) AS tpr FROM b")
 def _(spark, d):
-    return rounded(m.tpr_at_fpr(scored(spark, d), "score", Y, (0.05, 0.1, 0.5)), 9).withColumnRenamed("at", "rate")
+    return rounded(m.tpr_at_fpr(scored(spark, d), "score", good(), (0.05, 0.1, 0.5)), 9).withColumnRenamed("at", "rate")
 
 
 @register("ev_partial_auc", f"WITH {S}, {ROC}, x AS (SELECT fpr, min(tpr) AS t0, max(tpr) AS t1 FROM roc GROUP BY 1), y AS (SELECT *, coalesce(lag(fpr) OVER (ORDER BY fpr), 0) AS f0, coalesce(lag(t1) OVER (ORDER BY fpr), 0) AS y0 FROM x), z AS (SELECT sum(CASE WHEN f0 >= 0.2 THEN 0 WHEN fpr <= 0.2 THEN (fpr - f0) * (y0 + t0) / 2 ELSE (0.2::DOUBLE - f0) * (y0 + y0 + (t0 - y0) * (0.2::DOUBLE - f0) / (fpr - f0)) / 2 END) AS area FROM y) SELECT round(area, 9) AS area, round(0.5 * (1 + (area - 0.02) / 0.18), 9) AS standardised FROM z")
 def _(spark, d):
-    return rounded(m.partial_auc(scored(spark, d), "score", Y, 0.2), 9)
+    return rounded(m.partial_auc(scored(spark, d), "score", good(), 0.2), 9)
 
 
 @register("ev_roc_pr", f"WITH {S}, g AS (SELECT unnest([0.2::DOUBLE, 0.5::DOUBLE, 0.8::DOUBLE]) AS threshold) SELECT threshold, count(*) FILTER (WHERE score >= threshold AND quality = 1) / count(*) FILTER (WHERE quality = 1) AS tpr, count(*) FILTER (WHERE score >= threshold AND quality = 0) / count(*) FILTER (WHERE quality = 0) AS fpr, count(*) FILTER (WHERE score >= threshold AND quality = 1) / nullif(count(*) FILTER (WHERE score >= threshold), 0) AS precision FROM s, g GROUP BY 1")
 def _(spark, d):
-    return m.threshold_grid(scored(spark, d), "score", Y, (0.2, 0.5, 0.8))
+    return m.threshold_grid(scored(spark, d), "score", good(), (0.2, 0.5, 0.8))
 
 
 @register("ev_roc_tables", f"WITH {S}, c AS (SELECT lang, score, count(*) FILTER (WHERE quality = 1) AS p, count(*) FILTER (WHERE quality = 0) AS n FROM s GROUP BY ALL), roc AS (SELECT lang, score, sum(n) OVER w / sum(n) OVER (PARTITION BY lang) AS fpr, sum(p) OVER w / sum(p) OVER (PARTITION BY lang) AS tpr FROM c WINDOW w AS (PARTITION BY lang ORDER BY score DESC)) SELECT lang, round(min(fpr) FILTER (WHERE tpr >= 0.5), 9) AS fpr_at_half, max(score) FILTER (WHERE tpr >= 0.5) AS threshold_at_half, round(max(tpr) FILTER (WHERE fpr <= 0.2), 9) AS tpr_at_fifth FROM roc GROUP BY 1")
 def _(spark, d):
-    p = m.roc_points(scored(spark, d), "score", Y, ["lang"])
+    p = m.roc_points(scored(spark, d), "score", good(), ["lang"])
     half = F.col("tpr") >= 0.5
     return p.groupBy("lang").agg(F.round(F.min(F.when(half, F.col("fpr"))), 9).alias("fpr_at_half"), F.max(F.when(half, F.col("threshold"))).alias("threshold_at_half"), F.round(F.max(F.when(F.col("fpr") <= 0.2, F.col("tpr"))), 9).alias("tpr_at_fifth"))
 
@@ -85,12 +90,12 @@ BINS = "b AS (SELECT least(CAST(floor(score * 10) AS INT), 9) AS bin, count(*) A
 
 @register("ev_reliability", f"WITH {S}, {BINS} SELECT bin, n, round(confidence, 6) AS confidence, round(accuracy, 6) AS accuracy FROM b")
 def _(spark, d):
-    return rounded(m.reliability(scored(spark, d), "score", Y))
+    return rounded(m.reliability(scored(spark, d), "score", good()))
 
 
 @register("ev_ece", f"WITH {S}, {BINS} SELECT round(sum(n * abs(confidence - accuracy)) / sum(n), 6) AS ece, round(max(abs(confidence - accuracy)), 6) AS mce FROM b")
 def _(spark, d):
-    return rounded(m.calibration_error(m.reliability(scored(spark, d), "score", Y)))
+    return rounded(m.calibration_error(m.reliability(scored(spark, d), "score", good())))
 
 
 @register("ev_brier", f"WITH {S} SELECT round(avg((score - quality) * (score - quality)), 9) AS brier, " + ", ".join(f"round(avg(quality) FILTER (WHERE score >= {x}::DOUBLE), 9) AS above_{int(100 * x)}" for x in (0.9, 0.95)) + " FROM s")
@@ -107,7 +112,7 @@ def _(spark, d):
     t = scored(spark, d)
     quota = t.where("quality = 0").groupBy("lang").agg(F.count(F.lit(1)).alias("k"))
     i = F.row_number().over(Window.partitionBy("lang", "quality").orderBy(c.hash_uniform("doc_id", 4), "doc_id"))
-    return rounded(m.auc(t.withColumn("i", i).join(quota, "lang").where("i <= k"), "score", Y, ["lang"]), 9)
+    return rounded(m.auc(t.withColumn("i", i).join(quota, "lang").where("i <= k"), "score", good(), ["lang"]), 9)
 
 
 @register("ev_recall_strata", f"WITH {S}, r AS (SELECT source, count(*) FILTER (WHERE score >= 0.5) / count(*) AS recall FROM s WHERE quality = 1 GROUP BY 1) SELECT round(avg(recall), 9) AS mean, min(recall) AS least, max(recall) AS most, max(recall) - min(recall) AS spread FROM r")
@@ -129,7 +134,7 @@ def _boot_sql():
 
 @register("ev_bootstrap", _boot_sql())
 def _(spark, d):
-    return m.bootstrap_rates(scored(spark, d), "doc_id", "score", Y, 0.5, 20)
+    return m.bootstrap_rates(scored(spark, d), "doc_id", "score", good(), 0.5, 20)
 
 
 @register("ev_permutation", f"WITH {S}, p AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM s), l AS (SELECT b, quality, row_number() OVER (PARTITION BY b ORDER BY ('0x' || substr(sha256(doc_id::VARCHAR || '_' || b::VARCHAR || '_perm'), 1, 8))::UBIGINT, doc_id) AS i FROM s, range(5) r(b)), x AS (SELECT l.b, p.score, l.quality FROM p JOIN l USING (i)), t AS (SELECT *, {RANK.format(w='PARTITION BY b', p='b, ')} FROM x) SELECT b::INT AS replicate, round({AUC}, 9) AS auc FROM t GROUP BY 1")
@@ -141,12 +146,12 @@ def _(spark, d):
     b = t.select("doc_id", "quality", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("replicate"))
     u = c.hash_uniform(["doc_id", F.col("replicate")], "perm")
     dealt = b.withColumn("i", F.row_number().over(Window.partitionBy("replicate").orderBy(u, "doc_id"))).select("replicate", "quality", "i")
-    return m.auc(p.join(dealt, "i"), "score", Y, ["replicate"]).select("replicate", F.round("auc", 9).alias("auc"))
+    return m.auc(p.join(dealt, "i"), "score", good(), ["replicate"]).select("replicate", F.round("auc", 9).alias("auc"))
 
 
 @register("ev_gates", f"WITH {S}, x AS (SELECT *, {RATES} FROM (SELECT {CONF} FROM s)) SELECT recall >= 0.5 AS recall_ok, fpr <= 0.2 AS fpr_ok, recall >= 0.5 AND fpr <= 0.2 AS passed FROM x")
 def _(spark, d):
-    t = m.confusion(scored(spark, d), "score", Y, 0.5)
+    t = m.confusion(scored(spark, d), "score", good(), 0.5)
     return t.select((F.col("recall") >= 0.5).alias("recall_ok"), (F.col("fpr") <= 0.2).alias("fpr_ok"), ((F.col("recall") >= 0.5) & (F.col("fpr") <= 0.2)).alias("passed"))
 
 
@@ -166,14 +171,14 @@ FEATS = ("n_chars", "score", "toxic")
 
 @register("ev_shortcut_audit", f"WITH {S}, f AS ({' UNION ALL '.join(f'SELECT {chr(39)}{x}{chr(39)} AS feature, {x}::DOUBLE AS score, quality FROM s' for x in FEATS)}), t AS (SELECT *, {RANK.format(w='PARTITION BY feature', p='feature, ')} FROM f), a AS (SELECT feature, count(*) FILTER (WHERE quality = 1) AS n_pos, count(*) FILTER (WHERE quality = 0) AS n_neg, round({AUC}, 9) AS auc FROM t GROUP BY 1) SELECT *, CASE WHEN greatest(auc, 1 - auc) >= 0.8 THEN 'red' WHEN greatest(auc, 1 - auc) >= 0.6 THEN 'yellow' ELSE 'green' END AS flag FROM a")
 def _(spark, d):
-    t = rounded(m.auc(m.unpivot(scored(spark, d), FEATS, ["quality"]), "value", Y, ["feature"]), 9)
+    t = rounded(m.auc(m.unpivot(scored(spark, d), FEATS, ["quality"]), "value", good(), ["feature"]), 9)
     free = F.greatest(F.col("auc"), 1 - F.col("auc"))
     return t.withColumn("flag", F.when(free >= 0.8, "red").when(free >= 0.6, "yellow").otherwise("green"))
 
 
 @register("ev_ks", f"WITH {S}, t AS (SELECT n_chars AS v, quality = 1 AS y FROM s), " + KS[5:])
 def _(spark, d):
-    return sp.ks(scored(spark, d), "n_chars", Y).withColumn("ks", F.round("ks", 9))
+    return sp.ks(scored(spark, d), "n_chars", good()).withColumn("ks", F.round("ks", 9))
 
 
 @register("ev_class_balance", f"WITH {S}, f AS ({' UNION ALL '.join(f'SELECT {chr(39)}{x}{chr(39)} AS feature, {x}::DOUBLE AS v, quality FROM s' for x in ('n_chars', 'score'))}), g AS (SELECT feature, avg(v) FILTER (WHERE quality = 1) AS mean1, avg(v) FILTER (WHERE quality = 0) AS mean0, stddev(v) FILTER (WHERE quality = 1) AS std1, stddev(v) FILTER (WHERE quality = 0) AS std0 FROM f GROUP BY 1) SELECT feature, round(mean1, 6) AS mean1, round(mean0, 6) AS mean0, round(std1, 6) AS std1, round(std0, 6) AS std0, round((mean1 - mean0) / sqrt((std1 * std1 + std0 * std0) / 2), 6) AS cohen_d FROM g")
@@ -189,7 +194,7 @@ def _(spark, d):
 
 @register("ev_variant_compare", f"WITH {S}, v AS (SELECT source, count(*) FILTER (WHERE (score >= 0.5) = (quality = 1)) / count(*) AS accuracy FROM s GROUP BY 1), b AS (SELECT accuracy AS base FROM v WHERE source = 'src0') SELECT source, round(accuracy - base, 9) AS delta, accuracy = max(accuracy) OVER () AS best FROM v, b")
 def _(spark, d):
-    v = scored(spark, d).groupBy("source").agg((F.count_if((F.col("score") >= 0.5) == Y) / F.count(F.lit(1))).alias("accuracy"))
+    v = scored(spark, d).groupBy("source").agg((F.count_if((F.col("score") >= 0.5) == good()) / F.count(F.lit(1))).alias("accuracy"))
     one = v.agg(F.max(F.when(F.col("source") == "src0", F.col("accuracy"))).alias("base"), F.max("accuracy").alias("top"))
     return v.crossJoin(F.broadcast(one)).select("source", F.round(F.col("accuracy") - F.col("base"), 9).alias("delta"), (F.col("accuracy") == F.col("top")).alias("best"))  # one row
 
@@ -290,7 +295,7 @@ def _(spark, d):
 def _(spark, d):
     used = ("n_chars", "toxic", "lang")
     bad = q.leaking(used, ("quality", "toxic"))
-    return m.auc(m.unpivot(scored(spark, d), bad, ["quality"]), "value", Y, ["feature"]).select("feature", F.round("auc", 9).alias("auc"))
+    return m.auc(m.unpivot(scored(spark, d), bad, ["quality"]), "value", good(), ["feature"]).select("feature", F.round("auc", 9).alias("auc"))
 
 
 @register("dq_file_layout")  # file sizes are no SQL matter
