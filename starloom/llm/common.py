@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _local_dirs: dict[str, str] = {}
 
 
@@ -38,7 +40,12 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{len(self.paths)}"
-        df.write.parquet(path)
+        rows = self.spark.conf.get(BATCH)
+        self.spark.conf.set(BATCH, "1000")  # whole texts: a batch of the usual 10,000 rows takes tens of megabytes on both sides
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(BATCH, rows)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out
