@@ -41,7 +41,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/starloom-{uuid.uuid4().hex}"
