@@ -25,8 +25,15 @@ def db():
 def plain(frame):
     """Rows as sorted texts, numbers alike whatever their width."""
     frame = frame[sorted(frame.columns)]
-    text = lambda v: "~" if v is None or v is pd.NaT or v != v else repr(float(v) + 0.0) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
-    return sorted(tuple(text(v) for v in row) for row in frame.astype(object).itertuples(index=False, name=None))
+
+    def text(v):
+        if getattr(v, "ndim", 0) or isinstance(v, (list, dict)):
+            return str(list(v))
+        if v is None or pd.isna(v):
+            return "~"
+        return repr(float(v) + 0.0) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
+
+    return sorted(tuple(map(text, row)) for row in frame.astype(object).itertuples(index=False, name=None))
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
