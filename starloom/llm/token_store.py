@@ -36,7 +36,9 @@ ROUNDS, PER_ROUND = 10, 512
 _L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 #: Texts of these letters only are split here as the tokenizer's own pattern splits them; others go to it whole.
 _PLAIN = re.compile(f"[^\\x00-\\x7f{_L}]|<\\|")
-_PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[0-9]+| ?[^\\s{_L}0-9]+|\\s+(?!\\S)|\\s+")
+#: The tokenizer's white space; Python's \\s also holds U+001C to U+001F.
+_S = "\\t-\\r \\x85\\xa0"
+_PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[0-9]+| ?[^{_S}{_L}0-9]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -71,7 +73,7 @@ class Encoder:
         if self.size + ROUNDS * PER_ROUND > 1 << 16:
             raise ValueError("this file format holds vocabularies of up to 60,000 ids")
         # pieces are cut here only for byte-level vocabularies with the pattern above
-        probe = "It's  a\ttest,\n\n 12 \x00\x7f\xa0\xad \xe9\xff \xf1and\xfa's we'll_x\n x "
+        probe = "It's  a\ttest,\n\n 12 \x00\x7f\xa0\xad \xe9\xff \xf1and\xfa's we'll_x\n x\n\n\x1cx \x1d\x1e\n \x1f "
         try:
             self.pieces = self.whole(probe) == self.split(probe)
         except Exception:  # noqa: BLE001  another kind of model: it gets whole texts

@@ -258,6 +258,15 @@ def test_tokens(spark, docs):
     assert token_store.read_documents(token_store.write_shards(docs.where("false"), path)).count() == 0
 
 
+def test_pieces_agree_with_the_tokenizer_on_control_characters():
+    e = token_store.Encoder(token_store.public_tokenizer())
+    assert e.pieces
+    around = ("", "\n", "\n\n", " ", "  ", "x", "end.\n\n", "é")
+    for text in (a + chr(c) * n + b for c in (*range(32), 127) for n in (1, 2) for a in around for b in around):
+        want = e.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(e.encode(text), np.uint16).tolist() == want, repr(text)
+
+
 def test_grammar_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 50, 5000):
