@@ -16,37 +16,26 @@ from starloom.plans.evaluation import scored
 from starloom.plans.registry import register
 from starloom.plans.relations import SKY2, skies
 from starloom.plans.views import read, scratch_dir, sql_uniform
-from starloom.sources.catalogs import read_arrays
+from starloom.sources.catalogs import read_arrays, write_arrays
 
 
 @register("src_stamps")  # a codec has no SQL form
 def _(spark, d):
-    """Each embedding becomes an NPZ file's bytes in the shared folder and is read back."""
-    import pandas as pd
-
+    """Each embedding becomes an NPZ file in the shared folder and is read back; a row whose file is not read has an error."""
     path = scratch_dir(spark)
-
-    def encode(frames):
-        import io
-
-        import numpy as np
-
-        for f in frames:
-            rows = []
-            for k, v in zip(f["vec_id"], f["embedding"], strict=True):
-                b = io.BytesIO()
-                np.savez_compressed(b, data=np.asarray(v, "float32").reshape(-1, 1))
-                rows.append((k, b.getvalue()))
-            yield pd.DataFrame(rows, columns=["vec_id", "content"])
-
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    one = read(spark, d, "embeddings").orderBy("vec_id").limit(3).mapInPandas(encode, "vec_id bigint, content binary").collect()  # three files show the codec; the table below is read whole
-    for r in one:
-        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{r.vec_id}.npz"))
-        out.write(bytearray(r.content))
-        out.close()
-    stamps = read_arrays(spark, path).select(F.regexp_extract("path", r"([0-9]+)\.npz", 1).cast("long").alias("vec_id"), F.size("data").alias("pixels"), "error")
-    return read(spark, d, "embeddings").select("vec_id", "label").join(stamps, "vec_id", "left")
+    rows = write_arrays(read(spark, d, "embeddings").select("vec_id", "label", "embedding"), "embedding", f"{path}/npz")
+    rows.write.parquet(f"{path}/rows")
+    stamps = read_arrays(spark, f"{path}/npz/*").select(F.regexp_extract("path", r"([0-9a-f]+\.npz)$", 1).alias("file"), F.size("data").alias("pixels"), "error")
+    cost = "spark.sql.files.openCostInBytes"
+    held = spark.conf.get(cost)
+    spark.conf.set(cost, "4096")  # files of a kilobyte: thousands to a task, not four
+    try:
+        stamps.write.parquet(f"{path}/stamps")
+    finally:
+        spark.conf.set(cost, held)
+    rows, stamps = (spark.read.schema(t.schema).parquet(f"{path}/{name}") for t, name in ((rows, "rows"), (stamps, "stamps")))
+    error = F.when(F.col("file").isNull(), "no array").when(F.col("pixels").isNull(), F.coalesce("error", F.lit("no file")))
+    return rows.join(stamps, "file", "left").select("vec_id", "label", "pixels", error.alias("error"))
 
 
 @register("join_greedy_pairs", "WITH a AS (SELECT s_nationkey AS b, s_suppkey AS k, s_acctbal AS v FROM supplier), b AS (SELECT c_nationkey AS b, c_custkey AS k, c_acctbal AS v FROM customer), x AS (SELECT *, row_number() OVER (PARTITION BY b, k ORDER BY gap, below DESC, ord) AS n FROM (SELECT a.b, a.k, b.k AS o, abs(a.v - b.v) AS gap, (b.v <= a.v)::INT AS below, CASE WHEN b.v < a.v THEN -b.k ELSE b.k END AS ord FROM a JOIN b USING (b))), y AS (SELECT *, row_number() OVER (PARTITION BY b, o ORDER BY gap, below DESC, ord) AS n FROM (SELECT b.b, b.k AS o, a.k, abs(a.v - b.v) AS gap, (a.v <= b.v)::INT AS below, CASE WHEN a.v < b.v THEN -a.k ELSE a.k END AS ord FROM a JOIN b USING (b))) SELECT x.b, x.k AS s_suppkey, x.o AS c_custkey, x.gap FROM x JOIN y ON x.b = y.b AND x.k = y.k AND x.o = y.o WHERE x.n = 1 AND y.n = 1")

@@ -64,6 +64,47 @@ def read_arrays(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, data array<float>, shape array<int>, error string")
 
 
+def write_arrays(df: DataFrame, array: str, path: str) -> DataFrame:
+    """df with ``file`` in place of its array: the name of an NPZ file that the row's task writes below ``path``; null without an array.
+
+    Tasks write through Arrow's file systems, into a folder per partition.
+    Every run writes new files, so the result is to be stored before they are
+    read; files of lost tasks are named by no row.
+    """
+    import pyarrow as pa
+
+    spark, kinds = df.sparkSession, df.drop(array).schema.add("file", "string")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(where, "none"))  # a folder is there without rows, too
+    uri = fs.makeQualified(where).toString()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+        import uuid
+
+        import numpy as np
+        from pyarrow.fs import FileSystem
+        from pyspark import TaskContext
+
+        store, root = FileSystem.from_uri(uri)
+        folder = f"{root}/{TaskContext.get().partitionId():05d}"
+        store.create_dir(folder)
+        for batch in batches:
+            names = []
+            for v in batch.column(array):
+                names.append(f"{uuid.uuid4().hex}.npz" if v.is_valid else None)
+                if v.is_valid:
+                    b = io.BytesIO()
+                    np.savez_compressed(b, data=np.asarray(v.as_py(), "float32").reshape(-1, 1))
+                    with store.open_output_stream(f"{folder}/{names[-1]}") as out:
+                        out.write(b.getvalue())
+            kept = [c for c in batch.schema.names if c != array]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(names, pa.string())], names=[*kept, "file"])
+
+    return df.select(*[c for c in df.columns if c != array], array).mapInArrow(encode, kinds)
+
+
 def status_table(df: DataFrame, status: str, size: str | None = None) -> DataFrame:
     """Items by status, with the total and mean of a size."""
     aggs = [F.count(F.lit(1)).alias("n")]

@@ -92,6 +92,18 @@ def test_sources(spark, tmp_path):
     assert not s.done(spark, str(tmp_path)) and s.write_verified(spark.range(5), str(tmp_path / "o")) == 5 and s.done(spark, str(tmp_path / "o"))
 
 
+def test_every_embedding_is_written_and_decoded(spark, tmp_path):
+    from starloom.plans import registry
+
+    rows = [(i, i % 2, [float(i)] * (i % 5 + 1) if i != 7 else None) for i in [*range(40), 3, 3]]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = registry.queries()["src_stamps"](spark, str(tmp_path)).collect()
+    assert sorted((r.vec_id, r.label, r.pixels or 0, r.error or "") for r in got) == sorted((i, y, len(v or []), "" if v else "no array") for i, y, v in rows)
+    back = s.write_arrays(spark.createDataFrame([(1, [1.5, 2.5])], "k int, v array<float>"), "v", str(tmp_path / "npz")).collect()
+    r = s.read_arrays(spark, str(tmp_path / "npz" / "*")).first()
+    assert r.data == [1.5, 2.5] and r.shape == [2, 1] and r.path.endswith(back[0].file)
+
+
 def test_batch_score_reports_bad_rows(spark):
     def model(frame):
         if (frame.x < 0).any():
