@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from starloom.operators import aggregates as a
 from starloom.operators import joins as j
 from starloom.operators import metrics as m
+from starloom.operators import models as md
 from starloom.operators import quality as q
 from starloom.operators import regions as rg
 from starloom.operators import sampling as sm
@@ -104,6 +105,18 @@ def test_every_embedding_is_written_and_decoded(spark, tmp_path):
     assert r.data == [1.5, 2.5] and r.shape == [2, 1] and r.path.endswith(back[0].file)
 
 
+@pytest.mark.parametrize("block", [4, 1000])
+def test_mmd_in_blocks_is_that_of_all_pairs(spark, block):
+    a, b = ([(i, [math.sin(i * k + s) for k in range(3)]) for i in range(s, 60, 2)] for s in (0, 1))
+    k = lambda x, y: math.exp(-0.7 * sum((p - q) ** 2 for p, q in zip(x[1], y[1], strict=True)))
+    mean = lambda xs, ys: sum(v := [k(x, y) for x in xs for y in ys if x[0] != y[0]]) / len(v)
+    x, y = (spark.createDataFrame(t, "k bigint, v array<double>") for t in (a, b))
+    out = md.mmd(x, y, "k", "v", 0.7, block)
+    assert math.isclose(out.first().mmd2, mean(a, a) + mean(b, b) - 2 * mean(a, b), abs_tol=1e-12)
+    assert "Broadcast" not in out._jdf.queryExecution().toString()
+    assert md.mmd(x.limit(1), y, "k", "v", 0.7, block).first().mmd2 is None
+
+
 def test_batch_score_reports_bad_rows(spark):
     def model(frame):
         if (frame.x < 0).any():
