@@ -127,28 +127,126 @@ def mmd(a: DataFrame, b: DataFrame, key: str, vector: str, gamma: float, block:
     return sums.agg((mean(aa) + mean(bb) - 2 * mean(ab)).alias("mmd2"))
 
 
-def greedy_pairs(a: DataFrame, b: DataFrame, bin_: str, key_a: str, key_b: str, value: str, most: float) -> DataFrame:
-    """One-to-one pairs inside bins: the closest values first, ties by keys; bins are small by design of the caller."""
-    import pandas as pd
+def _greedy_range(va: Sequence[float], vb: Sequence[float], low: float, high: float, most: float) -> tuple[list[tuple[int, int, float]], list[int], list[int]]:
+    """(pairs, a left open, b left open) of sorted values inside (low, high), outside of which more rows may lie.
 
-    def match(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+    Closest pairs are neighbours in value order, so a heap of neighbours gives
+    them in turn. A pair that is not closer than the range's ends is left open,
+    and so is any pair not closer than an open row: what is paired here is
+    what the greedy pass over all rows pairs.
+    """
+    from bisect import bisect_left, insort
+    from heapq import heapify, heappop, heappush
+
+    nodes: list[list] = []  # value, side, first row that is left, end of its rows
+    for side, values in ((0, va), (1, vb)):
+        for i, v in enumerate(values):
+            if nodes and nodes[-1][:2] == [v, side]:
+                nodes[-1][3] = i + 1
+            else:
+                nodes.append([v, side, i, i + 1])
+    nodes.sort()
+    n = len(nodes)
+    prev, after, stuck = list(range(-1, n - 1)), [*range(1, n), -1], [False] * n
+    walls = [min(low, nodes[0][0]), max(high, nodes[-1][0])]
+
+    def edge(x: int, y: int):
+        """Of neighbours x before y, if both are free and on two sides: (gap, row of a, row of b, x, y)."""
+        if x < 0 or y < 0 or stuck[x] or stuck[y] or nodes[x][1] == nodes[y][1] or nodes[y][0] - nodes[x][0] > most:
+            return None
+        p, q = (x, y) if nodes[x][1] == 0 else (y, x)
+        return nodes[y][0] - nodes[x][0], nodes[p][2], nodes[q][2], x, y
+
+    heap = [e for x in range(n - 1) if (e := edge(x, x + 1))]
+    heapify(heap)
+    pairs = []
+    while heap:
+        e = heappop(heap)
+        gap, i, j, x, y = e
+        if after[x] != y or nodes[x][2] == nodes[x][3] or nodes[y][2] == nodes[y][3] or (now := edge(x, y)) is None:
+            continue
+        if now != e:
+            heappush(heap, now)
+            continue
+        at = bisect_left(walls, nodes[x][0])
+        left = nodes[x][0] - walls[at - 1] if at else float("inf")
+        if at < len(walls) and walls[at] <= nodes[y][0]:
+            left = 0.0
+        at = bisect_left(walls, nodes[y][0])
+        if gap >= left or at < len(walls) and gap >= walls[at] - nodes[y][0]:
+            for k in (x, y):
+                stuck[k] = True
+                insort(walls, nodes[k][0])
+            continue
+        pairs.append((i, j, gap))
+        for k in (x, y):
+            nodes[k][2] += 1
+            if nodes[k][2] == nodes[k][3]:
+                u, v = prev[k], after[k]
+                if u >= 0:
+                    after[u] = v
+                if v >= 0:
+                    prev[v] = u
+        free = [k for k in (x, y) if nodes[k][2] < nodes[k][3]]
+        u, v = (x if x in free else prev[x]), (y if y in free else after[y])
+        for e in {edge(u, v), *(edge(prev[k], k) for k in free), *(edge(k, after[k]) for k in free)} - {None}:
+            heappush(heap, e)
+    open_: tuple[list[int], list[int]] = ([], [])
+    for k, (v, side, i, end) in enumerate(nodes):
+        at = bisect_left(walls, v)
+        near = min(v - walls[at - 1] if at else float("inf"), walls[at] - v if at < len(walls) else float("inf"))
+        if stuck[k] or near <= most:
+            open_[side].extend(range(i, end))
+    return pairs, *open_
+
+
+def greedy_pairs(a: DataFrame, b: DataFrame, bin_: str, key_a: str, key_b: str, value: str, most: float, rows: int = 20_000) -> DataFrame:
+    """One-to-one pairs inside bins: the closest values first, ties by value and key; rows without a value stay alone.
+
+    Bins are cut into value ranges of about ``rows`` rows. Pairs that rows
+    beyond a range could change stay open for the next turn, with other and
+    wider ranges, until none is left, so the ranges do not change the result.
+    """
+    import pandas as pd
 
-        x, y = x.sort_values([value, key_a]), y.sort_values([value, key_b])
-        rows, used_a, used_b = [], set(), set()
-        d = np.abs(x[value].to_numpy()[:, None] - y[value].to_numpy()[None, :])
-        for at in np.argsort(d, axis=None, kind="stable"):
-            i, j = divmod(int(at), d.shape[1])
-            if d[i, j] > most:
-                break
-            if i not in used_a and j not in used_b:
-                used_a.add(i)
-                used_b.add(j)
-                rows.append((x[bin_].iloc[0], x[key_a].iloc[i], y[key_b].iloc[j], float(d[i, j])))
-        return pd.DataFrame(rows, columns=[bin_, key_a, key_b, "gap"])
+    from starloom.operators.regions import _kept
 
     kinds = dict(a.dtypes) | dict(b.dtypes)
-    return a.groupBy(bin_).cogroup(b.groupBy(bin_)).applyInPandas(match, f"`{bin_}` {kinds[bin_]}, `{key_a}` {kinds[key_a]}, `{key_b}` {kinds[key_b]}, gap double")
+    schema = f"`{bin_}` {kinds[bin_]}, `{key_a}` {kinds[key_a]}, `{key_b}` {kinds[key_b]}, gap double, _v double"
+    names = [bin_, key_a, key_b, "gap", "_v"]
+    known = F.col("_v").isNotNull() & ~F.isnan("_v")
+    a, b = (t.select(bin_, k, F.col(value).cast("double").alias("_v")).where(known) for t, k in ((a, key_a), (b, key_b)))
+    found, width, turn = None, 0.0, 0
+    while True:
+        both = a.select(bin_, "_v").unionAll(b.select(bin_, "_v"))
+        n, lo, hi = both.groupBy(bin_).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).agg(F.max("n"), F.min("lo"), F.max("hi")).first()
+        n, lo, hi = n or 0, lo or 0.0, hi or 0.0
+        width = max(4 * width, (hi - lo) / max(1, -(-n // rows)) * 1.01, 1e-9)
+        shift = 0.5 * (turn % 2) if width < 2 * (hi - lo) else 0.0
+        place = F.floor((F.col("_v") - lo) / width + shift).cast("int")
+        last = int((hi - lo) / width + shift)
+
+        def match(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:  # run before the loop goes on
+            x, y = x.sort_values(["_v", key_a]), y.sort_values(["_v", key_b])
+            one = x if len(x) else y
+            group, k = one[bin_].iloc[0], int(one["_at"].iloc[0])
+            slack = 1e-6 * width  # the ends are not exact, so they lie a little inside
+            low = lo + (k - shift) * width + slack if k > 0 else float("-inf")
+            high = lo + (k + 1 - shift) * width - slack if k < last else float("inf")
+            ka, kb, va, vb = x[key_a].tolist(), y[key_b].tolist(), x["_v"].tolist(), y["_v"].tolist()
+            pairs, left_a, left_b = _greedy_range(va, vb, low, high, most)
+            out = [(group, ka[i], kb[j], gap, None) for i, j, gap in pairs]
+            out += [(group, ka[i], None, None, va[i]) for i in left_a] + [(group, None, kb[j], None, vb[j]) for j in left_b]
+            return pd.DataFrame({c: pd.Series([r[i] for r in out], dtype=object) for i, c in enumerate(names)})
+
+        x, y = (t.withColumn("_at", place) for t in (a, b))
+        t = _kept(x.groupBy(bin_, "_at").cogroup(y.groupBy(bin_, "_at")).applyInPandas(match, schema))
+        pairs = t.where("_v IS NULL").drop("_v")
+        found = pairs if found is None else found.unionAll(pairs)
+        a, b = t.where(F.col("_v").isNotNull() & F.col(key_b).isNull()).select(bin_, key_a, "_v"), t.where(F.col("_v").isNotNull() & F.col(key_a).isNull()).select(bin_, key_b, "_v")
+        if t.where("_v IS NOT NULL").isEmpty():
+            return found
+        turn += 1
 
 
 def mutual_nearest(a: DataFrame, b: DataFrame, bin_: str, key_a: str, key_b: str, value: str) -> DataFrame:

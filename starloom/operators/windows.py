@@ -10,6 +10,24 @@ from pyspark.sql import functions as F
 from starloom.functions.columns import hash_uniform
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str, within: Sequence[str] = ()) -> DataFrame:
+    """df with ``name`` = 1, 2, 3, ... in a unique order, over all rows or within each value of ``within``, the order's leading columns.
+
+    Rows are range partitioned, so no task sorts all of them; the rows before
+    each partition come from counts.
+    """
+    from starloom.operators.regions import _kept
+
+    t = _kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_at", 33)
+    heads = t.groupBy(*within, part.alias("_part")).agg(F.min("_at").alias("_head"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(*within, "_part", "_head", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    # one row for each partition and group
+    joined = t.withColumn("_part", part).join(F.broadcast(heads), [*within, "_part"])
+    return joined.select(*df.columns, (F.col("_at") - F.col("_head") + F.col("_before") + 1).alias(name))
+
+
 def topk(df: DataFrame, k: int, by: Sequence[str], score: str, key: str, rank: str = "rank") -> DataFrame:
     """The k rows of each group with the highest score, ranked; ties to the smaller key."""
     w = Window.partitionBy(*by).orderBy(F.desc(score), key)

@@ -8,6 +8,7 @@ from starloom.functions import columns as c
 from starloom.operators import metrics as m
 from starloom.operators import quality as q
 from starloom.operators import splits as sp
+from starloom.operators import windows as w
 from starloom.plans.aggregates import KS, rounded
 from starloom.plans.columns import CUTS, SQL_CUTS, part_cuts
 from starloom.plans.registry import register
@@ -139,13 +140,11 @@ def _(spark, d):
 
 @register("ev_permutation", f"WITH {S}, p AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM s), l AS (SELECT b, quality, row_number() OVER (PARTITION BY b ORDER BY ('0x' || substr(sha256(doc_id::VARCHAR || '_' || b::VARCHAR || '_perm'), 1, 8))::UBIGINT, doc_id) AS i FROM s, range(5) r(b)), x AS (SELECT l.b, p.score, l.quality FROM p JOIN l USING (i)), t AS (SELECT *, {RANK.format(w='PARTITION BY b', p='b, ')} FROM x) SELECT b::INT AS replicate, round({AUC}, 9) AS auc FROM t GROUP BY 1")
 def _(spark, d):
-    from pyspark.sql import Window
-
     t = scored(spark, d)
-    p = t.select("score", F.row_number().over(Window.orderBy("doc_id")).alias("i"))  # labelled rows of a permutation test, a bounded evaluation set
+    p = w.numbered(t.select("doc_id", "score"), ["doc_id"], "i").select("score", "i")
     b = t.select("doc_id", "quality", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("replicate"))
-    u = c.hash_uniform(["doc_id", F.col("replicate")], "perm")
-    dealt = b.withColumn("i", F.row_number().over(Window.partitionBy("replicate").orderBy(u, "doc_id"))).select("replicate", "quality", "i")
+    b = b.withColumn("u", c.hash_uniform(["doc_id", F.col("replicate")], "perm"))
+    dealt = w.numbered(b, ["replicate", "u", "doc_id"], "i", ["replicate"]).select("replicate", "quality", "i")
     return m.auc(p.join(dealt, "i"), "score", good(), ["replicate"]).select("replicate", F.round("auc", 9).alias("auc"))
 
 

@@ -1,7 +1,9 @@
 """Edge cases of joins, windows, metrics, regions, sources and streams."""
 
+import collections
 import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from starloom.operators import quality as q
 from starloom.operators import regions as rg
 from starloom.operators import sampling as sm
 from starloom.operators import splits as sp
+from starloom.operators import windows as w
 from starloom.sources import catalogs as s
 
 
@@ -117,6 +120,40 @@ def test_mmd_in_blocks_is_that_of_all_pairs(spark, block):
     assert md.mmd(x.limit(1), y, "k", "v", 0.7, block).first().mmd2 is None
 
 
+def all_pairs_greedy(x, y, most):
+    """x, y: (value, key) sorted; the closest first, then by places."""
+    used, out = (set(), set()), []
+    for gap, i, j in sorted((abs(p[0] - q[0]), i, j) for i, p in enumerate(x) for j, q in enumerate(y)):
+        if gap <= most and i not in used[0] and j not in used[1]:
+            used[0].add(i)
+            used[1].add(j)
+            out.append((x[i][1], y[j][1], gap))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("rows", [10, 60, 100_000])
+def test_greedy_pairs_in_ranges_are_those_of_whole_bins(spark, rows):
+    rng = random.Random(3)
+    for top, most in ((40, 3.0), (5000, 40.0), (3, 1.0)):
+        a, b = ([(g, i, float(rng.randrange(top))) for i in range(120) for g in (1, 2)] for _ in range(2))
+        x, y = spark.createDataFrame([*a, (1, 999, None)], "g int, ka bigint, v double"), spark.createDataFrame([*b, (3, 1, 0.0)], "g int, kb bigint, v double")
+        got = md.greedy_pairs(x, y, "g", "ka", "kb", "v", most, rows).collect()
+        for g in (1, 2):
+            one, two = (sorted((v, k) for h, k, v in t if h == g) for t in (a, b))
+            assert sorted((r.ka, r.kb, r.gap) for r in got if r.g == g) == all_pairs_greedy(one, two, most)
+        assert not [r for r in got if r.g == 3]
+
+
+def test_numbers_run_over_range_partitions(spark):
+    t = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"), (F.col("id") % 3).alias("g")).repartition(5)
+    got = w.numbered(t, ["k"], "i")
+    assert all(r.i == r.k + 1 for r in got.collect())
+    by = collections.defaultdict(list)
+    for r in w.numbered(t, ["g", "k"], "i", ["g"]).collect():
+        by[r.g].append((r.k, r.i))
+    assert all([i for _, i in sorted(x)] == list(range(1, len(x) + 1)) for x in by.values())
+
+
 def test_batch_score_reports_bad_rows(spark):
     def model(frame):
         if (frame.x < 0).any():
