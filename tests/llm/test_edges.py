@@ -302,6 +302,21 @@ def test_rebalancing_moves_few_slots():
     assert set(sharding.rebalance(new, sizes, 24)) == set(range(24))
 
 
+def test_grown_table_edits_the_stored_map(spark, tmp_path):
+    maps, place = str(tmp_path / "maps"), {}
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    for shards in (8, 8, 9):
+        out = sharding.shard_documents(rows, shards, 1024, maps=maps)
+        place[len(place)] = {(r.doc_id, r.text_crc32): (r.shard, r.map_version) for r in out.collect()}
+        load = [r[1] for r in out.groupBy("shard").agg(F.sum("size")).collect()]
+        assert len(load) == shards and max(load) < 1.1 * min(load)  # a third of the rows has a null key
+    assert place[0] == place[1] and {v for _, v in place[2].values()} == {2}
+    assert sum(place[2][k][0] != s for k, (s, _) in place[0].items()) < len(place[0]) / 6
+    assert {r.version: r["count"] for r in spark.read.parquet(maps).groupBy("version").count().collect()} == {1: 1024, 2: 1024}
+    with pytest.raises(ValueError, match="1024 slots"):
+        sharding.shard_documents(rows, 8, 512, maps=maps)
+
+
 def test_line_dedup(spark, docs):
     out = line_dedup.drop_repeated_lines(docs.withColumn("pos", F.lit(3)).withColumn("i", F.lit(1)))
     by = {r.doc_id: r for r in out.collect()}
