@@ -31,7 +31,7 @@ from starloom.llm.common import Scratch, table
 
 HEAD = struct.Struct("<4sIIIIQ")
 SHARD_IDS = 1_000_000
-ROUNDS, PER_ROUND = 10, 512
+PER_ROUND = 512
 
 _L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 #: Texts of these letters only are split here as the tokenizer's own pattern splits them; others go to it whole.
@@ -70,8 +70,8 @@ class Encoder:
 
         self.tokenizer, self.most, self.last = Tokenizer.from_file(path), most, ("", b"")
         self.size, self.known = self.tokenizer.get_vocab_size(), _Pieces(self.tokenizer.model)
-        if self.size + ROUNDS * PER_ROUND > 1 << 16:
-            raise ValueError("this file format holds vocabularies of up to 60,000 ids")
+        if self.size > 1 << 16:
+            raise ValueError("this file format holds vocabularies of up to 65,536 ids")
         # pieces are cut here only for byte-level vocabularies with the pattern above
         probe = "It's  a\ttest,\n\n 12 \x00\x7f\xa0\xad \xe9\xff \xf1and\xfa's we'll_x\n x\n\n\x1cx \x1d\x1e\n \x1f "
         try:
@@ -100,22 +100,18 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def compress(ids: np.ndarray, vocabulary: int, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, vocabulary: int, per_round: int = PER_ROUND, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """(rules, symbols): rule k is the pair that nonterminal vocabulary + k stands for.
 
     A round replaces its most frequent pairs together. No symbol is on the
     left of one and on the right of another, so occurrences never overlap; of a
     run of one symbol paired with itself, every second place is taken.
-    Frequencies come from every fourth stretch of a long sequence; which pairs
-    are chosen changes the size only.
+    Rounds go on until no pair of the sequence comes ``least`` times, or all
+    symbols of 16 bits are in use.
     """
     seq, rules = ids.astype(np.uint32), []
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        some = seq if len(seq) < 1 << 18 else seq[: len(seq) // 8192 * 8192].reshape(-1, 8192)[::4].reshape(-1)
-        part = some[:-1].astype(np.uint64) << np.uint64(32) | some[1:]
-        codes, n = np.unique(part, return_counts=True)
+    while len(seq) > 1 and (room := min(per_round, (1 << 16) - vocabulary - len(rules))) > 0:
+        codes, n = np.unique(seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:], return_counts=True)
         some = np.flatnonzero(n >= least)
         some = some[np.lexsort((codes[some], -n[some]))][: 4 * per_round]
         left, right, chosen = set(), set(), []
@@ -125,7 +121,7 @@ def compress(ids: np.ndarray, vocabulary: int, rounds: int = ROUNDS, per_round:
                 left.add(a)
                 right.add(b)
                 chosen.append(c)
-                if len(chosen) == per_round:
+                if len(chosen) == room:
                     break
         if not chosen:
             break

@@ -280,6 +280,21 @@ def test_grammar_round_trip():
     assert len(s.symbols) < 400 and len(s.rules) > 0
 
 
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 50_000, 1 << 18).astype(np.uint16)
+    for k in range(60):  # copies in stretches 1 to 3 of every four
+        x[(k % 20 * 4 + 1) * 3277 + 100 * (k // 20) :][:40] = np.arange(40)
+    many = np.repeat(np.arange(14_000), 9).astype(np.uint16)
+    many = np.stack([many, many + 20_000], 1)[rng.permutation(len(many))].reshape(-1)
+    for ids, vocabulary, full in ((x, 50_257, False), (many, 50_000, False), (many, 62_000, True)):
+        rules, seq = token_store.compress(ids, vocabulary)
+        n = np.unique(seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:], return_counts=True)[1]
+        assert vocabulary + len(rules) == 1 << 16 if full else n.max() < 8
+        s = token_store.Shard.read(token_store.pack([1], np.array([len(ids)]), ids, vocabulary))
+        assert (s.ids() == ids).all()
+
+
 def test_sharding(spark, docs):
     rows = sharding.shard_documents(docs.withColumn("shard", F.lit(1)).withColumn("size", F.lit(1)), 4).collect()
     assert ids(rows) == EXPECTED
