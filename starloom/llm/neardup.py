@@ -232,7 +232,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs without the rows that ``near_duplicates`` doesn't keep; only rows that may go are shuffled."""
+    """docs without the rows that ``near_duplicates`` doesn't keep; only rows that may go are shuffled.
+
+    Rows go by key: rows that repeat a kept key all stay, also with the same
+    text, and rows with a null key all stay.
+    """
     gone = near_duplicates(docs, key, text, **how).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return without(docs, key, Scratch(docs.sparkSession, "kept").keep(gone, "gone"), "_gone")
 
