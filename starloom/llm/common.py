@@ -38,8 +38,9 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.paths = spark, f"{workspace(spark)}/starloom-{label}-{uuid.uuid4().hex[:12]}", {}
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
+    def keep(self, df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+        """df written and read back, at ``path`` if one is given."""
+        path = path or f"{self.root}/{name}-{len(self.paths)}"
         rows = self.spark.conf.get(BATCH)
         self.spark.conf.set(BATCH, "1000")  # whole texts: a batch of the usual 10,000 rows takes tens of megabytes on both sides
         try:

@@ -5,10 +5,11 @@ Each shard replaces frequent id pairs by nonterminals, round after round, and
 stores rules, expansion lengths and the remaining sequence, so that any run
 of ids is decoded without the rest. Shards are rows of a Parquet table.
 
-Layout of a shard, little-endian: magic RPR1; uint32 counts of documents,
+Layout of a shard, little-endian: magic RPR2; uint32 counts of documents,
 rules and symbols, uint32 vocabulary, uint64 ids; int64 document ids; a byte
 per document, 1 where its id is null; uint32 ids per document; uint16 left and
-right of each rule; uint32 expansion length of each rule; uint16 symbols.
+right of each rule; uint32 expansion length of each rule; uint64 ids before
+every 1,024th symbol; uint16 symbols.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -31,13 +33,15 @@ from starloom.llm.common import Scratch, table
 
 HEAD = struct.Struct("<4sIIIIQ")
 SHARD_IDS = 1_000_000
-PER_ROUND = 512
+#: A shard stores how many ids lie before every STEP-th symbol.
+STEP = 1024
 
 _L = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 #: Texts of these letters only are split here as the tokenizer's own pattern splits them; others go to it whole.
 _PLAIN = re.compile(f"[^\\x00-\\x7f{_L}]|<\\|")
 #: The tokenizer's white space; Python's \\s also holds U+001C to U+001F.
 _S = "\\t-\\r \\x85\\xa0"
+_WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0")
 _PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[0-9]+| ?[^{_S}{_L}0-9]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
@@ -48,28 +52,73 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Pieces(dict):
-    """Ids of pieces as uint16 bytes, encoded when first met."""
+class _Known(dict):
+    """Values made when first asked for. ``turn`` makes all entries old ones; of those, only the ones asked for again stay on."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        self[key] = out
+        return out
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+
+class _Pieces(_Known):
+    """Ids of pieces as uint16 bytes."""
 
     def __init__(self, model):
         super().__init__()
         self.tokenize, self.letters = model.tokenize, _byte_letters()
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = [t.id for t in self.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.letters))]
-        out = self[piece] = struct.pack(f"={len(ids)}H", *ids)
-        return out
+    def make(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1")
+        return self.ids(letters.translate(self.letters))
+
+    def ids(self, letters: str) -> bytes:
+        return array("H", [t.id for t in self.tokenize(letters)]).tobytes()
+
+
+class _Chunks(_Known):
+    """Ids of what lies between two single spaces, with the space before it. A newline begins a chunk of its own and takes no space."""
+
+    def __init__(self, pieces: _Pieces, split: Callable[[str], bytes]):
+        super().__init__()
+        self.pieces, self.split, self.space = pieces, split, pieces.letters[32]
+
+    def make(self, chunk: str) -> bytes:
+        if chunk.isalpha() or chunk.isdecimal():  # one piece; visible signs of ASCII stand for themselves
+            return self.pieces.ids(self.space + chunk) if chunk.isascii() else self.pieces.make(" " + chunk)
+        body = chunk[1:] if chunk[:1] == "\n" else chunk
+        if body and (body[0] in _WHITE or body[-1] in _WHITE) or not chunk:
+            raise LookupError("white space around the chunk must be seen too")
+        return self.split(chunk if chunk[0] == "\n" else " " + chunk)
 
 
 class Encoder:
-    """Ids of texts as uint16 bytes. Pieces met before are looked up; at most ``most`` of them are held."""
+    """Ids of texts as uint16 bytes.
+
+    Where the vocabulary is byte-level with the pattern above, texts are cut at
+    single spaces and newlines, which end a piece whatever stands around them;
+    chunks met before are looked up and the others cut into pieces. At most
+    ``most`` pieces and as many chunks are held. Everything else goes to the
+    tokenizer whole.
+    """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.last = Tokenizer.from_file(path), most, ("", b"")
         self.size, self.known = self.tokenizer.get_vocab_size(), _Pieces(self.tokenizer.model)
+        self.chunks = _Chunks(self.known, self.split)
         if self.size > 1 << 16:
             raise ValueError("this file format holds vocabularies of up to 65,536 ids")
         # pieces are cut here only for byte-level vocabularies with the pattern above
@@ -83,14 +132,26 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
 
     def split(self, text: str) -> bytes:
+        if len(self.known) > self.most // 2:
+            self.known.turn()
         return b"".join(map(self.known.__getitem__, _PIECES.findall(text)))
 
+    def joined(self, text: str) -> bytes:
+        """Ids chunk by chunk. Only white space of one sign between two others is cut at, so runs of it fall back to ``split``."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in _WHITE or text[-1:] in _WHITE:
+            return self.split(text)
+        if len(self.chunks) > self.most // 2:
+            self.chunks.turn()
+        first, *rest = text.replace("\n", " \n").split(" ")
+        try:
+            return self.split(first) + b"".join(map(self.chunks.__getitem__, rest))
+        except LookupError:
+            return self.split(text)
+
     def encode(self, text: str) -> bytes:
-        if len(self.known) > self.most:
-            self.known.clear()
         if text != self.last[0]:  # repeated rows stand next to each other
             plain = "<|" not in text if text.isascii() else not _PLAIN.search(text)
-            self.last = text, self.split(text) if self.pieces and plain else self.whole(text)
+            self.last = text, self.joined(text) if self.pieces and plain else self.whole(text)
         return self.last[1]
 
 
@@ -100,23 +161,26 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def compress(ids: np.ndarray, vocabulary: int, per_round: int = PER_ROUND, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, vocabulary: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """(rules, symbols): rule k is the pair that nonterminal vocabulary + k stands for.
 
-    A round replaces its most frequent pairs together. No symbol is on the
-    left of one and on the right of another, so occurrences never overlap; of a
-    run of one symbol paired with itself, every second place is taken.
-    Rounds go on until no pair of the sequence comes ``least`` times, or all
-    symbols of 16 bits are in use.
+    A round counts all pairs of the sequence and replaces those of ``least`` or
+    more places together, the most frequent first. No symbol is on the left of one and on the right of another,
+    so occurrences never overlap; of a run of one symbol paired with itself,
+    every second place is taken. Rounds go on until no pair comes ``least``
+    times, or all symbols of 16 bits are in use. A rule takes 8 bytes and each
+    of its occurrences saves 2.
     """
     seq, rules = ids.astype(np.uint32), []
-    while len(seq) > 1 and (room := min(per_round, (1 << 16) - vocabulary - len(rules))) > 0:
-        codes, n = np.unique(seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:], return_counts=True)
-        some = np.flatnonzero(n >= least)
-        some = some[np.lexsort((codes[some], -n[some]))][: 4 * per_round]
+    sixteen = np.uint32(16)
+    while len(seq) > 1 and (room := (1 << 16) - vocabulary - len(rules)) > 0:
+        here = seq[:-1] << sixteen | seq[1:]
+        codes = np.sort(here)
+        codes = codes[least - 1 :][codes[least - 1 :] == codes[: len(codes) - least + 1]]  # a pair of n places is left n - least + 1 times
+        codes, n = np.unique(codes, return_counts=True)
         left, right, chosen = set(), set(), []
-        for c in codes[some].tolist():
-            a, b = c >> 32, c & 0xFFFFFFFF
+        for c in codes[np.lexsort((codes, -n))].tolist():
+            a, b = c >> 16, c & 0xFFFF
             if (a not in right and b not in left) if a != b else not (a in left or a in right):
                 left.add(a)
                 right.add(b)
@@ -125,25 +189,26 @@ def compress(ids: np.ndarray, vocabulary: int, per_round: int = PER_ROUND, least
                     break
         if not chosen:
             break
-        top = vocabulary + len(rules) + len(chosen)
-        is_left, is_right = np.zeros(top, bool), np.zeros(top, bool)
+        is_left, is_right = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
         is_left[list(left)] = is_right[list(right)] = True
         at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]])
-        order = np.argsort(np.array(chosen, np.uint64))
-        sorted_codes = np.array(chosen, np.uint64)[order]
-        here = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+        order = np.argsort(np.array(chosen, np.uint32))
+        sorted_codes = np.array(chosen, np.uint32)[order]
+        here = here[at]
         place = np.minimum(np.searchsorted(sorted_codes, here), len(chosen) - 1)
         ok = sorted_codes[place] == here
         at, place = at[ok], place[ok]
-        head = np.r_[True, (np.diff(at) > 1) | (np.diff(place) != 0)] if len(at) else np.zeros(0, bool)
-        first = np.flatnonzero(head)
-        ok = (np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))) % 2 == 0
-        at, place = at[ok], place[ok]
+        twin = np.flatnonzero((np.diff(at) == 1) & (np.diff(place) == 0))
+        if len(twin):  # only runs of one symbol can touch
+            head = np.r_[True, (np.diff(at) > 1) | (np.diff(place) != 0)]
+            first = np.flatnonzero(head)
+            ok = (np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))) % 2 == 0
+            at, place = at[ok], place[ok]
         seq[at] = vocabulary + len(rules) + order[place]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        rules += [(c >> 32, c & 0xFFFFFFFF) for c in chosen]
+        rules += [(c >> 16, c & 0xFFFF) for c in chosen]
     return np.array(rules, np.uint16).reshape(-1, 2), seq.astype(np.uint16)
 
 
@@ -152,9 +217,11 @@ def pack(docs: list[int | None], counts: np.ndarray, ids: np.ndarray, vocabulary
     length = np.ones(vocabulary + len(rules), np.uint32)
     for k, (a, b) in enumerate(rules.tolist()):
         length[vocabulary + k] = length[a] + length[b]
+    marks = np.concatenate([[0], np.cumsum(length[seq], dtype=np.uint64)])[:-1:STEP]
     null = np.array([d is None for d in docs], np.uint8)
     names = np.array([0 if d is None else d for d in docs], "<i8")
-    return b"".join([HEAD.pack(b"RPR1", len(docs), len(rules), len(seq), vocabulary, len(ids)), names.tobytes(), null.tobytes(), counts.astype("<u4").tobytes(), rules.astype("<u2").tobytes(), length[vocabulary:].astype("<u4").tobytes(), seq.astype("<u2").tobytes()])
+    parts = (names, null, counts.astype("<u4"), rules.astype("<u2"), length[vocabulary:].astype("<u4"), marks.astype("<u8"), seq.astype("<u2"))
+    return b"".join([HEAD.pack(b"RPR2", len(docs), len(rules), len(seq), vocabulary, len(ids)), *(p.tobytes() for p in parts)])
 
 
 class Shard(NamedTuple):
@@ -163,44 +230,53 @@ class Shard(NamedTuple):
     counts: np.ndarray
     vocabulary: int
     rules: np.ndarray
-    length: np.ndarray  # of every symbol
+    length: np.ndarray  # of every rule's expansion
+    marks: np.ndarray  # ids before every STEP-th symbol
     symbols: np.ndarray
+    n_ids: int
 
     @classmethod
     def read(cls, data: bytes) -> Shard:
-        magic, n, r, m, vocabulary, _ = HEAD.unpack_from(data)
-        if magic != b"RPR1":
+        magic, n, r, m, vocabulary, ids = HEAD.unpack_from(data)
+        if magic != b"RPR2":
             raise ValueError("not a Re-Pair shard")
         out, at = [], HEAD.size
-        for kind, size in (("<i8", n), ("u1", n), ("<u4", n), ("<u2", 2 * r), ("<u4", r), ("<u2", m)):
+        for kind, size in (("<i8", n), ("u1", n), ("<u4", n), ("<u2", 2 * r), ("<u4", r), ("<u8", -(-m // STEP)), ("<u2", m)):
             out.append(np.frombuffer(data, kind, size, at))
             at += out[-1].nbytes
-        return cls(out[0], out[1], out[2], vocabulary, out[3].reshape(-1, 2), np.concatenate([np.ones(vocabulary, np.int64), out[4].astype(np.int64)]), out[5])
-
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all expansions one after another, where each symbol's expansion begins)."""
-        first = np.concatenate([[0], np.cumsum(self.length)])
-        flat = np.zeros(first[-1], np.uint32)
-        flat[: self.vocabulary] = np.arange(self.vocabulary)
-        for k, (a, b) in enumerate(self.rules.tolist()):
-            at, n = first[self.vocabulary + k], self.length[a]
-            flat[at : at + n] = flat[first[a] : first[a] + n]
-            flat[at + n : first[self.vocabulary + k + 1]] = flat[first[b] : first[b] + self.length[b]]
-        return flat, first
+        return cls(out[0], out[1], out[2], vocabulary, out[3].reshape(-1, 2), out[4], out[5], out[6], ids)
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids that symbols stand for: nonterminals are replaced by their pairs, level by level, until none is left."""
+        out = symbols.astype(np.uint32)
+        while (some := np.flatnonzero(out >= self.vocabulary)).size:
+            wide = np.repeat(out, 1 + (out >= self.vocabulary))
+            at = some + np.arange(len(some))
+            pair = self.rules[out[some] - self.vocabulary]
+            wide[at], wide[at + 1] = pair[:, 0], pair[:, 1]
+            out = wide
+        return out
+
+    def sizes(self) -> np.ndarray:
+        return np.concatenate([np.ones(self.vocabulary, np.int64), self.length.astype(np.int64)])
 
     def ids(self, start: int = 0, end: int | None = None) -> np.ndarray:
-        """Ids start..end of the shard; only symbols over that range are expanded."""
-        stop = np.cumsum(self.length[self.symbols])
-        end = int(stop[-1]) if end is None and len(stop) else end or 0
-        a, b = int(np.searchsorted(stop, start, "right")), int(np.searchsorted(stop, end, "left")) + 1
-        some = self.symbols[a:b]
-        if end <= start or not len(some):
+        """Ids start..end of the shard; only symbols over that range are read and expanded."""
+        end = self.n_ids if end is None else min(end, self.n_ids)
+        if end <= start:
             return np.zeros(0, np.uint32)
-        flat, first = self.table()
-        n = self.length[some]
-        begin = np.cumsum(n) - n
-        out = flat[np.repeat(first[some] - begin, n) + np.arange(n.sum())]
-        skip = start - (int(stop[a - 1]) if a else 0)
+        a = (int(np.searchsorted(self.marks, start, "right")) - 1) * STEP
+        b = int(np.searchsorted(self.marks, end, "left")) * STEP
+        some, sizes = self.symbols[a:b], self.sizes()
+        stop = int(self.marks[a // STEP]) + np.cumsum(sizes[some])
+        i, j = int(np.searchsorted(stop, start, "right")), int(np.searchsorted(stop, end, "left")) + 1
+        some = some[i:j]
+        used = np.flatnonzero(np.bincount(some, minlength=len(sizes)))  # each symbol of the range is expanded once
+        flat, first = self.expand(used), np.zeros(len(sizes), np.int64)
+        first[used] = np.cumsum(sizes[used]) - sizes[used]
+        n = sizes[some]
+        out = flat[np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        skip = start - int(stop[i] - n[0])
         return out[skip : skip + end - start]
 
 
@@ -241,33 +317,72 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
             s, base = Shard.read(batch.column(1)[k].as_py()), batch.column(0)[k].as_py()
-            ids = s.ids().astype("<u4")
+            ids = memoryview(s.ids().astype("<u4")).cast("B")
             stop = np.cumsum(s.counts, dtype=np.int64)
-            crc = [zlib.crc32(ids[b - n : b].tobytes()) for b, n in zip(stop.tolist(), s.counts.tolist(), strict=True)]
+            crc = [zlib.crc32(ids[4 * (b - n) : 4 * b]) for b, n in zip(stop.tolist(), s.counts.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(s.docs, pa.int64(), mask=s.null.astype(bool)), pa.array(base + stop - s.counts), pa.array(s.counts.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def write_shards(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0, shard_ids: int = SHARD_IDS) -> DataFrame:
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for wanted, payload in zip(batch.column(0), batch.column(1), strict=True):
+            s = Shard.read(payload.as_buffer())
+            for w in wanted:
+                a, b = w["from"].as_py(), w["to"].as_py()
+                out.append((w["start"].as_py(), w["end"].as_py(), w["at"].as_py(), s.ids(a, b).astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in range(3)] + [pa.array([o[3] for o in out], pa.list_(pa.int64()))], names=["start", "end", "at", "part"])
+
+
+def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, key: str = "doc_id", text: str = "text", end_id: int = 0, shard_ids: int = SHARD_IDS) -> DataFrame:
     """The table of shards (part, shard, n_docs, n_ids, ids before it in its part, payload), in ascending key order by part and shard.
 
-    Null texts are empty and give the end id alone; null keys come first;
-    rows that repeat a key are all written, in any order among themselves, and
-    spread over partitions. tokenizer is a file that every executor can open.
-    A shard holds ``shard_ids`` ids, and a longer document whole.
+    It is written as Parquet to ``path``, which must not exist, or to the
+    scratch folder without one. Null texts are empty and give the end id alone;
+    null keys come first; rows that repeat a key are all written, in any order
+    among themselves, and spread over partitions. tokenizer is a file that
+    every executor can open. A shard holds ``shard_ids`` ids, and a longer
+    document whole. An empty table gives no shards. Other columns of docs,
+    whatever their names, are not stored.
     """
-    scratch = Scratch(docs.sparkSession, "tokens")
     body = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("_tie"))
     body = body.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
-    return scratch.keep(body.mapInArrow(_writer(tokenizer, end_id, shard_ids), SHARDS), "shards")
+    return Scratch(docs.sparkSession, "tokens").keep(body.mapInArrow(_writer(tokenizer, end_id, shard_ids), SHARDS), "shards", path)
 
 
-def read_documents(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each stored document: ids of all documents before it, its ids, and their CRC."""
+def _placed(shards: DataFrame) -> DataFrame:
+    """shards with _base, the ids of all shards before each."""
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    base = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    base = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_part_base"))
     # one row per partition of the writer is broadcast, so payloads stay where they are
-    placed = shards.join(F.broadcast(base), "part").select((F.col("_base") + F.col("before")).alias("_base"), "payload")
-    return placed.mapInArrow(_reader, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return shards.join(F.broadcast(base), "part").withColumn("_base", F.col("_part_base") + F.col("before"))
+
+
+def read_documents(shards: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of each stored document: ids of all documents before it, its ids, and their CRC."""
+    return _placed(shards).select("_base", "payload").mapInArrow(_reader, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+
+
+def read_ranges(shards: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(start, end, ids): the ids start..end of the whole store for each row of wanted(start, end).
+
+    Ranges meet the shards under them by equal stretches of as many ids as the
+    longest shard holds; a payload is read only where a range lies, and only the symbols
+    under it are expanded. Ranges are cut off at the end of the store; empty
+    and null ones give no row.
+    """
+    heads = _placed(shards.drop("payload")).select("part", "shard", "_base", (F.col("_base") + F.col("n_ids")).alias("_stop"))
+    wide = max(shards.agg(F.max("n_ids")).first()[0] or 1, 1)
+    cells = lambda a, b: F.explode(F.sequence(F.floor(a / wide), F.floor((b - 1) / wide))).alias("_cell")
+    want = wanted.select(F.col("start").cast("long"), F.col("end").cast("long")).where("start >= 0 and start < end").distinct()
+    heads = heads.select("*", cells(F.col("_base"), F.col("_stop")))
+    on = want.select("*", cells(F.col("start"), F.col("end"))).join(heads, "_cell").where("start < _stop and _base < end")
+    at = F.greatest("start", "_base")
+    one = F.struct("start", "end", at.alias("at"), (at - F.col("_base")).alias("from"), (F.least("end", "_stop") - F.col("_base")).alias("to"))
+    asked = on.select("part", "shard", one.alias("_one")).distinct().groupBy("part", "shard").agg(F.collect_list("_one").alias("_wanted"))
+    found = shards.join(asked, ["part", "shard"]).select("_wanted", "payload").mapInArrow(_ranges, "start bigint, end bigint, at bigint, part array<bigint>")
+    pieces = found.groupBy("start", "end").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("_p"))
+    return pieces.select("start", "end", F.flatten(F.transform("_p", lambda x: x["part"])).alias("ids"))
 
 
 def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:

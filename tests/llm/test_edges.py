@@ -267,6 +267,30 @@ def test_pieces_agree_with_the_tokenizer_on_control_characters():
         assert np.frombuffer(e.encode(text), np.uint16).tolist() == want, repr(text)
 
 
+def test_pieces_agree_with_the_tokenizer_on_pairs_and_triples():
+    e, rng = token_store.Encoder(token_store.public_tokenizer()), np.random.default_rng(4)
+    signs = [chr(c) for c in range(0x180)]
+    texts = [a + b for a in signs for b in signs]
+    around = ("", " ", "  ", "\n", "\n\n", "\n\n\n", " \n ", "word", "end.\n\n")
+    for a, x, y, z, b in zip(*(rng.integers(0, n, 60_000) for n in (len(around), 0x180, 0x180, 0x180, len(around))), strict=True):
+        texts.append(around[a] + signs[x] + " " * (x % 3) + signs[y] + signs[z] + around[b])
+    want = e.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for text, w in zip(texts, want, strict=True):
+        assert e.encode(text) == np.array(w.ids, np.uint16).tobytes(), repr(text)
+
+
+def test_random_access(spark, docs, tmp_path):
+    shards = token_store.write_shards(docs, token_store.public_tokenizer(), str(tmp_path / "store"), shard_ids=3000)
+    assert spark.read.parquet(str(tmp_path / "store")).count() == shards.count() > 1
+    held = {}
+    for r in shards.collect():
+        held[r.part, r.shard] = token_store.Shard.read(r.payload).ids()
+    whole = np.concatenate([held[k] for k in sorted(held)])
+    ranges = [(0, 1), (0, len(whole)), (2990, 9050), (len(whole) - 3, len(whole) + 50), (5, 5), (7, None), (100, 200), (100, 200)]
+    got = {(r.start, r.end): r.ids for r in token_store.read_ranges(shards, spark.createDataFrame(ranges, "start long, end long")).collect()}
+    assert got == {(a, b): whole[a:b].tolist() for a, b in ranges if b is not None and a < b}
+
+
 def test_grammar_round_trip():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 50, 5000):
