@@ -39,7 +39,8 @@ def measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     n_repeat_words counts words inside 3-word windows that occur twice or
     more: windows are compared by 64-bit hash, their equal neighbours found in
-    sorted order, and their words counted once.
+    sorted order, and their words counted once, so a text of n words takes
+    n log n steps. Columns of docs other than key and text are not read.
     """
     cut = lambda chars: F.char_length("_t") - F.char_length(F.translate("_t", chars, ""))
     d = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
@@ -47,11 +48,12 @@ def measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     d = d.select("_key", F.array_remove(F.split("_t", r"[\x20\x09-\x0D]+"), "").alias("_w"), lines.alias("_l"), (F.char_length("_t") - cut(SPACES)).cast("long").alias("word_chars"), cut(SYMBOLS).cast("long").alias("n_symbols"), cut("!").alias("_bangs"), cut(UPPER).alias("_upper"), cut("0123456789").alias("_digits"))
     h = F.when(F.size("_w") >= 3, F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: F.xxhash64(F.get("_w", i - 1), F.get("_w", i), F.get("_w", i + 1)))).otherwise(F.array().cast("array<bigint>"))
     d = d.select("*", F.size("_w").cast("long").alias("n_words"), F.size("_l").cast("long").alias("n_lines"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), h.alias("_h")).drop("_w", "_l")
-    d = d.withColumn("_s", F.sort_array("_h"))
-    d = d.withColumn("_d", F.array_distinct(F.filter("_s", lambda x, i: x == F.get("_s", i + 1)))).drop("_s")
-    at = F.when(F.size("_d") > 0, F.filter(F.sequence(F.lit(0), F.size("_h") - 1), lambda i: F.array_contains("_d", F.get("_h", i)))).otherwise(F.array().cast("array<int>"))
-    d = d.withColumn("_p", at)
-    d = d.withColumn("n_repeat_words", F.size(F.array_distinct(F.flatten(F.transform("_p", lambda p: F.array(p, p + 1, p + 2))))).cast("long"))
+    d = d.withColumn("_s", F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("at"))))).drop("_h")
+    twice = F.filter("_s", lambda x, i: (x["h"] == F.get("_s", i - 1)["h"]) | (x["h"] == F.get("_s", i + 1)["h"]))
+    d = d.withColumn("_p", F.sort_array(F.transform(twice, lambda x: x["at"]))).drop("_s")
+    # places rise, so each adds its own three words less those that the next window holds too
+    own = F.transform("_p", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_p", i + 1) - p, F.lit(3))))
+    d = d.withColumn("n_repeat_words", F.aggregate(own, F.lit(0).cast("long"), lambda acc, x: acc + x)).drop("_p")
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     ratios = [share("n_symbols", "word_chars").alias("symbol_share"), share("_bangs", "word_chars").alias("bang_share"), share("_upper", "word_chars").alias("upper_share"), share("_digits", "word_chars").alias("digit_share"), share("n_dup_lines", "n_lines").alias("dup_line_share"), share("n_repeat_words", "n_words").alias("repeat_share"), share("word_chars", "n_words").alias("mean_word")]
     return d.select(F.col("_key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *ratios)
@@ -149,6 +151,11 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     Rules learn from labelled rows outside fold 0 of crc32(key) mod 5; fold 1
     prunes. Null and empty texts have no words and fail the base rule. Labels
     repeated for a key count once each; rows without a label are judged only.
+    Rows that repeat a key are each judged by their own text; an empty table
+    gives no rows. Ties between conditions go to the first measure and the
+    lowest threshold. The list has at most 8 rules of 3 conditions, and
+    thresholds are the 64-quantiles of all and of bad labelled rows. Columns
+    of docs other than key and text are left out, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "rules")
     m = scratch.keep(measures(docs, key, text), "measures")
