@@ -79,52 +79,77 @@ def numbered(scratch: Scratch, df: DataFrame, order: list, name: str, within: li
     return j.select(*[F.col(f"t.{c}") for c in df.columns], (F.col("t._at") - F.col("h._head") + F.col("h._before")).alias(name))
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, how: str = "inner", most: int = 1000) -> DataFrame:
+    """left joined with right on ``on``; right has one row per key, with the number of left's rows that have the key in ``rows``.
+
+    Keys of more than 1/``most`` of all rows are at most ``most``: they are
+    broadcast, so their rows stay where they lie. The others are shuffled, and
+    none of them fills a task. Both tables are read more than once, so they
+    should be stored. how is inner or left; ``rows`` is dropped.
+    """
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    many = F.col(rows) > max(total // most, 1)
+    hot, rest = right.where(many).drop(rows), right.where(~many).drop(rows)
+    out = left.join(F.broadcast(hot), on)
+    cold = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on, how)
+    return out.unionByName(cold.select(*out.columns))
+
+
+def _slot(key: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+
+
 def occupied(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, slots: int = 1 << 20) -> DataFrame:
-    """Rows of df whose key falls in a hash slot that some wanted key falls in: no wanted row is lost, a few others stay.
+    """Rows of df whose key is wanted; a few others may stay. ``wanted`` is a stored table without null keys.
 
-    At most ``slots`` distinct small integers are broadcast whatever the size
-    of ``wanted``, so wide rows are pruned before any shuffle.
+    As long as it has at most ``slots`` / 4 rows, the hash slots that they fall
+    in are broadcast (distinct small integers), and rows in other slots are
+    pruned before any shuffle. Beyond that the slots would let most rows
+    through, and an exact semi join takes their place.
     """
-    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(slots)).cast("int")
-    marks = wanted.select(slot(wanted_key).alias("_slot")).distinct()
-    return df.withColumn("_slot", slot(key)).join(F.broadcast(marks), "_slot", "left_semi").drop("_slot")
+    if wanted.count() > slots // 4:
+        return df.join(wanted.select(wanted_key.alias("_wanted")), key == F.col("_wanted"), "left_semi")
+    marks = wanted.select(_slot(wanted_key, slots).alias("_slot")).distinct()
+    return df.withColumn("_slot", _slot(key, slots)).join(F.broadcast(marks), "_slot", "left_semi").drop("_slot")
 
 
 def without(df: DataFrame, key: str, gone: DataFrame, gone_key: str, slots: int = 1 << 20) -> DataFrame:
     """Rows of df whose key is not among ``gone``, a stored table; null keys stay.
 
-    Rows whose hash slot holds no such key pass as they are; only the others
-    are shuffled for the exact join. At most ``slots`` integers are broadcast.
+    While ``gone`` has at most ``slots`` / 4 rows, rows whose hash slot holds no
+    such key pass as they are and only the others are shuffled for the exact
+    join; beyond that all rows are.
     """
-    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(slots)).cast("int")
-    marks = gone.select(slot(F.col(gone_key)).alias("_slot")).distinct()
-    clear = df.withColumn("_slot", slot(F.col(key))).join(F.broadcast(marks), "_slot", "left_anti").drop("_slot")
-    return clear.unionAll(occupied(df, F.col(key), gone, F.col(gone_key), slots).join(gone, F.col(key) == F.col(gone_key), "left_anti"))
+    exact = lambda d: d.join(gone, F.col(key) == F.col(gone_key), "left_anti")
+    if gone.count() > slots // 4:
+        return exact(df)
+    marks = gone.select(_slot(F.col(gone_key), slots).alias("_slot")).distinct()
+    slotted = df.withColumn("_slot", _slot(F.col(key), slots))
+    clear = slotted.join(F.broadcast(marks), "_slot", "left_anti").drop("_slot")
+    return clear.unionAll(exact(slotted.join(F.broadcast(marks), "_slot", "left_semi").drop("_slot")))
 
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """(id, component_id) of every id in links(a, b): component_id is the smallest id reachable.
 
-    Alternating large-star and small-star rewrites; every step is an
-    aggregate and a join back, so a hub with very many links is pre-aggregated.
+    Alternating large-star and small-star rewrites. Every step counts the links
+    of each id with its minimum, and joins the minimum back by ``spread_join``, so
+    a hub with a large share of all links stays spread over tasks.
     """
-    spark = scratch.spark
     edges = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
     while True:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = scratch.keep(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(joined.select("u", F.col("m").alias("v")))
+        low = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "low")
+        large = scratch.keep(spread_join(both, low, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        least = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "low")
+        joined = spread_join(large, least, ["u"], "n")
+        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         new = scratch.keep(small.where("u <> v").distinct(), "small")
-        seen = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(edges, large)
+        scratch.drop(edges, low, large, least)
         edges = new
-        if seen == mark:
-            break
-        mark = seen
+        ends = new.select("u", F.lit(1).alias("links"), F.lit(0).alias("below")).unionAll(new.select("v", F.lit(0), F.lit(1)))
+        if not ends.groupBy("u").agg(F.sum("links").alias("links"), F.max("below").alias("below")).where("links > 1 or links = 1 and below = 1").head(1):
+            break  # every id has one link, to an id that has none
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
 
 

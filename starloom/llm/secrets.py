@@ -132,34 +132,53 @@ def candidates(index: DataFrame, asked: dict[str, list[frozenset[str]]], key: st
     return hits.groupBy(key, "rule", "part").agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed")).where("n = needed").select(key, "rule")
 
 
+SPAN = "struct<start:bigint,ord:int,end:bigint,kind:string>"
+#: Matches whose spans are added up one after another; whole blocks are placed by the sums of their lengths.
+BLOCK = 256
+
+
 def found_spans(text: Column, rule: Rule, order: int) -> Column:
     """array<struct<start, ord, end, kind>> of the rule's leftmost non-overlapping matches that are long enough; places in code points.
 
     The pieces between matches and the matches add up to the text, so places
-    are running sums of their lengths.
+    are running sums of their lengths: of blocks first, then inside each block.
     """
-    kind = "array<struct<start:bigint,ord:int,end:bigint,kind:string>>"
     pieces, whole = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    parts = F.arrays_zip(pieces.alias("p"), whole.alias("m"), (F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole).alias("g"))
+    group = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
+    size = lambda c: F.transform(c, lambda x: F.char_length(x).cast("long"))
+    parts = F.arrays_zip(size(pieces).alias("p"), size(whole).alias("m"), size(group).alias("g"))
+    # the lengths are bound once, as the only element of an array, and so are the blocks and where they begin
+    bound = lambda c, f: F.get(F.transform(F.array(c), f), 0)
+    both = lambda x: x["p"] + F.coalesce(x["m"], F.lit(0).cast("long"))  # noqa: E731  the last piece has no match behind it
+
+    def block_spans(block: Column, begin: Column) -> Column:
+        def step(acc, x):
+            start = acc["at"] + x["p"]
+            span = F.struct(start.alias("start"), F.lit(order).alias("ord"), (start + x["m"]).alias("end"), F.lit(rule.kind).alias("kind"))
+            here = F.when(x["g"] >= rule.least, F.array(span)).otherwise(F.array().cast(f"array<{SPAN}>"))
+            return F.struct((acc["at"] + both(x)).alias("at"), F.concat(acc["out"], here).alias("out"))
 
-    def step(acc, x):
-        start = acc["at"] + F.char_length(x["p"])
-        end = start + F.char_length(x["m"])
-        here = F.when(F.char_length(x["g"]) >= rule.least, F.array(F.struct(start.cast("long").alias("start"), F.lit(order).alias("ord"), end.cast("long").alias("end"), F.lit(rule.kind).alias("kind")))).otherwise(F.array().cast(kind))
-        more = F.coalesce(F.concat(acc["out"], here), acc["out"])
-        return F.struct(F.coalesce(end.cast("long"), acc["at"]).alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(more).alias("out"))
+        return F.aggregate(block, F.struct(begin.alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), step, lambda acc: acc["out"])
 
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out"))
-    return F.aggregate(parts, first, step, lambda acc: acc["out"])
+    def placed(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda acc, x: acc + both(x)))
+        begins = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        return bound(begins, lambda at: F.flatten(F.transform(blocks, lambda b, i: block_spans(b, F.get(at, i)))))
+
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda k: F.slice(all_, k * BLOCK + 1, BLOCK))
+    return bound(parts, lambda all_: bound(cut(all_), placed))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, key: str = "doc_id", text: str = "text", slots: int = 1 << 20) -> DataFrame:
     """(key, found): found holds every rule's spans sorted by start, then rule order.
 
     Null texts count as empty and have no spans; repeated rows each keep
-    their own; an empty table gives no rows. The candidate mask that is
-    broadcast has at most ``slots`` rows whatever the input; documents that
-    share a slot with a candidate are searched too and give no false spans.
+    their own; an empty table gives no rows. Matches of one kind never overlap;
+    spans that tie on their start are in rule order. A text of m matches takes
+    about m steps, however long it is. Other columns are left out, whatever
+    their names. Up to ``slots`` / 4 candidates reach the texts as the hash slots
+    that they fall in, broadcast; documents that share a slot are searched too
+    and give no false spans. Beyond that they are joined by key.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "secrets")
@@ -167,15 +186,19 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, key: str = "do
     order = {r.kind: i for i, r in enumerate(rules)}
     grams = sorted({t for q in asked.values() for s in q for t in s})
     body = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    slot = F.pmod(F.xxhash64("_key"), F.lit(slots)).cast("int")
     if asked:
         index = scratch.keep(postings(body, grams, "_key", "_text"), "postings")
         bit = F.element_at(F.create_map(*[x for k in asked for x in (F.lit(k), F.lit(1 << order[k]))]), F.col("rule"))
-        mask = candidates(index, asked, "_key").groupBy(slot.alias("_slot")).agg(F.bit_or(bit).alias("_mask"))
-        body = body.withColumn("_slot", slot).join(F.broadcast(mask), "_slot", "left")
+        may = scratch.keep(candidates(index, asked, "_key").groupBy("_key").agg(F.bit_or(bit).alias("_mask")), "candidates")
+        scratch.drop(index)
+        if may.count() > slots // 4:
+            body = body.join(may.withColumnRenamed("_key", "_of"), F.col("_key").eqNullSafe(F.col("_of")), "left").drop("_of")
+        else:
+            slot = F.pmod(F.xxhash64("_key"), F.lit(slots)).cast("int").alias("_slot")
+            body = body.select("*", slot).join(F.broadcast(may.groupBy(slot).agg(F.bit_or("_mask").alias("_mask"))), "_slot", "left")
     else:
         body = body.withColumn("_mask", F.lit(0))
-    none = F.array().cast("array<struct<start:bigint,ord:int,end:bigint,kind:string>>")
+    none = F.array().cast(f"array<{SPAN}>")
     each = []
     for i, r in enumerate(rules):
         may = F.rlike("_text", F.lit(r.pattern))
