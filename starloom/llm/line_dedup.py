@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.common import Scratch, numbered, occupied, table
+from starloom.llm.common import Scratch, numbered, spread_join, table
 
 DOC = ["_key", "_hash"]
 
@@ -68,8 +68,10 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
         first, last = F.when(power == j, F.col(f"r{j}")).otherwise(first), F.when(power == j, behind).otherwise(last)
     runs = scratch.keep(live.select(*DOC, "seg", "i", "pos", "w", "len", first.alias("a"), last.alias("b")), "runs")
     where = F.struct(*DOC, "i")
-    heads = runs.where("a is not null and b is not null").groupBy("len", "a", "b").agg(F.min(where).alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = runs.join(heads.drop("n"), ["len", "a", "b"], "left").withColumn("_to", F.when(where > F.col("_first"), F.col("i") + F.col("len")))
+    named = "len is not null and a is not null and b is not null"
+    heads = scratch.keep(runs.where(named).groupBy("len", "a", "b").agg(F.min(where).alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "heads")
+    marked = spread_join(runs.where(named), heads, ["len", "a", "b"], "n", "left").unionByName(runs.where(f"not ({named})").withColumn("_first", F.lit(None).cast(heads.schema["_first"].dataType)))
+    marked = marked.withColumn("_to", F.when(where > F.col("_first"), F.col("i") + F.col("len")))
     reach = F.max("_to").over(place.rowsBetween(1 - min_words, 0))
     return marked.withColumn("_reach", reach).where("_reach > i").select(*DOC, "i", "pos", "w")
 
@@ -89,9 +91,13 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     cut = scratch.keep(gone.groupBy(*DOC).agg(F.collect_list("pos").alias("_gone"), F.sum("w").alias("_w")), "cut")
     n = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines")
     # only texts that may lose lines are shuffled
-    some = occupied(docs, F.col(key), cut, F.col("_key"))
-    marks = cut.select(F.pmod(F.xxhash64("_key"), F.lit(1 << 20)).cast("int").alias("_slot")).distinct()
-    rest = docs.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(1 << 20)).cast("int")).join(F.broadcast(marks), "_slot", "left_anti").drop("_slot")
+    slots = 1 << 20
+    slot = lambda k: F.pmod(F.xxhash64(k), F.lit(slots)).cast("int").alias("_slot")
+    marks = F.broadcast(cut.select(slot("_key")).distinct())
+    slotted = docs.select("*", slot(key))
+    every = cut.count() > slots // 4  # then the slots would let most rows through
+    some = docs if every else slotted.join(marks, "_slot", "left_semi").drop("_slot")
+    rest = docs.limit(0) if every else slotted.join(marks, "_slot", "left_anti").drop("_slot")
     rest = rest.select("*", n, F.lit(0).cast("long").alias("n_removed_lines"), F.lit(0).cast("long").alias("n_removed_words"))
     on = F.col(key).eqNullSafe(F.col("_key")) & F.xxhash64(text).eqNullSafe(F.col("_hash"))
     left = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i))
