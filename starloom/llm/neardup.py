@@ -6,10 +6,14 @@
    pruned batch by batch of the signature, as soon as the posterior probability
    of reaching the threshold falls below ``miss``; the rest are verified on
    full sets.
-3. Members of buckets that still hold several components are compared in blocks,
-   each with the members of other components, first by signature and then on
-   full sets, inside the task. Only the links that join two components come out:
-   pairs are never listed, and none inside one component is looked at.
+3. Buckets that still hold several components are compared in blocks, inside
+   tasks: members outside a bucket's largest component with all others of other
+   components, first by signature and then on full sets. A pair that shares
+   several buckets meets in the first one only. Only the links that join two components
+   come out: pairs are never listed, and none inside one component is looked at.
+
+Keys that may hold a large share of all rows (a class of copies, a bucket, a hub)
+are counted first and joined by broadcast, see ``spread_join``.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.common import Scratch, components, occupied, table, without
+from starloom.llm.common import Scratch, components, occupied, spread_join, table, without
 from starloom.llm.words import SPACED, mix, slices
 
 #: Minima of a signature. 32 bands of 6 miss a pair of similarity 0.85 once in 4 million, 38 bands of 5 one of 0.8 as rarely.
@@ -132,14 +136,14 @@ def _prune(needed: list[tuple[int, int]]) -> Callable:
 
 
 def _block(needed: list[tuple[int, int]], percent: int) -> Callable:
-    """Compares two blocks of a group: members of different components, likest first; a link joins their components at once."""
+    """Compares two blocks of a bucket: members of different components, likest first; a link joins their components at once."""
 
     def run(t: pa.Table) -> pa.Table:
         left = t.column("side").to_numpy() == 0
-        ids, size = t.column("id").to_numpy(), t.column("n_shingles").to_numpy()
+        ids, size, bucket = t.column("id").to_numpy(), t.column("n_shingles").to_numpy(), t.column("grp")[0].as_py()
         root = np.unique(t.column("comp").to_numpy(), return_inverse=True)[1]
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
-        lists = t.column("shingles").combine_chunks()
+        lists, buckets = t.column("shingles").combine_chunks(), t.column("grps")
         at, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().view(np.uint64)  # sorted as unsigned numbers
         i, j = np.flatnonzero(left), np.flatnonzero(~left)
         same_block = not len(j)
@@ -153,8 +157,12 @@ def _block(needed: list[tuple[int, int]], percent: int) -> Callable:
                 keep = same >= least
                 k, same, done = k[keep], same[keep], m
             own, k, some = flat[at[x] : at[x + 1]], k[np.argsort(-same, kind="stable")], 8
+            mine = set(buckets[int(x)].as_py()) if len(k) else set()
             while len(k) and len(own):
                 part, k, some = k[:some], k[some:], 256
+                part = np.array([y for y in part if min(mine.intersection(buckets[int(y)].as_py())) == bucket], np.int64)
+                if not len(part):
+                    continue
                 lens = at[part + 1] - at[part]
                 begin = np.cumsum(lens) - lens
                 other = flat[np.repeat(at[part] - begin, lens) + np.arange(lens.sum())]
@@ -187,48 +195,61 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     bands, per_band = (32, 6) if percent >= 85 else (38, 5)
     sigs = scratch.keep(body.mapInArrow(_signer(width, bands, per_band), SIGNED), "signatures")
 
-    have = sigs.where("n_shingles > 0 and doc_id is not null")
-    classes = have.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = have.select("doc_id", "d1", "d2", "n_shingles").join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "rep")
-    copies = scratch.keep(member.where("doc_id <> rep").distinct().select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "copies")
-    reps = have.join(classes.select("d1", "d2", F.col("rep").alias("doc_id")).distinct(), ["d1", "d2", "doc_id"]).dropDuplicates(["doc_id", "d1", "d2"])
-    reps = scratch.keep(reps.select(F.col("doc_id").alias("id"), "n_shingles", "bands", "sig"), "classes")
+    # classes of equal sets; rep is their smallest key and stands for them from here on
+    have, one_class = sigs.where("n_shingles > 0 and doc_id is not null"), ["d1", "d2", "n_shingles"]
+    classes = scratch.keep(have.groupBy(*one_class).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    both = have.groupBy("doc_id").agg(F.min(F.struct(*one_class)).alias("p"), F.max(F.struct(*one_class)).alias("q")).where("p <> q").select("doc_id")
+    both = have.select("doc_id", *one_class).join(both, "doc_id", "left_semi").distinct().join(classes, one_class).select("doc_id", "rep").distinct()
+    keyed = scratch.keep(both.join(both.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct(), "keyed")
+    reps = have.join(classes.select("d1", "d2", F.col("rep").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
+    reps = scratch.keep(reps.select(F.col("doc_id").alias("id"), "n_shingles", "bands", "sig"), "reps")
+
     flat = reps.select("id", F.explode("bands").alias("band"))
-    shared = flat.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
-    buckets = scratch.keep(flat.join(shared.select("band", "low"), "band"), "buckets")
+    shared = scratch.keep(flat.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("band", "low", "n"), "shared")
+    buckets = scratch.keep(spread_join(flat, shared, ["band"], "n").distinct(), "buckets")
 
     def sets_of(ids: DataFrame) -> DataFrame:
+        ids = scratch.keep(ids.distinct(), "ids")
         wanted = occupied(body, F.col("doc_id"), ids, F.col("id"))
         return scratch.keep(wanted.mapInArrow(_lister(width), "id bigint, shingles array<bigint>"), "sets")
 
     one = lambda c, s: reps.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(s))
-    star = buckets.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    near = star.join(one("a", "sa"), "a").join(one("b", "sb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    star = scratch.keep(buckets.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "star")
+    hubs = scratch.keep(star.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(one("a", "sa"), "a"), "hubs")
+    near = spread_join(star, hubs, ["a"], "n").join(one("b", "sb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     pairs = scratch.keep(near.select("a", "b", "sa", "sb").mapInArrow(_prune(needed), "a bigint, b bigint").distinct(), "pairs")
     sets = sets_of(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    hubs = scratch.keep(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a"), "hubs")
+    sized = spread_join(pairs, hubs, ["a"], "n").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    links = scratch.keep(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct(), "links")
-    scratch.drop(sets)
-
-    comp = scratch.keep(components(scratch, copies.unionAll(links)), "components")
-    placed = buckets.select("band", "low", "id").join(comp, "id", "left").select("band", "low", "id", F.coalesce("component_id", "id").alias("comp"))
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("band")
-    open_ = placed.join(mixed, "band")
-    group = scratch.keep(components(scratch, open_.select(F.col("low").alias("a"), F.col("id").alias("b"))), "groups")
-    member = group.select("id", F.col("component_id").alias("grp")).join(comp, "id", "left").select("id", "grp", F.coalesce("component_id", "id").alias("comp"))
-    member = scratch.keep(member.join(reps.select("id", "n_shingles", "sig"), "id"), "members")
-    sets = sets_of(member)
-    blocks = member.groupBy("grp").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
-    rows = member.join(blocks, "grp").join(sets, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "comp", "n_shingles", "sig", "shingles")
+    links = scratch.keep(sized.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct(), "links")
+
+    comp = scratch.keep(components(scratch, keyed.unionAll(links)), "components")
+    placed = scratch.keep(buckets.select("band", "id").join(comp, "id", "left").select("band", "id", F.coalesce("component_id", "id").alias("comp")), "placed")
+    hashed = lambda seed: F.xxhash64("id", F.lit(seed))
+    mixed = placed.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("n"), F.bit_xor(hashed(1)).alias("x"), F.bit_xor(hashed(2)).alias("y")).where("least <> most")
+    mixed = scratch.keep(mixed.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band", "n"), "mixed")  # buckets of the same members are one
+    open_ = scratch.keep(spread_join(placed, mixed, ["band"], "n").select(F.col("band").alias("grp"), "id", "comp").join(reps.select("id", "n_shingles", "sig"), "id"), "open")
+    parts = open_.groupBy("grp", "comp").agg(F.sum("n_shingles").alias("size"), F.count(F.lit(1)).alias("rows"))
+    plan = parts.groupBy("grp").agg(F.max_by("comp", F.struct("size", "comp")).alias("big"), F.max("size").alias("_most"), F.sum("size").alias("_all"), F.sum("rows").alias("n"))
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    plan = scratch.keep(plan.select("grp", "big", blocks(F.col("_all") - F.col("_most")).alias("few"), blocks(F.col("_most")).alias("many"), "n"), "plan")
+    of = open_.groupBy("id").agg(F.collect_set("grp").alias("grps"))  # at most one for each band
+    # a pair of different components has a member outside the largest one, so its blocks meet no block of their own kind
+    inside = F.col("comp") == F.col("big")
+    own = F.when(inside, F.col("few") + F.pmod(F.xxhash64("id"), F.col("many"))).otherwise(F.pmod(F.xxhash64("id"), F.col("few"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(inside, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1)))
+    rows = spread_join(open_, plan, ["grp"], "n").join(of, "id").join(sets_of(open_.select("id")), "id").withColumn("own", own).withColumn("other", other)
+    rows = rows.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "comp", "n_shingles", "grps", "sig", "shingles")
     more = scratch.keep(rows.groupBy("grp", "i", "j").applyInArrow(_block(needed, percent), "a bigint, b bigint").distinct(), "links")
-    links = links.unionAll(more)
 
-    comp = scratch.keep(components(scratch, copies.unionAll(links)), "components")
-    out = sigs.select("doc_id", "n_shingles").join(comp, F.col("doc_id") == F.col("id"), "left")
-    cid = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.coalesce(F.col("doc_id") == cid, F.lit(True)).alias("kept"))
+    comp = scratch.keep(components(scratch, keyed.unionAll(links).unionAll(more)), "components")
+    moved = classes.join(comp, F.col("rep") == F.col("id"), "left").withColumn("component_id", F.coalesce("component_id", "rep")).where("n > 1 or component_id <> rep")
+    moved = scratch.keep(moved.select(*one_class, "component_id", "n"), "moved")
+    slim = have.select("doc_id", *one_class)
+    out = spread_join(slim, moved, one_class, "n", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = sigs.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionAll(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
