@@ -256,7 +256,35 @@ def test_quality_model(spark, docs):
     by = {r.doc_id: r.quality_score for r in rows}
     assert by[1] == by[2] == by[8] == 0 and by[4] == by[5]
     assert quality_model.score_quality(docs.where("false")).count() == 0
-    assert quality_model.posteriors({}) == {}
+    assert quality_model.estimate({})[0] == {}
+    with pytest.raises(ValueError, match="quality_score"):
+        quality_model.score_quality(docs.withColumn("quality_score", F.lit(0)))
+    assert quality_model.keep_good(docs.withColumn("quality_score", F.lit(0))).columns == [*docs.columns, "quality_score"]
+
+
+def test_posteriors_recover_planted_labellers():
+    rng = np.random.default_rng(12)
+    n, kinds = 60_000, len(quality_model.BAD)
+    bad = rng.random(n) < 0.2
+    on_good = np.r_[np.full(kinds, 0.01), 0.98, 0.97, 0.96]
+    on_bad = np.r_[np.full(kinds, 0.01), 0.1, 0.15, 0.1]
+    votes = rng.random((n, kinds + 3)) < np.where(bad[:, None], on_bad, on_good)
+    votes[np.arange(n), rng.integers(0, kinds, n)] |= bad & (rng.random(n) < 0.9)  # junk of one kind each
+    rows = ["".join("01"[int(v)] for v in row) for row in votes]
+    known, chance, share = quality_model.estimate(dict(collections.Counter(rows)))
+    p = np.array([known[r] for r in rows])
+    right = (p < 0.5) == bad
+    assert right.mean() > 0.95 and abs(share[1] - bad.mean()) < 0.1
+    assert np.abs(chance[0] - on_good).max() < 0.06 and (chance[1, :kinds] > 5 * chance[0, :kinds]).all()
+
+
+def test_scorer_fits_posteriors():
+    rng = np.random.default_rng(13)
+    x = rng.random((500, 6)).astype(np.float32)
+    y = (1 / (1 + np.exp(-(4 * x[:, 0] - 4 * x[:, 1])))).astype(np.float32)
+    w = quality_model.fit(x, y)
+    got = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    assert np.corrcoef(got, y)[0, 1] > 0.95 and np.abs(got - y).mean() < 0.1
 
 
 def test_quality_rules(spark, docs, labels):
