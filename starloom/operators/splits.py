@@ -58,3 +58,11 @@ def ks(df: DataFrame, value: str, group: Column, by: Sequence[str] = ()) -> Data
     t = score_counts(df, value, group, by)
     gap = F.abs((F.col("pos_below") + F.col("pos")) / F.nullif(F.col("pos_all"), F.lit(0)) - (F.col("neg_below") + F.col("neg")) / F.nullif(F.col("neg_all"), F.lit(0)))
     return t.groupBy(*by).agg(F.max(gap).alias("ks"), F.max("pos_all").alias("n1"), F.max("neg_all").alias("n2"))
+
+
+def ks_p(statistic: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
+    """Asymptotic two-sided p-value of a KS statistic; null without rows on both sides."""
+    x = statistic * F.sqrt(n1 * n2 / F.nullif(n1 + n2, F.lit(0)))
+    part = lambda j: F.when(j % 2 == 1, F.lit(2.0)).otherwise(F.lit(-2.0)) * F.exp(F.lit(-2.0) * j * j * x * x)
+    p = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda s, j: s + part(j))
+    return F.when(x.isNotNull(), F.when(x < 0.2, F.lit(1.0)).otherwise(F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0))))  # below 0.2 the series has no meaning and p is 1

@@ -58,14 +58,20 @@ def half_total(df: DataFrame, by: Sequence[str], order: Sequence[str], value: st
     return t.withColumn("_n", F.row_number().over(w.orderBy(*order))).where("_n = 1").drop("_n", "_total")
 
 
-def score_counts(df: DataFrame, score: str, label: Column, by: Sequence[str] = ()) -> DataFrame:
-    """(by, score, pos, neg, pos_below, neg_below, pos_all, neg_all): counts at each distinct score, below it, and in all.
+def score_counts(df: DataFrame, score: str, label: Column, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
+    """(by, score, pos, neg, pos_below, neg_below, pos_all, neg_all): counts, or sums of weights, at each distinct score, below it, and in all."""
+    one = F.lit(1) if weight is None else weight
+    t = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(F.when(label, one).otherwise(0)).alias("pos"), F.sum(F.when(label, 0).otherwise(one)).alias("neg"))
+    return running_counts(t, score, by)
+
+
+def running_counts(t: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, score, pos, neg) with running sums, as in ``score_counts``.
 
     Rows meet as counts of distinct scores only. Within a group the sums run
     over score ranges first and then inside each range, so that one very
     large group is not summed by a single task.
     """
-    t = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(F.when(label, 1).otherwise(0)).alias("pos"), F.sum(F.when(label, 0).otherwise(1)).alias("neg"))
     edges = t.groupBy(*by).agg(F.percentile_approx(score, [i / 64 for i in range(1, 64)], 1000).alias("_e"))
     part = F.size(F.filter("_e", lambda x: x <= F.col(score)))
     t = (t.join(edges, list(by)) if by else t.crossJoin(F.broadcast(edges))).withColumn("_part", part).drop("_e")  # one row of edges

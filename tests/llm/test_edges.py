@@ -281,8 +281,9 @@ def test_posteriors_recover_planted_labellers():
 def test_scorer_fits_posteriors():
     rng = np.random.default_rng(13)
     x = rng.random((500, 6)).astype(np.float32)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
     y = (1 / (1 + np.exp(-(4 * x[:, 0] - 4 * x[:, 1])))).astype(np.float32)
-    w = quality_model.fit(x, y)
+    w = quality_model.fit(x, y, steps=5000, rate=1.0)
     got = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
     assert np.corrcoef(got, y)[0, 1] > 0.95 and np.abs(got - y).mean() < 0.1
 
