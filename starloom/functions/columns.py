@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 C = Column | str
@@ -234,6 +234,22 @@ def content_id(fields: Sequence[C], separator: str = "|", missing: str = "NULL")
     return F.sha2(F.concat_ws(separator, *[F.coalesce(col(f).cast("string"), F.lit(missing)) for f in fields]), 256)
 
 
+def content_md5(fields: Sequence[C], seed: int, separator: str = "||", missing: str = "NULL") -> Column:
+    """MD5 of the fields' text and a seed."""
+    return F.md5(F.concat_ws(separator, *[F.coalesce(col(f).cast("string"), F.lit(missing)) for f in fields], F.lit(str(seed))))
+
+
+def compose_id(*parts: C, separator: str = "_") -> Column:
+    """The parts' text joined; null if one of them is."""
+    return F.concat(*[x for i, p in enumerate(parts) for x in ([F.lit(separator)] if i else []) + [col(p).cast("string")]])
+
+
+def with_provenance(df: DataFrame, constants: dict[str, str], file: str | None = None) -> DataFrame:
+    """df plus constant text columns and, for tables read from files, the name of each row's file."""
+    out = df.withColumns({k: F.lit(v) for k, v in constants.items()})
+    return out.withColumn(file, F.element_at(F.split("_metadata.file_path", "/"), -1)) if file else out
+
+
 def ang_sep(ra1: C, dec1: C, ra2: C, dec2: C) -> Column:
     """Great-circle separation in degrees by the haversine formula."""
     d1, d2 = F.radians(col(dec1)), F.radians(col(dec2))

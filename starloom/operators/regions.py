@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starloom.operators.sets import union_named
+from starloom.operators.windows import numbered, stratified_topk, topk
+
 
 def adjacency(tiles: DataFrame, x: str, y: str, around: int) -> DataFrame:
     """(x, y, x2, y2): pairs of existing tiles that touch on a grid of ``around`` columns that wraps; one row per direction."""
@@ -15,6 +20,85 @@ def adjacency(tiles: DataFrame, x: str, y: str, around: int) -> DataFrame:
     return near.join(tiles.select(F.col(x).alias("x2"), F.col(y).alias("y2")), ["x2", "y2"])
 
 
+def adjacency_within(tiles: DataFrame, key: str, ra: str, dec: str, eps: float) -> DataFrame:
+    """(a, b): pairs of tiles with |d dec| <= eps and |d ra| <= eps across ra = 0, in both directions.
+
+    Tiles meet in buckets at least eps wide; one side is copied to the
+    neighbouring buckets.
+    """
+    n = max(int(360 / eps), 1)
+    bucket, band = F.floor(F.pmod(F.col(ra), F.lit(360.0)) * n / 360).cast("int"), F.floor(F.col(dec) / eps).cast("int")
+    left = tiles.select(F.col(key).alias("a"), F.col(ra).alias("_ra1"), F.col(dec).alias("_dec1"), bucket.alias("_x"), band.alias("_y"))
+    around = lambda c: F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), c)))
+    right = tiles.select(F.col(key).alias("b"), F.col(ra).alias("_ra2"), F.col(dec).alias("_dec2"), bucket.alias("_bx"), band.alias("_by"))
+    right = right.withColumn("_x", around(lambda s: F.pmod(F.col("_bx") + s, F.lit(n)))).withColumn("_y", around(lambda s: F.col("_by") + s))
+    gap = F.abs(F.pmod(F.col("_ra1") - F.col("_ra2"), F.lit(360.0)))
+    close = (F.least(gap, 360 - gap) <= eps) & (F.abs(F.col("_dec1") - F.col("_dec2")) <= eps)
+    return left.join(right, ["_x", "_y"]).where(close & (F.col("a") != F.col("b"))).select("a", "b")
+
+
+def degrees(tiles: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """tiles plus ``degree``: how many neighbours each has."""
+    n = edges.groupBy(F.col("a").alias(key)).agg(F.count(F.lit(1)).alias("degree"))
+    return tiles.join(n, key, "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+
+
+def regions(tiles: DataFrame, key: str, ra: str, dec: str, eps: float) -> DataFrame:
+    """(key, root, region_id) of each tile: contiguous regions numbered by their smallest tile."""
+    roots = components(tiles.select(key), adjacency_within(tiles, key, ra, dec, eps), key)
+    return roots.join(region_ids(roots), "root").select(key, "root", "region_id")
+
+
+def high_density_regions(tiles: DataFrame, key: str, density: str, ra: str, dec: str, eps: float, share: float = 0.9, accuracy: int | None = None) -> DataFrame:
+    """(key, density, root, region_id) of the tiles at or above a quantile of the positive densities, with their regions."""
+    some = F.when(F.col(density) > 0, F.col(density))
+    edge = F.percentile(some, F.lit(share)) if accuracy is None else F.percentile_approx(some, share, accuracy)
+    top = tiles.crossJoin(F.broadcast(tiles.agg(edge.alias("_edge")))).where(F.col(density) >= F.col("_edge")).drop("_edge")  # one row
+    return top.select(key, density).join(regions(top, key, ra, dec, eps), key)
+
+
+def parse_modes(text: str) -> list[tuple[str, int, int]]:
+    """``mode:k_top:k_strat,...`` as tuples."""
+    out = []
+    for part in text.split(","):
+        mode, top, strat = part.strip().split(":")
+        out.append((mode, int(top), int(strat)))
+    return out
+
+
+def select_sets(df: DataFrame, modes: str, scores: dict[str, str], split: str, key: str, bin_: str, weights: Sequence[float], balanced: bool = True) -> DataFrame:
+    """Labelled selections of every mode, one under another: the top k of each split, and per bin ceil(weight * k) of each split.
+
+    scores: mode to score column. With ``balanced``, the stratified selection
+    is repeated with equal weights.
+    """
+    parts = []
+    named = lambda t, strategy, mode, k, score: t.select(F.lit(f"{strategy}_{mode}_k{k}").alias("selection_set_id"), F.lit(strategy).alias("selection_strategy"), F.lit(mode).alias("ranking_mode"), F.col(key), F.col(split), F.col("rank"), F.col(score).cast("double").alias("score"))
+    for mode, top, strat in parse_modes(modes):
+        score = scores[mode]
+        if top:
+            parts.append(named(topk(df, top, [split], score, key), "topk", mode, top, score))
+        for name, w in (("custom", weights), ("balanced", [1 / len(weights)] * len(weights)))[: (2 if balanced else 1) if strat else 0]:
+            quotas = {b: math.ceil(round(x * strat, 9)) for b, x in enumerate(w)}
+            parts.append(named(stratified_topk(df, quotas, [split], bin_, score, key), f"strat_{name}", mode, strat, score))
+    if not parts:
+        raise ValueError("no mode selects anything")
+    return union_named(*parts)
+
+
+def parent_catalog(objects: DataFrame, tile_regions: DataFrame, selections: DataFrame, tile: str, region: str, flags: dict[str, Column], per_set: bool = False, most_tiles: int | None = None) -> DataFrame:
+    """Objects of the selected regions with the cuts' flags: once each, or with ``per_set`` once for every selection that holds their region.
+
+    tile_regions(tile, region) and selections(region, ...) are distinct rows.
+    More than ``most_tiles`` selected tiles raise.
+    """
+    chosen = selections if per_set else selections.select(region).distinct()
+    tiles = tile_regions.join(chosen, region)
+    if most_tiles is not None and (n := tiles.select(tile).distinct().count()) > most_tiles:
+        raise ValueError(f"{n} tiles are more than {most_tiles}")
+    return objects.join(tiles, tile).withColumns(flags)
+
+
 def _kept(df: DataFrame) -> DataFrame:
     """df by way of the checkpoint folder, so that lost executors cost a re-read."""
     spark = df.sparkSession
@@ -61,9 +145,6 @@ def scores(df: DataFrame, density: str, area: str, psf: str, depth: str, ebv: st
     return df.withColumn("score_density", F.col(density).cast("double")).withColumn("score_area", F.col(density) * F.pow(F.col(area), F.lit(alpha))).withColumn("score_quality", F.col(density) * w_psf * w_depth * w_ebv)
 
 
-def session_region_ids(spark: SparkSession, roots: DataFrame) -> DataFrame:
-    """(root, region_id): regions numbered by their smallest tile; one row per region."""
-    from pyspark.sql import Window
-
-    r = roots.select("root").distinct()
-    return r.withColumn("region_id", F.row_number().over(Window.orderBy("root")))
+def region_ids(roots: DataFrame) -> DataFrame:
+    """(root, region_id): regions numbered from 1 by their smallest tile, by ranges."""
+    return numbered(roots.select("root").distinct(), ["root"], "region_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,25 @@ def missing_extra(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame
     return out.withColumn("coverage", F.lit(100.0) * (F.col("n_expected") - F.col("n_missing")) / F.nullif(F.col("n_expected"), F.lit(0)))
 
 
-def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that occur more than once, with how often."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def duplicates(df: DataFrame, keys: Sequence[str], sample: str | None = None, most: int = 3) -> DataFrame:
+    """Keys that occur more than once, with how often and, if asked for, up to ``most`` of the smallest values of another column."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    if sample:
+        aggs += [F.min(sample).alias("first"), F.max(sample).alias("last")]
+    t = df.groupBy(*keys).agg(*aggs).where("n > 1")
+    if not sample:
+        return t
+    w = Window.partitionBy(*keys).orderBy(sample)
+    few = df.join(t.select(*keys), list(keys), "left_semi").withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= most)
+    return t.join(few.groupBy(*keys).agg(F.sort_array(F.collect_list(sample)).alias("samples")), list(keys))
+
+
+def dedup_position(df: DataFrame, size: float, order: Sequence[Column | str], positions: tuple[str, str] = ("ra", "dec")) -> DataFrame:
+    """One row per cell of ``size`` degrees: the first in the given total order."""
+    cell = [F.floor(F.col(c) / size) for c in positions]
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*cell).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def entity_key(ra: str, dec: str, places: int = 6) -> Column:
+    """Text of a position rounded to some places: the same for rows of one object."""
+    return F.concat_ws("_", F.format_string(f"%.{places}f", F.round(ra, places)), F.format_string(f"%.{places}f", F.round(dec, places)))

@@ -102,20 +102,6 @@ def _(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", c.digitize("l_quantity", 5.0, 5.0, 8).alias("bin"), c.snap("l_tax", (0.0, 0.03, 0.06)).alias("near"))
 
 
-@register("col_priority_class", "SELECT p_partkey, CASE WHEN p_name LIKE '%ring%' THEN 'ring' WHEN p_size < 10 THEN 'small' WHEN p_retailprice > 1000 THEN 'bright' END AS confuser FROM part")
-def _(spark, d):
-    rules = [("ring", F.col("p_name").contains("ring")), ("small", F.col("p_size") < 10), ("bright", F.col("p_retailprice") > 1000)]
-    return read(spark, d, "part").select("p_partkey", c.first_match(rules).alias("confuser"))
-
-
-@register("col_rule_reason", "WITH t AS (SELECT *, CASE WHEN c_acctbal IS NULL THEN 'missing balance' WHEN c_acctbal < 0 THEN 'negative balance' WHEN c_mktsegment = 'MACHINERY' THEN 'excluded segment' ELSE 'ok' END AS reason FROM customer) SELECT reason, CASE WHEN reason <> 'ok' THEN 'out' WHEN c_acctbal >= 5000 THEN 'A' ELSE 'B' END AS tier, count(*) AS n FROM t GROUP BY ALL")
-def _(spark, d):
-    reason = c.first_match([("missing balance", F.col("c_acctbal").isNull()), ("negative balance", F.col("c_acctbal") < 0), ("excluded segment", F.col("c_mktsegment") == "MACHINERY")], "ok")
-    t = read(spark, d, "customer").withColumn("reason", reason)
-    tier = c.first_match([("out", F.col("reason") != "ok"), ("A", F.col("c_acctbal") >= 5000)], "B")
-    return t.groupBy("reason", tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @register("col_tier_weight", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 0.95 WHEN 'MACHINERY' THEN 0.5 ELSE 1.0 END::DOUBLE AS weight FROM customer")
 def _(spark, d):
     return read(spark, d, "customer").select("c_custkey", c.lookup("c_mktsegment", {"BUILDING": 0.95, "MACHINERY": 0.5}, 1.0).alias("weight"))
@@ -175,21 +161,6 @@ def _(spark, d):
     return t.select("o_orderkey", *[F.round(x, 6).alias(x) for x in t.columns[1:]])
 
 
-@register("col_content_id", "SELECT l_orderkey, l_linenumber, sha256(coalesce(l_orderkey::VARCHAR, 'NULL') || '|' || coalesce(l_linenumber::VARCHAR, 'NULL') || '|' || coalesce(l_returnflag, 'NULL')) AS id FROM lineitem")
-def _(spark, d):
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", c.content_id(["l_orderkey", "l_linenumber", "l_returnflag"]).alias("id"))
-
-
-@register("col_compose_id", "SELECT l_orderkey::VARCHAR || '_' || l_linenumber::VARCHAR AS id FROM lineitem")
-def _(spark, d):
-    return read(spark, d, "lineitem").select(F.concat_ws("_", "l_orderkey", "l_linenumber").alias("id"))
-
-
-@register("col_provenance", "SELECT p_partkey, 'v1' AS version, 'part.parquet' AS origin FROM part")
-def _(spark, d):
-    return read(spark, d, "part").select("p_partkey", F.lit("v1").alias("version"), F.regexp_extract("_metadata.file_path", r"(part\.parquet)", 1).alias("origin"))
-
-
 def _healpix_sql(nside: int) -> str:
     bits = " + ".join(f"(((ix >> {i}) & 1) << {2 * i}) + (((iy >> {i}) & 1) << {2 * i + 1})" for i in range(nside.bit_length() - 1))
     return f"""WITH p AS (SELECT o_orderkey, sin(radians({sql_dec('o_orderkey')})) AS z, {sql_ra('o_orderkey')} / 90.0::DOUBLE AS t FROM orders),
@@ -199,6 +170,16 @@ def _healpix_sql(nside: int) -> str:
     SELECT o_orderkey, CAST(face * {nside * nside} + {bits} AS BIGINT) AS cell FROM g"""
 
 
+def healpix_expression(nside: int, ra: str = "ra", dec: str = "dec") -> str:
+    """The cell of a position inside the equatorial belt, as one SQL expression."""
+    a, b = f"{nside}.0::DOUBLE * (0.5::DOUBLE + {ra} / 90.0::DOUBLE)", f"{nside}.0::DOUBLE * sin(radians({dec})) * 0.75::DOUBLE"
+    jp, jm = f"CAST(floor({a} - {b}) AS BIGINT)", f"CAST(floor({a} + {b}) AS BIGINT)"
+    fp, fm, ix, iy = f"({jp} // {nside})", f"({jm} // {nside})", f"({jm} & {nside - 1})", f"({nside - 1} - ({jp} & {nside - 1}))"
+    face = f"(CASE WHEN {fp} = {fm} THEN ({fp} & 3) + 4 WHEN {fp} < {fm} THEN {fp} & 3 ELSE ({fm} & 3) + 8 END)"
+    bits = " + ".join(f"((({ix} >> {i}) & 1) << {2 * i}) + ((({iy} >> {i}) & 1) << {2 * i + 1})" for i in range(nside.bit_length() - 1))
+    return f"CAST({face} * {nside * nside} + {bits} AS BIGINT)"
+
+
 @register("col_healpix", _healpix_sql(128))  # declinations of the view stay inside the equatorial belt
 def _(spark, d):
     return sky(read(spark, d, "orders"), "o_orderkey").select("o_orderkey", c.healpix_nested("ra", "dec", 128).alias("cell"))

@@ -106,12 +106,6 @@ def _(spark, d):
     return m.auc(s, "score", F.col("y") == 1, ["fold"]).select("fold", "n_pos", "n_neg", F.round("auc", 3).alias("auc"))
 
 
-@register("ev_covariance", "WITH v AS (SELECT vec_id, unnest(embedding[1:6])::DOUBLE AS x, generate_subscripts(embedding[1:6], 1) - 1 AS i FROM embeddings) SELECT a.i::INT AS i, b.i::INT AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM v a JOIN v b USING (vec_id) GROUP BY ALL")
-def _(spark, d):
-    t = read(spark, d, "embeddings").select(F.slice("embedding", 1, 6).alias("v"))
-    return md.covariance(t, "v").select("i", "j", F.round("cov", 6).alias("cov"))
-
-
 @register("ev_frechet")  # eigenvalues have no SQL form
 def _(spark, d):
     t = read(spark, d, "embeddings")
@@ -135,19 +129,3 @@ def _(spark, d):
 
     one = j.modulo_assign(read(spark, d, "orders").select("o_orderkey"), grid(spark), "o_orderkey", "config", 3)
     return union_named(one.withColumn("is_control", F.lit(0)), one.withColumn("is_control", F.lit(1)).withColumn("theta", F.lit(0.0)))
-
-
-@register("man_sota", f"WITH t AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, {sql_uniform('o_orderkey', 31)} < 0.5::DOUBLE AS is_control FROM orders WHERE o_custkey % 10 = 0), a AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY {sql_uniform('o_orderkey', 5)}, o_orderkey) AS n FROM t WHERE is_control AND {sql_uniform('o_orderkey', 6)} < 0.5::DOUBLE), b AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY {sql_uniform('o_orderkey', 5)}, o_orderkey) AS n FROM t WHERE NOT is_control), s AS (SELECT a.o_orderkey, b.o_orderkey AS swapped FROM a LEFT JOIN b USING (o_orderpriority, o_orderstatus, n)) SELECT t.o_orderkey, is_control, coalesce(swapped, t.o_orderkey) AS target FROM t LEFT JOIN s ON t.o_orderkey = s.o_orderkey")
-def _(spark, d):
-    t = read(spark, d, "orders").where("o_custkey % 10 = 0").withColumn("is_control", c.hash_uniform("o_orderkey", 31) < 0.5)
-    pool = t.where("NOT is_control").select("o_orderpriority", "o_orderstatus", F.col("o_orderkey").alias("other"))
-    swapped = j.bin_swap(t.where("is_control"), pool, ["o_orderpriority", "o_orderstatus"], "o_orderkey", "other", 0.5)
-    return union_named(t.where("NOT is_control"), swapped).select("o_orderkey", "is_control", F.coalesce("swapped", "o_orderkey").alias("target"))
-
-
-@register("reg_select_sets", "WITH m AS (SELECT 'balance' AS mode, c_custkey, c_mktsegment, c_acctbal AS s FROM customer UNION ALL SELECT 'key', c_custkey, c_mktsegment, c_custkey::DOUBLE FROM customer) SELECT mode || '_top' || 5 AS set_id, c_custkey, n::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY mode, c_mktsegment ORDER BY s DESC, c_custkey) AS n FROM m) WHERE n <= 5")
-def _(spark, d):
-    t = read(spark, d, "customer")
-    modes = {"balance": F.col("c_acctbal"), "key": F.col("c_custkey").cast("double")}
-    sets = [w.topk(t.withColumn("s", x), 5, ["c_mktsegment"], "s", "c_custkey").select(F.lit(f"{k}_top5").alias("set_id"), "c_custkey", "rank") for k, x in modes.items()]
-    return union_named(*sets)

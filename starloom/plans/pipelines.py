@@ -44,11 +44,6 @@ def _(spark, d):
     return s.read_index(spark, path, 4)
 
 
-@register("src_metadata_only")  # file names are no SQL matter
-def _(spark, d):
-    return read(spark, d, "documents").select("doc_id", "lang", "source", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"))
-
-
 @register("src_extra_pool", "SELECT c_custkey AS id, c_acctbal AS bal, 'main' AS pool, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_acctbal, 'extra', NULL FROM supplier")
 def _(spark, d):
     main = read(spark, d, "customer").selectExpr("c_custkey as id", "c_acctbal as bal", "'main' as pool", "c_mktsegment as segment")
@@ -87,13 +82,6 @@ def _(spark, d):
     return spark.createDataFrame([(n,)], "n bigint")
 
 
-@register("snk_sized", "SELECT greatest(1, least(200, ceil(count(*) / 10000.0)))::BIGINT AS files, count(*) AS n FROM lineitem")
-def _(spark, d):
-    path = scratch_dir(spark)
-    files = s.write_sized(read(spark, d, "lineitem").select("l_orderkey"), path, "l_orderkey", 10_000)
-    return spark.read.parquet(path).agg(F.lit(files).cast("long").alias("files"), F.count(F.lit(1)).alias("n"))
-
-
 @register("snk_compact", "SELECT l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY 1")
 def _(spark, d):
     raw, out = scratch_dir(spark), scratch_dir(spark)
@@ -108,17 +96,6 @@ def _(spark, d):
     return spark.read.parquet(path)
 
 
-@register("run_skip_if_done")  # the second call writes nothing
-def _(spark, d):
-    path = scratch_dir(spark)
-    ran = []
-    for _ in range(2):
-        if not s.done(spark, path):
-            read(spark, d, "region").write.parquet(path)
-            ran.append(1)
-    return spark.read.parquet(path).withColumn("runs", F.lit(len(ran)))
-
-
 @register("stm_incremental_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def _(spark, d):
     src, out, mark = scratch_dir(spark), scratch_dir(spark), scratch_dir(spark)
@@ -152,27 +129,6 @@ def _(spark, d):
     return sm.waterfall(read(spark, d, "orders"), [(n, F.expr(x)) for n, x in STEPS])
 
 
-@register("smp_negative_pool", f"SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN 'N2' ELSE 'N1' END AS pool, CASE WHEN {sql_uniform('o_custkey', 13)} < 0.1::DOUBLE THEN 'test' WHEN {sql_uniform('o_custkey', 13)} < 0.2::DOUBLE THEN 'val' ELSE 'train' END AS split FROM orders WHERE o_totalprice > 50000 AND (o_orderkey % 16384) & 6 = 0")
-def _(spark, d):
-    from starloom.operators.splits import hash_split
-
-    t = read(spark, d, "orders").where((F.col("o_totalprice") > 50000) & c.clean_mask(F.col("o_orderkey") % 16384, (1, 2)))
-    return t.select("o_orderkey", F.when(F.col("o_custkey") % 4 == 0, "N2").otherwise("N1").alias("pool"), hash_split("o_custkey").alias("split"))
-
-
-@register("smp_hard_negatives", "SELECT doc_id, max(w)::DOUBLE AS weight FROM (SELECT doc_id, 3.0 AS w FROM (SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50) UNION ALL SELECT doc_id, 1.5 FROM labels WHERE quality = 0) WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1")
-def _(spark, d):
-    docs, lab = read(spark, d, "documents"), read(spark, d, "labels")
-    top = docs.select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(50).select("doc_id", F.lit(3.0).alias("w"))
-    both = union_named(top, lab.where("quality = 0").select("doc_id", F.lit(1.5).alias("w")))
-    return both.join(lab.where("toxic = 1").select("doc_id"), "doc_id", "left_anti").groupBy("doc_id").agg(F.max("w").alias("weight"))
-
-
-@register("smp_mine_top_bins", "WITH a AS (SELECT o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS i FROM orders) SELECT o_orderkey, o_totalprice FROM a WHERE i <= 20 ORDER BY o_totalprice DESC, o_orderkey LIMIT 60")
-def _(spark, d):
-    return sm.mine_top(read(spark, d, "orders"), "o_orderpriority", "o_totalprice", "o_orderkey", 20, 60).select("o_orderkey", "o_totalprice")
-
-
 @register("smp_reject_shape", f"SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity BETWEEN 2 AND 30 AND {sql_uniform('l_orderkey', 23)} < 2.0::DOUBLE / l_quantity")
 def _(spark, d):
     return sm.reject_to_log_uniform(read(spark, d, "lineitem"), "l_quantity", 2.0, 30.0, "l_orderkey").select("l_orderkey", "l_linenumber", "l_quantity")
@@ -181,13 +137,6 @@ def _(spark, d):
 # manifests
 
 
-@register("man_grid", "SELECT 'grid_small' AS name, 48::BIGINT AS n, count(*) AS nations FROM nation UNION ALL SELECT 'grid_medium', 360, count(*) FROM nation UNION ALL SELECT 'grid_full', 3024, count(*) FROM nation UNION ALL SELECT 'grid_sota', 1008, count(*) FROM nation")
-def _(spark, d):
-    n = read(spark, d, "nation").agg(F.count(F.lit(1)).alias("nations"))
-    parts = [sm.grid(spark, g).agg(F.lit(g).alias("name"), F.count_distinct("config_id").alias("n")) for g in sm.GRIDS]
-    return union_named(*parts).crossJoin(F.broadcast(n))  # one row
-
-
 @register("man_task_guard", "SELECT count(*) * 48 AS tasks, true AS refused FROM part")
 def _(spark, d):
     t = read(spark, d, "part")
@@ -199,40 +148,12 @@ def _(spark, d):
     return spark.createDataFrame([(tasks, refused)], "tasks bigint, refused boolean")
 
 
-MANIFEST = f"WITH g AS (SELECT 'grid_small_' || a || '_' || b || '_' || c || '_' || d || '_' || e AS config_id, a, b, c, d, e FROM range(3) w(a), range(2) x(b), range(2) y(c), range(2) z(d), range(2) v(e)), t AS (SELECT p_partkey, {sql_uniform('p_partkey', 31)} < 0.25::DOUBLE AS is_control FROM part WHERE p_size = 7) SELECT p_partkey, is_control, config_id, r::INT AS replicate, CASE WHEN is_control THEN 0 ELSE a END::INT AS theta, sha256(p_partkey::VARCHAR || '|' || config_id || '|' || r::VARCHAR) AS task_id FROM t, g, range(2) q(r)"
-
-
-@register("man_debug_grid", MANIFEST)
-def _(spark, d):
-    t = read(spark, d, "part").where("p_size = 7").select("p_partkey")
-    return sm.manifest(t, sm.grid(spark, "grid_small"), "p_partkey", 0.25, 2).select("p_partkey", "is_control", "config_id", "replicate", "theta", "task_id")
-
-
 @register("man_replicates", "SELECT p_partkey, 'g0' AS config, r::INT AS replicate FROM part, range(3) q(r)")
 def _(spark, d):
     g = spark.sql("SELECT 'g0' AS config")
     return grid_cross(read(spark, d, "part").select("p_partkey"), g, 3)
 
 
-@register("man_train_unpaired", f"SELECT o_orderkey, {sql_uniform('o_orderkey', 31)} < 0.5::DOUBLE AS is_control, CASE WHEN {sql_uniform('o_orderkey', 31)} < 0.5::DOUBLE THEN 0 ELSE o_custkey % 5 END AS theta FROM orders")
-def _(spark, d):
-    t = read(spark, d, "orders").withColumn("is_control", c.hash_uniform("o_orderkey", 31) < 0.5)
-    pos = t.where("NOT is_control").select("o_orderkey", "is_control", (F.col("o_custkey") % 5).alias("theta"))
-    return union_named(pos, t.where("is_control").select("o_orderkey", "is_control", F.lit(0).cast("long").alias("theta")))
-
-
-@register("man_paired_rows", "SELECT a.doc_id, a.n_chars, l.toxic FROM documents a JOIN labels l USING (doc_id) WHERE l.quality = 1")
-def _(spark, d):
-    return read(spark, d, "documents").select("doc_id", "n_chars").join(read(spark, d, "labels").where("quality = 1"), "doc_id").select("doc_id", "n_chars", "toxic")
-
-
-@register("man_training", "SELECT doc_id, quality AS label, lang, CASE WHEN quality = 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS weight FROM labels JOIN documents USING (doc_id) WHERE n_chars > 100")
-def _(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", "lang", "n_chars")
-    side = lambda y, w: read(spark, d, "labels").where(F.col("quality") == y).select("doc_id", F.col("quality").alias("label"), F.lit(w).alias("weight"))
-    return union_named(side(1, 1.0), side(0, 0.5)).join(docs, "doc_id").where("n_chars > 100").select("doc_id", "label", "lang", "weight")
-
-
 @register("man_contract", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
 def _(spark, d):
     return contract(read(spark, d, "orders"), ["o_orderkey", "o_totalprice"], ["o_orderstatus", "absent"])
@@ -240,27 +161,6 @@ def _(spark, d):
 
 # regions
 
-TILES = f"t AS (SELECT DISTINCT CAST(floor({sql_ra('o_custkey * 11')} / 6) AS BIGINT) AS x, CAST(floor(({sql_dec('o_custkey * 11')} + 90) / 6) AS BIGINT) AS y FROM orders WHERE o_custkey % 5 = 0 AND o_custkey < 700)"
-
-
-def tiles(spark, d):
-    t = read(spark, d, "orders").where("o_custkey % 5 = 0 AND o_custkey < 700").withColumn("k", F.col("o_custkey") * 11)
-    return sky(t, "k").select(F.floor(F.col("ra") / 6).alias("x"), F.floor((F.col("dec") + 90) / 6).alias("y")).distinct()
-
-
-@register("reg_adjacency", f"WITH {TILES} SELECT a.x, a.y, b.x AS x2, b.y AS y2 FROM t a JOIN t b ON (abs(a.x - b.x) <= 1 OR abs(a.x - b.x) = 59) AND abs(a.y - b.y) <= 1 AND (a.x <> b.x OR a.y <> b.y)")
-def _(spark, d):
-    return rg.adjacency(tiles(spark, d), "x", "y", 60).select("x", "y", "x2", "y2")
-
-
-@register("reg_components", f"WITH RECURSIVE {TILES}, n AS (SELECT x * 1000 + y AS node, x, y FROM t), e AS (SELECT a.node AS a, b.node AS b FROM n a JOIN n b ON (abs(a.x - b.x) <= 1 OR abs(a.x - b.x) = 59) AND abs(a.y - b.y) <= 1), r AS (SELECT node, node AS seen FROM n UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a), m AS (SELECT node, min(seen) AS root FROM r GROUP BY 1) SELECT node, root, dense_rank() OVER (ORDER BY root)::INT AS region_id FROM m")
-def _(spark, d):
-    t = tiles(spark, d)
-    e = rg.adjacency(t, "x", "y", 60).select((F.col("x") * 1000 + F.col("y")).alias("a"), (F.col("x2") * 1000 + F.col("y2")).alias("b"))
-    roots = rg.components(t.select((F.col("x") * 1000 + F.col("y")).alias("node")), e, "node")
-    return roots.join(rg.session_region_ids(spark, roots), "root").select("node", "root", "region_id")
-
-
 NATION = "n AS (SELECT c_nationkey AS k, count(*) AS n, sum(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) * 0.25::DOUBLE AS area FROM customer GROUP BY 1)"
 
 
@@ -271,26 +171,12 @@ def _(spark, d):
     return rounded(rg.scores(t, "density", "area", "psf", "depth", "ebv").select("k", "score_density", "score_area", "score_quality"))
 
 
-@register("reg_high_density", "WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT o_custkey, n FROM c WHERE n >= (SELECT quantile_cont(n, 0.95) FROM c)")
-def _(spark, d):
-    t = read(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    top = t.agg(F.percentile("n", F.lit(0.95)).alias("edge"))
-    return t.crossJoin(F.broadcast(top)).where("n >= edge").select("o_custkey", "n")  # one row
-
-
 @register("reg_primary_backup", f"WITH {NATION}, w AS (SELECT k, 'window' AS role FROM n WHERE area BETWEEN 10 AND 14 ORDER BY n / area DESC, k LIMIT 2), l AS (SELECT k, 'largest' AS role FROM n WHERE (SELECT count(*) FROM n WHERE area BETWEEN 10 AND 14) = 0 ORDER BY area DESC, k LIMIT 3) SELECT * FROM w UNION ALL SELECT * FROM l")
 def _(spark, d):
     t = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col("c_acctbal") > 0) * 0.25).alias("area")).withColumn("density", F.col("n") / F.col("area"))
     return rg.primary_backup(t, "area", "density", "k", 10.0, 14.0).select("k", "role")
 
 
-@register("reg_parent", f"SELECT l_orderkey, l_linenumber, n_nationkey AS region_id, l_extendedprice > 50000 AS is_v1 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey IN (SELECT k FROM ({NATION.replace('n AS (', 'SELECT k, n, area FROM (', 1)}) ORDER BY n DESC, k LIMIT 5)")
-def _(spark, d):
-    top = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "n_nationkey").limit(5).select("n_nationkey")
-    place = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(top, "n_nationkey")
-    return read(spark, d, "lineitem").join(place, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "l_linenumber", F.col("n_nationkey").alias("region_id"), (F.col("l_extendedprice") > 50000).alias("is_v1"))
-
-
 # stamps: an embedding's first 64 numbers as 8 x 8 pixels
 
 SIDE = 8

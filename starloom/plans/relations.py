@@ -115,14 +115,6 @@ def _(spark, d):
     return b.join(a, key).select("l_orderkey", "l_linenumber", (F.col("a") - F.col("b")).alias("delta"))
 
 
-@register("join_cells_common", "WITH c AS (SELECT year(o_orderdate) AS y, o_orderpriority AS cell, count(*) AS n FROM orders WHERE o_custkey % 50 = 0 GROUP BY ALL), a AS (SELECT * FROM c WHERE y = 1995), b AS (SELECT * FROM c WHERE y = 1996) SELECT coalesce(a.cell, b.cell) AS cell, a.n AS n1, b.n AS n2, CASE WHEN b.cell IS NULL THEN 'first' WHEN a.cell IS NULL THEN 'second' ELSE 'common' END AS side FROM a FULL JOIN b ON a.cell = b.cell")
-def _(spark, d):
-    c = read(spark, d, "orders").where("o_custkey % 50 = 0").groupBy(F.year("o_orderdate").alias("y"), F.col("o_orderpriority").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    a, b = (c.where(F.col("y") == y).select("cell", F.col("n").alias(k)) for y, k in ((1995, "n1"), (1996, "n2")))
-    side = F.when(F.col("n2").isNull(), "first").when(F.col("n1").isNull(), "second").otherwise("common")
-    return a.join(b, "cell", "full").withColumn("side", side)
-
-
 @register("join_grid_interpolate", "SELECT l_orderkey, l_linenumber, round(l_discount / 0.05 * 10 + l_tax / 0.04 * 3, 6) AS value FROM lineitem WHERE l_discount < 0.1 AND l_tax < 0.08")
 def _(spark, d):
     surface = spark.range(9).select((F.col("id") % 3).alias("ix"), F.floor(F.col("id") / 3).alias("iy")).withColumn("value", F.col("ix") * 10.0 + F.col("iy") * 3.0)

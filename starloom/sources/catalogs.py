@@ -140,6 +140,20 @@ def write_verified(df: DataFrame, path: str) -> int:
     return n
 
 
+def metadata_only(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The light columns of a table read from files, with each row's file and its place there, so that heavy columns can be fetched later."""
+    m = F.col("_metadata")
+    return df.select(*columns, F.element_at(F.split(m["file_path"], "/"), -1).alias("file"), m["row_index"].alias("row"))
+
+
+def run_once(spark: SparkSession, path: str, make, force: bool = False) -> bool:
+    """Writes make()'s rows to path unless an earlier run finished there; returns whether it ran."""
+    if done(spark, path) and not force:
+        return False
+    make().write.mode("overwrite").parquet(path)
+    return True
+
+
 def write_sized(df: DataFrame, path: str, by: str, rows_per_file: int = 500_000, most: int = 200) -> int:
     """As many files as rows ask for, up to a limit, clustered by a column; returns how many."""
     files = max(1, min(most, -(-df.count() // rows_per_file)))
