@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starloom.functions.columns import lookup
+from starloom.operators.sets import union_named
 
-def robust_score(df: DataFrame, weights: dict[str, float], out: str = "score") -> DataFrame:
+
+def robust_score(df: DataFrame, weights: dict[str, float], out: str = "score", accuracy: int | None = None) -> DataFrame:
     """df plus the weighted sum of (x - median) / interquartile range; a constant column adds null."""
-    q = df.agg(*[F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(f"_{c}") for c in weights])
+    q = df.agg(*[quantiles(c, (0.25, 0.5, 0.75), accuracy).alias(f"_{c}") for c in weights])
     term = lambda c, w: F.lit(w) * (F.col(c) - F.col(f"_{c}")[1]) / F.nullif(F.col(f"_{c}")[2] - F.col(f"_{c}")[0], F.lit(0.0))
     total = sum((term(c, w) for c, w in weights.items()), F.lit(0.0))
     return df.join(F.broadcast(q)).withColumn(out, total).select(*df.columns, out)  # one row of quantiles
 
 
+def quantiles(column: Column | str, points: Sequence[float], accuracy: int | None = None) -> Column:
+    """Array of quantiles of a group: exact ones, which keep every distinct value of the group, or approximate ones of bounded memory."""
+    return F.percentile(column, F.array(*map(F.lit, points))) if accuracy is None else F.percentile_approx(column, list(points), accuracy)
+
+
 def tile_counts(df: DataFrame, tile: Sequence[str], flags: Sequence[str]) -> DataFrame:
     """Rows and rows of each boolean cut per tile, in one scan."""
     return df.groupBy(*tile).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(f)).alias(f"n_{f}") for f in flags])
@@ -30,22 +39,22 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return F.when(ok, F.greatest((mid - half) / den, F.lit(0.0))), F.when(ok, F.least((mid + half) / den, F.lit(1.0)))
 
 
-def completeness(df: DataFrame, by: Sequence[str], recovered: Column, value: str) -> DataFrame:
+def completeness(df: DataFrame, by: Sequence[str], recovered: Column, value: str, accuracy: int | None = None) -> DataFrame:
     """n, n_recovered, missing, mean and median of a value, completeness and its Wilson interval per cell.
 
     A missing outcome counts as not recovered and is reported in n_null.
     """
     hit = F.count_if(F.coalesce(recovered, F.lit(False)))
-    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), hit.alias("n_recovered"), F.count_if(recovered.isNull()).alias("n_null"), F.avg(value).alias("mean_value"), F.percentile(value, F.lit(0.5)).alias("median_value"))
+    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), hit.alias("n_recovered"), F.count_if(recovered.isNull()).alias("n_null"), F.avg(value).alias("mean_value"), quantiles(value, (0.5,), accuracy)[0].alias("median_value"))
     low, high = wilson(F.col("n_recovered"), F.col("n"))
     return out.withColumn("completeness", F.col("n_recovered") / F.col("n")).withColumn("ci_low", low).withColumn("ci_high", high)
 
 
-def region_metrics(df: DataFrame, region: str, tile: str, values: Sequence[str], area: str, count: str) -> DataFrame:
+def region_metrics(df: DataFrame, region: str, tile: str, values: Sequence[str], area: str, count: str, accuracy: int | None = None) -> DataFrame:
     """Per region: tiles, area, total, area-weighted density, and mean, deviation, p10, p50, p90 of each value."""
     aggs = [F.count_distinct(tile).alias("n_tiles"), F.sum(area).alias("area"), F.sum(count).alias("total")]
     for v in values:
-        q = F.percentile(v, F.array(*map(F.lit, (0.1, 0.5, 0.9))))
+        q = quantiles(v, (0.1, 0.5, 0.9), accuracy)
         aggs += [F.avg(v).alias(f"{v}_mean"), F.stddev(v).alias(f"{v}_std"), q[0].alias(f"{v}_p10"), q[1].alias(f"{v}_p50"), q[2].alias(f"{v}_p90")]
     return df.groupBy(region).agg(*aggs).withColumn("density", F.col("total") / F.nullif(F.col("area"), F.lit(0.0)))
 
@@ -62,19 +71,19 @@ def weighted_center(df: DataFrame, by: Sequence[str], weight: str, values: Seque
     return df.groupBy(*by).agg(*[(F.sum(F.col(weight) * F.col(v)) / total).alias(f"{v}_center") for v in values], F.sum(weight).alias("weight"))
 
 
-def variant_stats(df: DataFrame, counts: Sequence[str], total: str, area: str) -> DataFrame:
+def variant_stats(df: DataFrame, counts: Sequence[str], total: str, area: str, accuracy: int | None = None) -> DataFrame:
     """One row per cut: non-zero tiles, quantiles of positive densities, mean and median share of the total."""
     long = df.select(total, area, F.explode(F.array(*[F.struct(F.lit(c).alias("variant"), F.col(c).alias("k")) for c in counts])).alias("v")).select(total, area, "v.*")
     dens = F.when(F.col("k") > 0, F.col("k") / F.col(area))
     share = F.when(F.col(total) > 0, F.col("k") / F.nullif(F.col(total), F.lit(0)))
-    q = F.percentile(dens, F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99))))
-    return long.groupBy("variant").agg(F.count(F.lit(1)).alias("n_tiles"), F.count_if(F.col("k") > 0).alias("n_nonzero"), *[q[i].alias(n) for i, n in enumerate(("median_density", "p90_density", "p95_density", "p99_density"))], F.avg(share).alias("mean_frac"), F.percentile(share, F.lit(0.5)).alias("median_frac"))
+    q = quantiles(dens, (0.5, 0.9, 0.95, 0.99), accuracy)
+    return long.groupBy("variant").agg(F.count(F.lit(1)).alias("n_tiles"), F.count_if(F.col("k") > 0).alias("n_nonzero"), *[q[i].alias(n) for i, n in enumerate(("median_density", "p90_density", "p95_density", "p99_density"))], F.avg(share).alias("mean_frac"), quantiles(share, (0.5,), accuracy)[0].alias("median_frac"))
 
 
-def pooled(df: DataFrame, by: Sequence[str], k: str, n: str) -> DataFrame:
+def pooled(df: DataFrame, by: Sequence[str], k: str, n: str, accuracy: int | None = None) -> DataFrame:
     """Second level over regions: sums, mean and population deviation of the ratios, the pooled ratio with its interval."""
     r = F.col(k) / F.nullif(F.col(n), F.lit(0))
-    t = df.groupBy(*by).agg(F.sum(k).alias("k"), F.sum(n).alias("n"), F.count(F.lit(1)).alias("regions"), F.avg(r).alias("mean_ratio"), F.stddev_pop(r).alias("std_ratio"), F.percentile(r, F.lit(0.5)).alias("p50_of_regions"))
+    t = df.groupBy(*by).agg(F.sum(k).alias("k"), F.sum(n).alias("n"), F.count(F.lit(1)).alias("regions"), F.avg(r).alias("mean_ratio"), F.stddev_pop(r).alias("std_ratio"), quantiles(r, (0.5,), accuracy)[0].alias("p50_of_regions"))
     low, high = wilson(F.col("k"), F.col("n"))
     return t.withColumn("ratio", F.col("k") / F.nullif(F.col("n"), F.lit(0))).withColumn("ci_low", low).withColumn("ci_high", high)
 
@@ -84,38 +93,159 @@ def margins(df: DataFrame, axes: Sequence[str], k: Column) -> DataFrame:
     return df.cube(*axes).agg(F.count(F.lit(1)).alias("n"), F.count_if(k).alias("k"), F.grouping_id(*axes).alias("level")).withColumn("ratio", F.col("k") / F.col("n"))
 
 
-def paired_delta(df: DataFrame, by: Sequence[str], a: str, b: str, threshold: float) -> DataFrame:
+def paired_delta(df: DataFrame, by: Sequence[str], a: str, b: str, threshold: float, accuracy: int | None = None) -> DataFrame:
     """Differences b - a per bin: mean, median, deviation, quartiles, shares by sign, and crossings of the threshold."""
     d = F.col(b) - F.col(a)
-    q = F.percentile(d, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
+    q = quantiles(d, (0.25, 0.5, 0.75), accuracy)
     gain, loss = (F.col(a) < threshold) & (F.col(b) >= threshold), (F.col(a) >= threshold) & (F.col(b) < threshold)
     t = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean"), F.stddev(d).alias("std"), q[0].alias("p25"), q[1].alias("median"), q[2].alias("p75"), F.count_if(d > 0).alias("up"), F.count_if(d < 0).alias("down"), F.count_if(d == 0).alias("zero"), F.count_if(gain).alias("gained"), F.count_if(loss).alias("lost"))
     return t.withColumn("mechanism", F.when(F.col("gained") > 2 * F.col("lost"), "gain").when(F.col("lost") > 2 * F.col("gained"), "loss").otherwise("mixed"))
 
 
 def mcnemar(df: DataFrame, by: Sequence[str], a: Column, b: Column) -> DataFrame:
-    """Discordant counts of paired outcomes, chi-square with continuity correction, and the exact two-sided binomial p."""
+    """Discordant counts of paired outcomes, chi-square with continuity correction and its p, and the exact two-sided binomial p."""
     t = df.groupBy(*by).agg(F.count_if(a & ~b).alias("b"), F.count_if(~a & b).alias("c"))
     n = F.col("b") + F.col("c")
-    chi = F.when(n > 0, F.pow(F.greatest(F.abs(F.col("b") - F.col("c")) - 1, F.lit(0)).cast("double"), F.lit(2.0)) / F.nullif(n, F.lit(0)))
     # sums of binomial terms by their logarithms
     log_choose = lambda k: F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda s, i: s + F.log((n - k + i) / i))
     terms = F.transform(F.sequence(F.lit(0).cast("long"), F.least("b", "c")), lambda k: F.exp(log_choose(k) - n * F.log(F.lit(2.0))))
     p = F.least(F.lit(1.0), F.lit(2.0) * F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))
-    return t.withColumn("chi2", chi).withColumn("p_exact", F.when(n > 0, p).otherwise(F.lit(1.0)))
+    return t.withColumn("chi2", _mcnemar_chi2()).withColumn("p_chi2", chi2_tail(F.col("chi2"))).withColumn("p_exact", F.when(n > 0, p).otherwise(F.lit(1.0)))
 
 
-def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def profile(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
     """(subject, valid, missing, least, most, mean, median) of numeric columns, in one scan."""
-    one = [F.struct(F.lit(c).alias("subject"), F.count(c).alias("valid"), F.count_if(F.col(c).isNull()).alias("missing"), F.min(F.col(c).cast("double")).alias("least"), F.max(F.col(c).cast("double")).alias("most"), F.avg(c).alias("mean"), F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias("median")) for c in columns]
+    one = [F.struct(F.lit(c).alias("subject"), F.count(c).alias("valid"), F.count_if(F.col(c).isNull()).alias("missing"), F.min(F.col(c).cast("double")).alias("least"), F.max(F.col(c).cast("double")).alias("most"), F.avg(c).alias("mean"), quantiles(F.col(c).cast("double"), (0.5,), accuracy)[0].alias("median")) for c in columns]
     return df.agg(F.array(*one).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
-def cell_concentration(df: DataFrame, cell: str, top: int = 5) -> DataFrame:
+def two_phase(df: DataFrame, part: Sequence[str | Column], by: Sequence[str], value: str) -> DataFrame:
+    """(by, parts, n, total): counts and sums of every part, such as a file or a day, and then over parts."""
+    parts = df.groupBy(*by, *[F.col(p).alias(f"_p{i}") if isinstance(p, str) else p.alias(f"_p{i}") for i, p in enumerate(part)]).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("v"))
+    return parts.groupBy(*by).agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("v").alias("total"))
+
+
+def completeness_scores(df: DataFrame, by: Sequence[str], recovered: Column, levels: dict[str, Column]) -> DataFrame:
+    """Per cell the rows attempted and of each named level, those recovered of each, their ratios and Wilson intervals, and each level's share of the attempts."""
+    every = {"attempted": F.lit(True)} | levels
+    aggs = []
+    for name, c in every.items():
+        aggs += [F.count_if(c).alias(f"n_{name}"), F.count_if(c & recovered).alias(f"k_{name}")]
+    t = df.groupBy(*by).agg(*aggs)
+    for name in every:
+        k, n = F.col(f"k_{name}"), F.col(f"n_{name}")
+        low, high = wilson(k, n)
+        t = t.withColumns({f"of_{name}": k / F.nullif(n, F.lit(0)), f"of_{name}_low": low, f"of_{name}_high": high})
+        if name != "attempted":
+            t = t.withColumn(f"share_{name}", n / F.col("n_attempted"))
+    return t
+
+
+def rate_surface(df: DataFrame, by: Sequence[str], hit: Column) -> DataFrame:
+    """(by, n, k, rate, ci_low, ci_high) of a boolean per cell."""
+    t = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("k"))
+    low, high = wilson(F.col("k"), F.col("n"))
+    return t.withColumns({"rate": F.col("k") / F.col("n"), "ci_low": low, "ci_high": high})
+
+
+def binned_rates(df: DataFrame, axes: dict[str, Sequence[float]], real: Column, found: Column, least: int = 1) -> DataFrame:
+    """Completeness and purity on a grid of bins: per bin index and centre of each axis, n_real, n_found, n_both and the two ratios.
+
+    axes: column to rising edges, the last edge included; rows outside go. Empty
+    bins are there, and a ratio over fewer than ``least`` rows is null.
+    """
+    cells, t, inside = None, df, F.lit(True)
+    for c, edges in axes.items():
+        inside = inside & F.col(c).between(edges[0], edges[-1])
+        passed = sum(((F.col(c) >= e).cast("int") for e in edges), F.lit(-1))
+        t = t.withColumn(f"{c}_bin", F.least(passed, F.lit(len(edges) - 2)))
+        one = df.sparkSession.createDataFrame([(i, (a + b) / 2) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))], f"{c}_bin int, {c}_centre double")
+        cells = one if cells is None else cells.crossJoin(one)  # bins of stated edges
+    keys = [f"{c}_bin" for c in axes]
+    t = t.where(inside).groupBy(*keys).agg(F.count_if(real).alias("n_real"), F.count_if(found).alias("n_found"), F.count_if(real & found).alias("n_both"))
+    out = cells.join(t, keys, "left")
+    for n in ("n_real", "n_found", "n_both"):
+        out = out.withColumn(n, F.coalesce(n, F.lit(0)))
+    ratio = lambda n: F.when(F.col(n) >= least, F.col("n_both") / F.nullif(F.col(n), F.lit(0)))
+    return out.withColumns({"completeness": ratio("n_real"), "purity": ratio("n_found")})
+
+
+def selection_combine(rates: DataFrame, classes: DataFrame, on: Sequence[str], rate: str, blind: float = 0.0, penalty: float = 0.5) -> DataFrame:
+    """rates with ``value``: ``blind`` in cells of class blind, rate * penalty in those of class low, else the rate."""
+    value = F.when(F.col("class") == "blind", F.lit(blind)).when(F.col("class") == "low", F.col(rate) * penalty).otherwise(F.col(rate))
+    return rates.join(classes.select(*on, "class"), list(on), "left").withColumn("value", value)
+
+
+def binned_means(df: DataFrame, axis: str, edges: Sequence[float], values: Sequence[str], least: int = 6) -> DataFrame:
+    """(bin, n, mean of each value) in bins [edge, next edge) with at least ``least`` rows."""
+    b = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(axis))) - 1
+    t = df.where((F.col(axis) >= edges[0]) & (F.col(axis) < edges[-1])).groupBy(b.alias("bin"))
+    return t.agg(F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(f"{v}_mean") for v in values]).where(F.col("n") >= least)
+
+
+def delta_summary(df: DataFrame, by: Sequence[str], delta: str) -> DataFrame:
+    """Cells, mean, largest absolute value and deviation of differences per perturbation."""
+    return df.groupBy(*by).agg(F.count(delta).alias("cells"), F.avg(delta).alias("mean"), F.max(F.abs(delta)).alias("largest"), F.stddev(delta).alias("std"))
+
+
+def shares(df: DataFrame, by: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """(by, n, share, share_within): counts per stratum, their share of all rows and of their group of ``within`` columns."""
+    t = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    t = t.crossJoin(F.broadcast(t.agg(F.sum("n").alias("_all"))))  # one row
+    if within:
+        t = t.join(t.groupBy(*within).agg(F.sum("n").alias("_part")), list(within))
+    return t.select(*by, "n", (F.col("n") / F.col("_all")).alias("share"), *([(F.col("n") / F.col("_part")).alias("share_within")] if within else []))
+
+
+def category_stats(df: DataFrame, by: Sequence[str], score: str, threshold: float, quantiles: Sequence[float] = (0.5, 0.9, 0.99), accuracy: int | None = None) -> DataFrame:
+    """n, flagged rows, their share, mean and quantiles of a score per category; approximate quantiles with an accuracy."""
+    q = F.percentile(score, F.array(*map(F.lit, quantiles))) if accuracy is None else F.percentile_approx(score, list(quantiles), accuracy)
+    t = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(score) > threshold).alias("flagged"), F.avg(score).alias("mean"), *[q[i].alias(f"p{100 * x:g}") for i, x in enumerate(quantiles)])
+    return t.withColumn("share", F.col("flagged") / F.col("n"))
+
+
+def prevalence_weighted(rates: DataFrame, category: str, rate: str, prevalence: dict[str, float], default: float = 0.0) -> DataFrame:
+    """One row: sum(rate * prevalence) / sum(prevalence) over categories."""
+    w = lookup(category, prevalence, default)
+    return rates.agg((F.sum(F.col(rate) * w) / F.nullif(F.sum(w), F.lit(0.0))).alias("weighted"))
+
+
+def distinct_tasks(manifests: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """The distinct keys of several manifests, whatever the order of their columns."""
+    return union_named(*[m.select(*keys) for m in manifests]).distinct()
+
+
+def mcnemar_pooled(t: DataFrame, axis: str, ranges: dict[str, tuple[float, float]]) -> DataFrame:
+    """(range, b, c, chi2, p_chi2) of discordant counts pooled over [low, high] of an axis."""
+    parts = [t.where(F.col(axis).between(*r)).agg(F.lit(name).alias("range"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.sum("c"), F.lit(0)).alias("c")) for name, r in ranges.items()]
+    out = union_named(*parts)
+    return out.withColumn("chi2", _mcnemar_chi2()).withColumn("p_chi2", chi2_tail(F.col("chi2")))
+
+
+def _mcnemar_chi2() -> Column:
+    n = F.col("b") + F.col("c")
+    return F.when(n > 0, F.pow(F.greatest(F.abs(F.col("b") - F.col("c")) - 1, F.lit(0)).cast("double"), F.lit(2.0)) / F.nullif(n, F.lit(0)))
+
+
+def chi2_tail(x: Column, terms: int = 60) -> Column:
+    """Upper tail of chi-square with one degree of freedom: erfc(sqrt(x / 2)).
+
+    By the series of erf up to z = 3, and by a continued fraction beyond.
+    """
+    z = F.sqrt(x / 2)
+    # erf(z) = 2 / sqrt(pi) * exp(-z^2) * sum over n of 2^n z^(2n+1) / (1 * 3 * ... * (2n+1))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.struct(z.alias("term"), z.alias("sum")), lambda s, n: F.struct((s["term"] * 2 * z * z / (2 * n + 1)).alias("term"), (s["sum"] + s["term"] * 2 * z * z / (2 * n + 1)).alias("sum")), lambda s: s["sum"])
+    small = 1 - F.lit(2.0) / F.sqrt(F.lit(math.pi)) * F.exp(-z * z) * series
+    fraction = F.aggregate(F.sequence(F.lit(terms), F.lit(1), F.lit(-1)), z, lambda f, k: z + (k / F.lit(2.0)) / f)
+    large = F.exp(-z * z) / F.sqrt(F.lit(math.pi)) / fraction
+    return F.when(x.isNotNull(), F.when(z < 3, F.greatest(small, F.lit(0.0))).otherwise(large))
+
+
+def cell_concentration(df: DataFrame, cell: str, top: int = 5, accuracy: int | None = None) -> DataFrame:
     """One row: cells, largest, median and mean count, and the share of the ``top`` largest cells."""
     c = df.groupBy(cell).agg(F.count(F.lit(1)).alias("n"))
     best = c.orderBy(F.desc("n"), cell).limit(top).agg(F.sum("n").alias("_top"))
-    t = c.agg(F.count(F.lit(1)).alias("cells"), F.max("n").alias("largest"), F.percentile("n", F.lit(0.5)).alias("median"), F.avg("n").alias("mean"), F.sum("n").alias("_all"))
+    t = c.agg(F.count(F.lit(1)).alias("cells"), F.max("n").alias("largest"), quantiles("n", (0.5,), accuracy)[0].alias("median"), F.avg("n").alias("mean"), F.sum("n").alias("_all"))
     return t.crossJoin(best).select("cells", "largest", "median", "mean", (F.col("_top") / F.col("_all")).alias("top_share"))  # one row each
 
 

@@ -21,8 +21,18 @@ def left_meta(fact: DataFrame, meta: DataFrame, on: Sequence[str]) -> DataFrame:
     return fact.join(meta.drop(*shared), list(on), "left")
 
 
-def fill_counts(df: DataFrame, counts: DataFrame, on: str, value: str, area: str | None = None, floor: float = 1e-6) -> DataFrame:
-    """Left join of counts with 0 where there is none; with ``area``, also a density over at least ``floor``."""
+def unique_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """df, after a check that no key comes twice."""
+    twice = df.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1)
+    if twice:
+        raise ValueError(f"keys repeat, for example {twice[0].asDict()}")
+    return df
+
+
+def fill_counts(df: DataFrame, counts: DataFrame, on: str, value: str, area: str | None = None, floor: float = 1e-6, one_to_one: bool = False) -> DataFrame:
+    """Left join of counts with 0 where there is none; with ``area``, also a density over at least ``floor``. With ``one_to_one``, repeated keys on either side raise."""
+    if one_to_one:
+        unique_keys(df, [on]), unique_keys(counts, [on])
     out = df.join(counts, on, "left").withColumn(value, F.coalesce(F.col(value), F.lit(0)))
     return out.withColumn("density", F.col(value) / F.greatest(F.col(area), F.lit(floor))) if area else out
 
@@ -110,14 +120,95 @@ def latest(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]) ->
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def region_map(fact: DataFrame, key: str, *maps: tuple[DataFrame, str, str]) -> DataFrame:
+    """fact through a chain of small maps: each is (table, its key, the column that leads on); rows without a match go.
+
+    The chain is joined among its small tables first, so the fact is shuffled or
+    probed once.
+    """
+    place, first, on = maps[0]
+    for table, k, nxt in maps[1:]:
+        place = place.join(table, F.col(on) == F.col(k))
+        on = nxt
+    return fact.join(place, F.col(key) == F.col(first))
+
+
+def nested(df: DataFrame, by: Sequence[str], fields: Sequence[str], name: str = "items") -> DataFrame:
+    """One row per key with the sorted distinct structs of the fields; for small selection tables."""
+    return df.groupBy(*by).agg(F.sort_array(F.collect_set(F.struct(*fields))).alias(name))
+
+
+def expand(fact: DataFrame, lists: DataFrame, on: Sequence[str], name: str = "items") -> DataFrame:
+    """fact once for every struct in its key's list, whose fields become columns."""
+    return fact.join(lists, list(on)).withColumn("_x", F.explode(name)).select(*fact.columns, "_x.*")
+
+
+def in_boxes(points: DataFrame, boxes: DataFrame, size: float, positions: tuple[str, str] = ("ra", "dec")) -> DataFrame:
+    """Points with every box (ra1, ra2, dec1, dec2, ra1 < ra2 <= 360) that holds them; lower edges count, upper ones don't.
+
+    Boxes are copied to the cells of ``size`` degrees that they touch, so the
+    join is on cells.
+    """
+    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size)))
+    b = boxes.withColumn("_x", cells("ra1", "ra2")).withColumn("_y", cells("dec1", "dec2"))
+    x, y = F.pmod(F.col(positions[0]), F.lit(360.0)), F.col(positions[1])
+    a = points.withColumn("_x", F.floor(x / size)).withColumn("_y", F.floor(y / size))
+    return a.join(b, ["_x", "_y"]).where((x >= F.col("ra1")) & (x < F.col("ra2")) & (y >= F.col("dec1")) & (y < F.col("dec2"))).drop("_x", "_y")
+
+
+def footprint(points: DataFrame, centres: DataFrame, radius: float, key: str, centre: str, **on) -> DataFrame:
+    """Points with a tile centre within the radius: the nearest one, its distance and how many there are."""
+    p = sky_pairs(points, centres, radius, **on)
+    return p.groupBy(key).agg(F.count_distinct(centre).alias("n_tiles"), F.min_by(centre, F.struct(F.round("sep", 9), F.col(centre))).alias("tile"), F.min("sep").alias("nearest"))
+
+
+def condition_delta(a: DataFrame, b: DataFrame, on: Sequence[str], score: str) -> DataFrame:
+    """(on, a, b, delta): the scores of two conditions of the same rows; keys are unique on each side."""
+    return a.select(*on, F.col(score).alias("a")).join(b.select(*on, F.col(score).alias("b")), list(on)).withColumn("delta", F.col("b") - F.col("a"))
+
+
+def common_cells(a: DataFrame, b: DataFrame, cells: Sequence[str], value: str) -> DataFrame:
+    """(cells, v1, v2, delta, side): two grids on their cells; side says whether a cell is common or only in one."""
+    x, y = a.select(*cells, F.col(value).alias("v1"), F.lit(True).alias("_a")), b.select(*cells, F.col(value).alias("v2"), F.lit(True).alias("_b"))
+    side = F.when(F.col("_b").isNull(), "first").when(F.col("_a").isNull(), "second").otherwise("common")
+    return x.join(y, list(cells), "full").select(*cells, "v1", "v2", (F.col("v2") - F.col("v1")).alias("delta"), side.alias("side"))
+
+
+def undone(df: DataFrame, ledger: DataFrame, on: Sequence[str], status: str = "status", ok: str = "OK") -> DataFrame:
+    """Rows whose key the ledger doesn't list as done; keys done several times count once."""
+    return df.join(ledger.where(F.col(status) == ok).select(*on).distinct(), list(on), "left_anti")
+
+
+def without_blocked(frames: dict[str, DataFrame], blocked: DataFrame, on: str) -> dict[str, DataFrame]:
+    """Each table less the rows of blocked keys."""
+    keys = blocked.select(on).distinct()
+    return {name: f.join(keys, on, "left_anti") for name, f in frames.items()}
+
+
+def split_flagged(df: DataFrame, flagged: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows that aren't flagged, rows that are)."""
+    keys = flagged.select(*on).distinct()
+    return df.join(keys, list(on), "left_anti"), df.join(keys, list(on), "left_semi")
+
+
+def position_lookup(df: DataFrame, table: DataFrame, size: float, positions: tuple[str, str] = ("ra", "dec")) -> DataFrame:
+    """df with the columns of a table whose rounded position is the same, in cells of ``size`` degrees; other rows go."""
+    cell = lambda t: t.withColumn("_x", F.round(F.col(positions[0]) / size)).withColumn("_y", F.round(F.col(positions[1]) / size))
+    return cell(df).join(cell(table).drop(*positions), ["_x", "_y"]).drop("_x", "_y")
+
+
 def grid_interpolate(df: DataFrame, grid: DataFrame, x: str, y: str, x0: float, dx: float, y0: float, dy: float, value: str = "value") -> DataFrame:
-    """df plus ``interpolated``: bilinear value of a surface (ix, iy, value) on an even grid; 0 outside."""
+    """df plus ``interpolated``: bilinear value of a surface (ix, iy, value) on an even grid; 0 outside.
+
+    A grid of up to 100,000 cells is broadcast, a larger one is shuffled.
+    """
+    small = F.broadcast if grid.count() <= 100_000 else (lambda g: g)
     fx, fy = (F.col(x) - x0) / dx, (F.col(y) - y0) / dy
     t = df.withColumn("_ix", F.floor(fx)).withColumn("_iy", F.floor(fy)).withColumn("_tx", fx - F.floor(fx)).withColumn("_ty", fy - F.floor(fy))
     total = F.lit(0.0)
     for i in (0, 1):
         for k in (0, 1):
-            g = F.broadcast(grid.select((F.col("ix") - i).alias("_ix"), (F.col("iy") - k).alias("_iy"), F.col(value).alias(f"_v{i}{k}")))
+            g = small(grid.select((F.col("ix") - i).alias("_ix"), (F.col("iy") - k).alias("_iy"), F.col(value).alias(f"_v{i}{k}")))
             t = t.join(g, ["_ix", "_iy"], "left")
             wx = F.col("_tx") if i else 1 - F.col("_tx")
             wy = F.col("_ty") if k else 1 - F.col("_ty")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.columns import hash_uniform
@@ -54,18 +54,17 @@ def tpr_at_fpr(df: DataFrame, score: str, label: Column, rates: Sequence[float])
 
 
 def partial_auc(df: DataFrame, score: str, label: Column, most: float) -> DataFrame:
-    """One row: area for FPR up to ``most``, the last segment interpolated, and McClish's standardised value."""
-    p = roc_points(df, score, label)
-    # points with equal FPR collapse to their best and worst TPR; the path goes through both
-    q = p.groupBy("fpr").agg(F.min("tpr").alias("t0"), F.max("tpr").alias("t1"))
-    w = Window.orderBy("fpr")
-    part = q.where(F.col("fpr") <= most).select("fpr", "t0", "t1")
-    nxt = q.where(F.col("fpr") > most).agg(F.min(F.struct("fpr", "t0")).alias("n"))
-    part = part.unionAll(nxt.where("n is not null").select("n.fpr", "n.t0", "n.t0"))  # at most the low end of the curve
-    seg = part.withColumn("f0", F.coalesce(F.lag("fpr").over(w), F.lit(0.0))).withColumn("y0", F.coalesce(F.lag("t1").over(w), F.lit(0.0)))
-    end = F.least("fpr", F.lit(most))
-    y1 = F.when(F.col("fpr") > F.col("f0"), F.col("y0") + (F.col("t0") - F.col("y0")) * (end - F.col("f0")) / F.nullif(F.col("fpr") - F.col("f0"), F.lit(0.0))).otherwise(F.col("t0"))
-    t = seg.agg(F.sum((end - F.col("f0")) * (F.col("y0") + y1) / 2).alias("area"))
+    """One row: area for FPR up to ``most``, the last segment interpolated, and McClish's standardised value.
+
+    Each distinct score is a segment of the curve by its own counts and those
+    above it, so no task orders the points.
+    """
+    t = score_counts(df, score, label)
+    rate = lambda k, own: (F.col(f"{k}_all") - F.col(f"{k}_below") - (F.col(k) if own else F.lit(0))) / F.nullif(F.col(f"{k}_all"), F.lit(0))
+    seg = t.select(rate("neg", True).alias("f0"), rate("neg", False).alias("f1"), rate("pos", True).alias("y0"), rate("pos", False).alias("y1")).where(F.col("f0") < most)
+    end = F.least("f1", F.lit(most))
+    y = F.coalesce(F.col("y0") + (F.col("y1") - F.col("y0")) * (end - F.col("f0")) / F.nullif(F.col("f1") - F.col("f0"), F.lit(0.0)), "y1")
+    t = seg.agg(F.sum((end - F.col("f0")) * (F.col("y0") + y) / 2).alias("area"))
     low = most * most / 2
     return t.withColumn("standardised", F.lit(0.5) * (1 + (F.col("area") - low) / (most - low)))
 

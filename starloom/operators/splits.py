@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.columns import col, hash_uniform
@@ -23,11 +23,13 @@ def hash_split(key: str | Column, seed: int = 13, shares: Sequence[tuple[str, fl
 
 
 def exact_split(df: DataFrame, key: str, by: Sequence[str], train: float = 0.8, val: float = 0.1, seed: int = 13) -> DataFrame:
-    """df plus ``split`` with exact counts per group: int(n * train), int(n * val), and the rest for test."""
-    w = Window.partitionBy(*by)
-    i = F.row_number().over(w.orderBy(hash_uniform(key, seed), key))
-    n = F.count(F.lit(1)).over(w)
-    return df.withColumn("split", F.when(i <= F.floor(n * F.lit(train)), "train").when(i <= F.floor(n * F.lit(train)) + F.floor(n * F.lit(val)), "val").otherwise("test"))
+    """df plus ``split`` with exact counts per group: int(n * train), int(n * val), and the rest for test. Groups are numbered by ranges, so a group may be as large as the table."""
+    from starloom.operators.windows import numbered
+
+    t = numbered(df.withColumn("_u", hash_uniform(key, seed)), [*by, "_u", key], "_i", by)
+    t = t.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), list(by))
+    first, second = F.floor(F.col("_n") * F.lit(train)), F.floor(F.col("_n") * F.lit(val))
+    return t.select(*df.columns, F.when(F.col("_i") <= first, "train").when(F.col("_i") <= first + second, "val").otherwise("test").alias("split"))
 
 
 def relabel(split: str, key: str, share: float, seed: int = 17) -> Column:
@@ -66,3 +68,29 @@ def ks_p(statistic: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
     part = lambda j: F.when(j % 2 == 1, F.lit(2.0)).otherwise(F.lit(-2.0)) * F.exp(F.lit(-2.0) * j * j * x * x)
     p = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda s, j: s + part(j))
     return F.when(x.isNotNull(), F.when(x < 0.2, F.lit(1.0)).otherwise(F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0))))  # below 0.2 the series has no meaning and p is 1
+
+
+def min_separation(test: DataFrame, train: DataFrame, limit: float, reach: float, key: str, other: str, **on) -> tuple[DataFrame, DataFrame]:
+    """(report, violations): smallest and median distance from test rows to their nearest train row, and the test rows closer than ``limit``.
+
+    Neighbours beyond ``reach`` degrees aren't searched; test rows without one are counted as ``alone``.
+    """
+    from starloom.operators.joins import nearest
+
+    near = nearest(test, train, reach, key, other, **on).select(key, other, "sep")
+    t = test.select(key).join(near, key, "left")
+    report = t.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("sep").isNull()).alias("alone"), F.min("sep").alias("least"), F.percentile("sep", F.lit(0.5)).alias("median"), F.count_if(F.col("sep") < limit).alias("violations"))
+    return report, near.where(F.col("sep") < limit)
+
+
+def balance(df: DataFrame, split: str, columns: Sequence[str], only: Column | None = None) -> DataFrame:
+    """(feature, split_a, split_b, mean_a, mean_b, ks, p): KS and means of each column for each pair of splits, of all rows or those where ``only`` holds."""
+    from starloom.operators.metrics import unpivot
+
+    long = unpivot(df if only is None else df.where(only), columns, [split]).where("value is not null")
+    names = [r[0] for r in df.select(split).where(F.col(split).isNotNull()).distinct().orderBy(split).collect()]  # a handful of splits
+    pairs = [F.struct(F.lit(a).alias("split_a"), F.lit(b).alias("split_b")) for i, a in enumerate(names) for b in names[i + 1 :]]
+    t = long.withColumn("_p", F.explode(F.filter(F.array(*pairs), lambda p: (p["split_a"] == F.col(split)) | (p["split_b"] == F.col(split))))).select("feature", "value", "_p.*", (F.col("_p.split_a") == F.col(split)).alias("_a"))
+    means = t.groupBy("feature", "split_a", "split_b").agg(F.avg(F.when(F.col("_a"), F.col("value"))).alias("mean_a"), F.avg(F.when(~F.col("_a"), F.col("value"))).alias("mean_b"))
+    k = ks(t, "value", F.col("_a"), ["feature", "split_a", "split_b"])
+    return means.join(k, ["feature", "split_a", "split_b"]).withColumn("p", ks_p(F.col("ks"), F.col("n1"), F.col("n2"))).drop("n1", "n2")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.functions.columns import hash_uniform
+from starloom.operators.sets import union_named
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str, within: Sequence[str] = ()) -> DataFrame:
@@ -91,3 +92,31 @@ def threshold_at_fpr(df: DataFrame, score: str, label: Column, fpr: float) -> Da
     k = F.greatest(F.ceil(F.col("neg_all") * F.lit(fpr)), F.lit(1))
     above = F.col("neg_all") - F.col("neg_below")
     return t.where((F.col("neg") > 0) & (above >= k)).agg(F.max_by(F.struct(F.col(score).alias("threshold"), (above / F.col("neg_all")).alias("actual_fpr")), score).alias("r")).select("r.*")
+
+
+def global_topk(df: DataFrame, k: int, score: str, key: str) -> DataFrame:
+    """The k highest scores of all rows; ties to the smaller key."""
+    return df.orderBy(F.desc(score), key).limit(k)
+
+
+def ordered_list(df: DataFrame, order: Sequence[Column | str], most: int, name: str = "place") -> DataFrame:
+    """The first ``most`` rows in a total order, with their place from 1; only those rows are numbered in one task."""
+    return df.orderBy(*order).limit(most).withColumn(name, F.row_number().over(Window.orderBy(*order)))
+
+
+def candidates(df: DataFrame, score: str, least: float, most: int, key: str, grades: DataFrame, default: str = "ungraded") -> DataFrame:
+    """Up to ``most`` rows of the highest scores from ``least`` on, with their grade(key, grade) if they have one."""
+    top = global_topk(df.where(F.col(score) >= least), most, score, key)
+    return top.join(grades.select(key, "grade"), key, "left").withColumn("grade", F.coalesce("grade", F.lit(default)))
+
+
+def local_order(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows of a key in one partition, sorted inside it; for writers and readers that go through neighbours."""
+    return df.repartition(*by).sortWithinPartitions(*by, *order)
+
+
+def boundary_samples(df: DataFrame, value: str, cuts: Sequence[float], within: float, key: str, k: int = 10) -> DataFrame:
+    """(sample, rows of df): rows near each cut, and the k with the smallest and the k with the largest values."""
+    parts = [df.where(F.abs(F.col(value) - c) <= within).withColumn("sample", F.lit(f"near {c:g}")) for c in cuts]
+    parts += [df.orderBy(value, key).limit(k).withColumn("sample", F.lit("smallest")), df.orderBy(F.desc(value), key).limit(k).withColumn("sample", F.lit("largest"))]
+    return union_named(*parts)

@@ -25,12 +25,6 @@ def _(spark, d):
     return a.tile_counts(part_cuts(read(spark, d, "part")), ["p_brand"], list(CUTS))
 
 
-@register("agg_two_phase", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
-def _(spark, d):
-    daily = read(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
-    return daily.groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("v"), 4).alias("total"))
-
-
 @register("agg_region_metrics", "SELECT c_nationkey, count(DISTINCT o_custkey) AS n_tiles, round(sum(w), 6) AS area, sum(one) AS total, round(avg(o_totalprice), 4) AS o_totalprice_mean, round(stddev(o_totalprice), 4) AS o_totalprice_std, round(quantile_cont(o_totalprice, 0.1), 4) AS o_totalprice_p10, round(quantile_cont(o_totalprice, 0.5), 4) AS o_totalprice_p50, round(quantile_cont(o_totalprice, 0.9), 4) AS o_totalprice_p90, round(sum(one) / sum(w), 4) AS density FROM (SELECT *, 1::BIGINT AS one, 0.25::DOUBLE AS w FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY 1")
 def _(spark, d):
     t = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("one", F.lit(1).cast("long")).withColumn("w", F.lit(0.25))
@@ -65,26 +59,12 @@ def _(spark, d):
     return rounded(a.completeness(t, ["l_linestatus", "b"], F.col("l_shipdate") >= F.to_timestamp(F.lit("1998-01-01")), "l_quantity").withColumn("mean_value", F.round("mean_value", 4)))
 
 
-@register("agg_completeness_scores", "SELECT l_linenumber, count(*) AS attempted, count(*) FILTER (WHERE l_tax > 0) AS valid, count(*) FILTER (WHERE l_tax > 0 AND l_discount < 0.08) AS clean, count(*) FILTER (WHERE l_returnflag = 'R') AS recovered, round(count(*) FILTER (WHERE l_returnflag = 'R') / count(*), 6) AS of_attempted, round(count(*) FILTER (WHERE l_returnflag = 'R' AND l_tax > 0) / count(*) FILTER (WHERE l_tax > 0), 6) AS of_valid, round(count(*) FILTER (WHERE l_returnflag = 'R' AND l_tax > 0 AND l_discount < 0.08) / count(*) FILTER (WHERE l_tax > 0 AND l_discount < 0.08), 6) AS of_clean FROM lineitem GROUP BY 1")
-def _(spark, d):
-    valid, hit = F.col("l_tax") > 0, F.col("l_returnflag") == "R"
-    clean = valid & (F.col("l_discount") < 0.08)
-    t = read(spark, d, "lineitem").groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("attempted"), F.count_if(valid).alias("valid"), F.count_if(clean).alias("clean"), F.count_if(hit).alias("recovered"), (F.count_if(hit) / F.count(F.lit(1))).alias("of_attempted"), (F.count_if(hit & valid) / F.nullif(F.count_if(valid), F.lit(0))).alias("of_valid"), (F.count_if(hit & clean) / F.nullif(F.count_if(clean), F.lit(0))).alias("of_clean"))
-    return rounded(t)
-
-
 @register("agg_pooled_regions", "WITH r AS (SELECT c_nationkey, c_mktsegment, count(*) FILTER (WHERE c_acctbal > 5000) AS k, count(*) AS n FROM customer GROUP BY ALL), t AS (SELECT c_mktsegment, sum(k)::BIGINT AS k, sum(n)::BIGINT AS n, count(*) AS regions, avg(k / n) AS mean_ratio, stddev_pop(k / n) AS std_ratio, quantile_cont(k / n, 0.5) AS p50_of_regions FROM r GROUP BY 1) SELECT c_mktsegment, k, n, regions, round(mean_ratio, 6) AS mean_ratio, round(std_ratio, 6) AS std_ratio, round(p50_of_regions, 6) AS p50_of_regions, round(k / n, 6) AS ratio, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM (SELECT *, " + WILSON + " FROM t)")
 def _(spark, d):
     r = read(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count_if(F.col("c_acctbal") > 5000).alias("k"), F.count(F.lit(1)).alias("n"))
     return rounded(a.pooled(r, ["c_mktsegment"], "k", "n"))
 
 
-@register("agg_fpr_surface", "SELECT l_linenumber, l_linestatus, count(*) AS n, count(*) FILTER (WHERE l_extendedprice >= 60000) AS fp, round(count(*) FILTER (WHERE l_extendedprice >= 60000) / count(*), 6) AS fpr FROM lineitem WHERE l_returnflag = 'N' GROUP BY ALL")
-def _(spark, d):
-    t = read(spark, d, "lineitem").where("l_returnflag = 'N'").groupBy("l_linenumber", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_extendedprice") >= 60000).alias("fp"))
-    return t.withColumn("fpr", F.round(F.col("fp") / F.col("n"), 6))
-
-
 @register("agg_wilson", "SELECT p_size, k, n, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM (SELECT *, " + WILSON + " FROM (SELECT p_size, count(*) FILTER (WHERE p_type = 'ECONOMY') AS k, count(*) AS n FROM part GROUP BY 1))")
 def _(spark, d):
     t = read(spark, d, "part").groupBy("p_size").agg(F.count_if(F.col("p_type") == "ECONOMY").alias("k"), F.count(F.lit(1)).alias("n"))
@@ -92,38 +72,11 @@ def _(spark, d):
     return t.withColumn("ci_low", F.round(low, 6)).withColumn("ci_high", F.round(high, 6))
 
 
-@register("agg_jeffreys")  # DuckDB has no Beta quantile
-def _(spark, d):
-    t = read(spark, d, "part").groupBy("p_size").agg(F.count_if(F.col("p_type") == "ECONOMY").alias("k"), F.count(F.lit(1)).alias("n"))
-    return a.jeffreys(t, "k", "n")
-
-
 @register("agg_marginals", "SELECT l_linestatus, l_linenumber, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS k, grouping_id(l_linestatus, l_linenumber)::BIGINT AS level, count(*) FILTER (WHERE l_returnflag = 'R') / count(*) AS ratio FROM lineitem GROUP BY CUBE (l_linestatus, l_linenumber)")
 def _(spark, d):
     return a.margins(read(spark, d, "lineitem"), ["l_linestatus", "l_linenumber"], F.col("l_returnflag") == "R")
 
 
-@register("agg_bins_2d", "WITH g AS (SELECT q::INT AS q, x::INT AS x FROM range(10) a(q), range(5) b(x)), t AS (SELECT CAST(floor(l_quantity / 5) AS INT) AS q, CAST(floor(l_discount * 100 / 2) AS INT) AS x, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS k FROM lineitem GROUP BY ALL) SELECT q, x, coalesce(n, 0) AS n, CASE WHEN n >= 1100 THEN k / n END AS completeness FROM g LEFT JOIN t USING (q, x)")
-def _(spark, d):
-    bins = spark.range(50).select(F.floor(F.col("id") / 5).cast("int").alias("q"), (F.col("id") % 5).cast("int").alias("x"))
-    t = read(spark, d, "lineitem").groupBy(F.floor(F.col("l_quantity") / 5).cast("int").alias("q"), F.floor(F.col("l_discount") * 100 / 2).cast("int").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("k"))
-    return bins.join(t, ["q", "x"], "left").select("q", "x", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") >= 1100, F.col("k") / F.col("n")).alias("completeness"))
-
-
-@register("agg_selection_combine", "SELECT l_linenumber, CASE WHEN l_linenumber = 1 THEN 0.0 WHEN l_linenumber = 2 THEN r * 0.5 ELSE r END AS value FROM (SELECT l_linenumber, count(*) FILTER (WHERE l_returnflag = 'R') / count(*) AS r FROM lineitem GROUP BY 1)")
-def _(spark, d):
-    t = read(spark, d, "lineitem").groupBy("l_linenumber").agg((F.count_if(F.col("l_returnflag") == "R") / F.count(F.lit(1))).alias("r"))
-    classes = spark.createDataFrame([(1, "blind"), (2, "low")], "l_linenumber int, class string")
-    value = F.when(F.col("class") == "blind", 0.0).when(F.col("class") == "low", F.col("r") * 0.5).otherwise(F.col("r"))
-    return t.join(F.broadcast(classes), "l_linenumber", "left").select("l_linenumber", value.alias("value"))
-
-
-@register("agg_binned_means", "SELECT p_size // 10 AS b, count(*) AS n, round(avg(p_retailprice), 4) AS price FROM part GROUP BY 1 HAVING count(*) > 5")
-def _(spark, d):
-    t = read(spark, d, "part").groupBy(F.floor(F.col("p_size") / 10).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_retailprice"), 4).alias("price"))
-    return t.where("n > 5")
-
-
 DELTA = "SELECT l_linenumber, l_tax AS a, l_discount AS b FROM lineitem"
 
 
@@ -133,56 +86,17 @@ def _(spark, d):
     return rounded(a.paired_delta(t, ["l_linenumber"], "a", "b", 0.04))
 
 
-@register("agg_delta_summary", "WITH c AS (SELECT l_linenumber, avg(l_discount) FILTER (WHERE l_returnflag = 'R') - avg(l_discount) FILTER (WHERE l_returnflag = 'N') AS d FROM lineitem GROUP BY 1) SELECT count(*) AS cells, round(avg(d), 6) AS mean, round(max(abs(d)), 6) AS largest, round(stddev(d), 6) AS std FROM c")
-def _(spark, d):
-    mean = lambda f: F.avg(F.when(F.col("l_returnflag") == f, F.col("l_discount")))
-    t = read(spark, d, "lineitem").groupBy("l_linenumber").agg((mean("R") - mean("N")).alias("d"))
-    return rounded(t.agg(F.count(F.lit(1)).alias("cells"), F.avg("d").alias("mean"), F.max(F.abs("d")).alias("largest"), F.stddev("d").alias("std")))
-
-
-@register("agg_mcnemar", "WITH t AS (SELECT p_size % 5 AS g, count(*) FILTER (WHERE p_type = 'ECONOMY' AND NOT p_retailprice > 1000) AS b, count(*) FILTER (WHERE NOT p_type = 'ECONOMY' AND p_retailprice > 1000 AND p_partkey % 9 = 0) AS c FROM part GROUP BY 1) SELECT g, b, c, CASE WHEN b + c > 0 THEN round(pow(greatest(abs(b - c) - 1, 0), 2) / (b + c), 6) END AS chi2, CASE WHEN b + c = 0 THEN 1.0 ELSE round(least(1.0, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2))) FROM (SELECT unnest(range(0, least(b, c) + 1)) AS k))), 9) END AS p_exact FROM t")
-def _(spark, d):
-    t = read(spark, d, "part").withColumn("g", F.col("p_size") % 5)
-    x, y = F.col("p_type") == "ECONOMY", (F.col("p_retailprice") > 1000)
-    t = t.withColumn("x", x).withColumn("y", F.when(x, y).otherwise(y & (F.col("p_partkey") % 9 == 0)))
-    return a.mcnemar(t, ["g"], F.col("x"), F.col("y")).withColumn("chi2", F.round("chi2", 6)).withColumn("p_exact", F.round("p_exact", 9))
-
-
-@register("agg_strata_counts", "SELECT lang, source, n, n / sum(n) OVER () AS share FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL)")
-def _(spark, d):
-    t = read(spark, d, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    return t.crossJoin(F.broadcast(t.agg(F.sum("n").alias("all")))).select("lang", "source", "n", (F.col("n") / F.col("all")).alias("share"))  # one row
-
-
 @register("agg_cell_concentration", "WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT count(*) AS cells, max(n) AS largest, quantile_cont(n, 0.5) AS median, round(avg(n), 6) AS mean, round((SELECT sum(n) FROM (SELECT n FROM c ORDER BY n DESC, o_custkey LIMIT 5)) / sum(n), 9) AS top_share FROM c")
 def _(spark, d):
     t = a.cell_concentration(read(spark, d, "orders"), "o_custkey")
     return t.withColumn("mean", F.round("mean", 6)).withColumn("top_share", F.round("top_share", 9))
 
 
-@register("agg_category_stats", "SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 20) AS flagged, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY 1")
-def _(spark, d):
-    return rounded(read(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 20).alias("flagged"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.9)).alias("p90")))
-
-
-@register("agg_prevalence_weighted", "WITH r AS (SELECT event_type, count(*) FILTER (WHERE value > 20) / count(*) AS fpr FROM events GROUP BY 1) SELECT round(sum(fpr * w) / sum(w), 9) AS weighted FROM (SELECT fpr, CASE event_type WHEN 'click' THEN 0.7 WHEN 'view' THEN 0.2 ELSE 0.1 END AS w FROM r)")
-def _(spark, d):
-    r = read(spark, d, "events").groupBy("event_type").agg((F.count_if(F.col("value") > 20) / F.count(F.lit(1))).alias("fpr"))
-    weight = c.lookup("event_type", {"click": 0.7, "view": 0.2}, 0.1)
-    return r.agg(F.round(F.sum(F.col("fpr") * weight) / F.sum(weight), 9).alias("weighted"))
-
-
 @register("agg_catalog_profile", " UNION ALL ".join(f"SELECT '{x}' AS subject, count({x}) AS valid, count(*) - count({x}) AS missing, min({x})::DOUBLE AS least, max({x})::DOUBLE AS most, round(avg({x}), 4) AS mean, quantile_cont({x}::DOUBLE, 0.5) AS median FROM orders" for x in ("o_orderkey", "o_custkey", "o_totalprice")))
 def _(spark, d):
     return a.profile(read(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"]).withColumn("mean", F.round("mean", 4))
 
 
-@register("agg_distinct_tasks", "SELECT DISTINCT l_suppkey, l_linestatus FROM lineitem WHERE l_returnflag IN ('R', 'A')")
-def _(spark, d):
-    t = read(spark, d, "lineitem")
-    return t.where("l_returnflag = 'R'").select("l_suppkey", "l_linestatus").unionByName(t.where("l_returnflag = 'A'").select("l_linestatus", "l_suppkey")).distinct()
-
-
 # splits
 
 SPLIT = "CASE WHEN {u} < 0.1::DOUBLE THEN 'test' WHEN {u} < 0.2::DOUBLE THEN 'val' ELSE 'train' END"
@@ -248,20 +162,4 @@ def _(spark, d):
 SEP = "degrees(2 * asin(least(sqrt(pow(sin(radians(b.dec - a.dec) / 2), 2) + cos(radians(a.dec)) * cos(radians(b.dec)) * pow(sin(radians(b.ra - a.ra) / 2), 2)), 1)))"
 
 
-@register("spl_min_separation", f"WITH t AS (SELECT c_custkey, {sql_ra('c_custkey')} AS ra, {sql_dec('c_custkey')} AS dec, {split_sql('c_custkey')} AS s FROM customer), p AS (SELECT a.c_custkey, min({SEP}) AS sep FROM t a, t b WHERE a.s = 'test' AND b.s = 'train' AND {SEP} <= 3 GROUP BY 1) SELECT count(*) AS n, round(min(sep), 6) AS least, round(quantile_cont(sep, 0.5), 6) AS median, count(*) FILTER (WHERE sep < 1) AS violations FROM p")
-def _(spark, d):
-    from starloom.operators.joins import nearest
-
-    t = sky(read(spark, d, "customer"), "c_custkey").withColumn("s", sp.hash_split("c_custkey"))
-    test, train = t.where("s = 'test'").select("c_custkey", "ra", "dec"), t.where("s = 'train'").select(F.col("c_custkey").alias("other"), F.col("ra").alias("ra2"), F.col("dec").alias("dec2"))
-    p = nearest(test, train, 3.0, "c_custkey", "other")
-    return p.agg(F.count(F.lit(1)).alias("n"), F.round(F.min("sep"), 6).alias("least"), F.round(F.percentile("sep", F.lit(0.5)), 6).alias("median"), F.count_if(F.col("sep") < 1).alias("violations"))
-
-
 KS = "WITH c AS (SELECT v, count(*) FILTER (WHERE y) AS p, count(*) FILTER (WHERE NOT y) AS q FROM t GROUP BY 1), r AS (SELECT sum(p) OVER (ORDER BY v) / sum(p) OVER () - sum(q) OVER (ORDER BY v) / sum(q) OVER () AS gap, sum(p) OVER () AS n1, sum(q) OVER () AS n2 FROM c) SELECT round(max(abs(gap)), 9) AS ks, max(n1)::BIGINT AS n1, max(n2)::BIGINT AS n2 FROM r"
-
-
-@register("spl_balance", f"WITH t AS (SELECT o_totalprice AS v, {split_sql('o_orderkey')} = 'test' AS y FROM orders), " + KS[5:])
-def _(spark, d):
-    t = read(spark, d, "orders").withColumn("y", sp.hash_split("o_orderkey") == "test")
-    return sp.ks(t, "o_totalprice", F.col("y")).withColumn("ks", F.round("ks", 9))

@@ -112,16 +112,6 @@ def _(spark, d):
     return q.null_nan(read(spark, d, "orders"), ["o_orderkey", "o_totalprice", "o_orderpriority"])
 
 
-@register("dq_range", " UNION ALL ".join(f"SELECT '{x}' AS subject, '{n}' AS name, round({a}, 4)::DOUBLE + 0.0::DOUBLE AS value FROM lineitem" for x, lo, hi in (("l_quantity", 5, 45), ("l_discount", 0.01, 0.09)) for n, a in (("min", f"min({x})"), ("max", f"max({x})"), ("mean", f"avg({x})"), ("outside", f"count(*) FILTER (WHERE {x} < {lo}::DOUBLE OR {x} > {hi}::DOUBLE)"))))
-def _(spark, d):
-    return rounded(q.ranges(read(spark, d, "lineitem"), {"l_quantity": (5.0, 45.0), "l_discount": (0.01, 0.09)}), 4)
-
-
-@register("dq_consistency", "SELECT count(*) AS n FROM documents WHERE abs(n_chars - length(text)) > 0")
-def _(spark, d):
-    return read(spark, d, "documents").where(F.abs(F.col("n_chars") - F.char_length("text")) > 0).agg(F.count(F.lit(1)).alias("n"))
-
-
 @register("dq_flag_recompute", "WITH t AS (SELECT o_totalprice > 200000 AS a, o_totalprice > 200100 AS b FROM orders) SELECT 'bright' AS subject, name, value::DOUBLE AS value FROM (SELECT count(*) FILTER (WHERE a AND b) AS tp, count(*) FILTER (WHERE NOT a AND NOT b) AS tn, count(*) FILTER (WHERE a AND NOT b) AS fp, count(*) FILTER (WHERE NOT a AND b) AS fn FROM t) UNPIVOT (value FOR name IN (tp, tn, fp, fn))")
 def _(spark, d):
     return q.flag_match(read(spark, d, "orders"), {"bright": (F.col("o_totalprice") > 200000, F.col("o_totalprice") > 200100)})
@@ -132,62 +122,5 @@ def _(spark, d):
     return q.hierarchy(part_cuts(read(spark, d, "part")), list(CUTS))
 
 
-@register("dq_direction", "SELECT count(*) FILTER (WHERE l_extendedprice * (1 - l_discount) > l_extendedprice + 0.001) AS wrong, round(avg(l_extendedprice * l_discount), 4) AS mean_correction FROM lineitem")
-def _(spark, d):
-    p, x = F.col("l_extendedprice"), F.col("l_discount")
-    return read(spark, d, "lineitem").agg(F.count_if(p * (1 - x) > p + 0.001).alias("wrong"), F.round(F.avg(p * x), 4).alias("mean_correction"))
-
-
-@register("dq_coverage", "SELECT o_orderpriority, count(*) AS n, quantile_cont(c, 0.5) AS median_per_customer FROM (SELECT o_orderpriority, o_custkey, count(*) AS c FROM orders GROUP BY ALL) GROUP BY 1")
-def _(spark, d):
-    t = read(spark, d, "orders").groupBy("o_orderpriority", "o_custkey").agg(F.count(F.lit(1)).alias("c"))
-    return t.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.percentile("c", F.lit(0.5)).alias("median_per_customer"))
-
-
 RULES = "SELECT '{n}' AS name, '{s}' AS severity, count(*) FILTER (WHERE NOT coalesce({c}, false)) AS failed, count(*) FILTER (WHERE NOT coalesce({c}, false)) = 0 AS passed FROM orders"
 GATES = (("status known", "error", "o_orderstatus IN ('F', 'O', 'P')"), ("price positive", "error", "o_totalprice > 0"), ("price moderate", "warn", "o_totalprice < 400000"))
-
-
-@register("dq_integrity", " UNION ALL ".join(RULES.format(n=n, s=s, c=x) for n, s, x in GATES))
-def _(spark, d):
-    return q.gates(read(spark, d, "orders"), [(n, s, F.expr(x)) for n, s, x in GATES])
-
-
-@register("dq_gate_list", " UNION ALL ".join(RULES.format(n=n, s=s, c=x).replace("orders", "(SELECT *, o_orderkey % 2 = 0 AS even FROM orders)") for n, s, x in (("even", "warn", "even"), ("dated", "error", "o_orderdate IS NOT NULL"))))
-def _(spark, d):
-    return q.gates(read(spark, d, "orders").withColumn("even", F.col("o_orderkey") % 2 == 0), [("even", "warn", F.col("even")), ("dated", "error", F.col("o_orderdate").isNotNull())])
-
-
-@register("dq_manifest", "SELECT count(*) AS rows, count(DISTINCT (l_orderkey, l_linenumber)) AS tasks, count(*) FILTER (WHERE l_tax = 0) AS controls, count(DISTINCT l_suppkey) AS tiles FROM lineitem")
-def _(spark, d):
-    return read(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("l_orderkey", "l_linenumber").alias("tasks"), F.count_if(F.col("l_tax") == 0).alias("controls"), F.count_distinct("l_suppkey").alias("tiles"))
-
-
-@register("dq_split_stats", f"WITH t AS (SELECT CASE WHEN {sql_uniform('o_orderkey', 13)} < 0.1::DOUBLE THEN 'test' WHEN {sql_uniform('o_orderkey', 13)} < 0.2::DOUBLE THEN 'val' ELSE 'train' END AS s, o_totalprice AS v FROM orders), m AS (SELECT s, avg(v) AS m FROM t GROUP BY 1) SELECT a.s AS split_a, b.s AS split_b, abs(a.m - b.m) > 2000 AS large FROM m a JOIN m b ON a.s < b.s")
-def _(spark, d):
-    t = read(spark, d, "orders").groupBy(sp.hash_split("o_orderkey").alias("s")).agg(F.avg("o_totalprice").alias("m"))
-    a, b = t.select(F.col("s").alias("split_a"), F.col("m").alias("m1")), t.select(F.col("s").alias("split_b"), F.col("m").alias("m2"))
-    return a.join(b, F.col("split_a") < F.col("split_b")).select("split_a", "split_b", (F.abs(F.col("m1") - F.col("m2")) > 2000).alias("large"))  # a row per split
-
-
-@register("dq_stamp_sample", "SELECT label, count(*) AS n, count(*) FILTER (WHERE len(list_filter(embedding, lambda x: isnan(x))) > 0) AS bad, min(len(embedding)) AS size FROM embeddings GROUP BY 1")
-def _(spark, d):
-    bad = F.size(F.filter("embedding", lambda x: F.isnan(x))) > 0
-    return read(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"), F.min(F.size("embedding")).alias("size"))
-
-
-@register("dq_category_audit", "SELECT o_orderpriority, o_orderstatus, count(*) AS n, count(*) FILTER (WHERE o_orderstatus <> 'F') AS off FROM orders GROUP BY ALL")
-def _(spark, d):
-    return read(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") != "F").alias("off"))
-
-
-@register("dq_leak_columns", f"WITH {S}, f AS (SELECT 'toxic' AS feature, toxic::DOUBLE AS score, quality FROM s), t AS (SELECT *, {RANK.format(w='PARTITION BY feature', p='feature, ')} FROM f) SELECT feature, round({AUC}, 9) AS auc FROM t GROUP BY 1")
-def _(spark, d):
-    used = ("n_chars", "toxic", "lang")
-    bad = q.leaking(used, ("quality", "toxic"))
-    return m.auc(m.unpivot(scored(spark, d), bad, ["quality"]), "value", good(), ["feature"]).select("feature", F.round("auc", 9).alias("auc"))
-
-
-@register("dq_file_layout")  # file sizes are no SQL matter
-def _(spark, d):
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{d}/*.parquet").groupBy(F.regexp_extract("path", r"([^/]+)\.parquet", 1).alias("table")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))

@@ -62,22 +62,6 @@ def _(spark, d):
     return n.crossJoin(t).withColumn("recovered", F.col("matched") / F.col("known"))  # one row each
 
 
-@register("dq_match_report", SKY2 + ", m AS (SELECT c_custkey, min(sep) AS sep FROM p GROUP BY 1) SELECT count(*) AS matched, count(*) / (SELECT count(*) FROM customer) AS rate, round(quantile_cont(sep, 0.5), 6) AS median_sep, count(*) FILTER (WHERE sep < 0.5) AS within_half, count(*) / (SELECT count(*) FROM customer) >= 0.85 AS passed FROM m")
-def _(spark, d):
-    a, b = skies(spark, d)
-    t = j.nearest(a, b, 2.0, "c_custkey", "s_suppkey").agg(F.count(F.lit(1)).alias("matched"), F.round(F.percentile("sep", F.lit(0.5)), 6).alias("median_sep"), F.count_if(F.col("sep") < 0.5).alias("within_half"))
-    n = read(spark, d, "customer").agg(F.count(F.lit(1)).alias("n"))
-    return t.crossJoin(n).select("matched", (F.col("matched") / F.col("n")).alias("rate"), "median_sep", "within_half", (F.col("matched") / F.col("n") >= 0.85).alias("passed"))  # one row each
-
-
-@register("dq_job_counters", "SELECT count(*) AS processed, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events")
-def _(spark, d):
-    seen = Observation()
-    t = read(spark, d, "events").observe(seen, F.count(F.lit(1)).alias("processed"), F.count_if(F.col("event_type") == "error").alias("failed"))
-    t.write.parquet(scratch_dir(spark))
-    return spark.createDataFrame([(seen.get["processed"], seen.get["failed"])], "processed bigint, failed bigint")
-
-
 def folds(spark, d):
     t = scored(spark, d).withColumn("held", c.hash_uniform("doc_id", 2) < 0.3)
     return t.where("NOT held"), t.where("held")
@@ -106,6 +90,15 @@ def _(spark, d):
     return m.auc(s, "score", F.col("y") == 1, ["fold"]).select("fold", "n_pos", "n_neg", F.round("auc", 3).alias("auc"))
 
 
+@register(
+    "ev_covariance",
+    """WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
+    SELECT a.i::INT AS i, b.i::INT AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM v a JOIN v b USING (vec_id) GROUP BY ALL""",
+)
+def _(spark, d):
+    return md.covariance(read(spark, d, "embeddings").select(F.col("embedding").alias("v")), "v").select("i", "j", F.round("cov", 6).alias("cov"))
+
+
 @register("ev_frechet")  # eigenvalues have no SQL form
 def _(spark, d):
     t = read(spark, d, "embeddings")

@@ -195,35 +195,9 @@ def sql_median(x):
     return f"list_aggregate({x}, 'quantile_cont', 0.5)"
 
 
-@register("arr_quality", E + "SELECT vec_id, len(list_filter(v, lambda x: isnan(x) OR isinf(x))) / len(v) AS bad, len(v) AS size FROM e")
-def _(spark, d):
-    return stamps(spark, d).select("vec_id", a.bad_share("v").alias("bad"), F.size("v").alias("size"))
-
-
 CORE, OUTER = a.ring(SIDE, 0, 2), a.ring(SIDE, 3, 9)
 
 
-@register("arr_region_stats", E + f"SELECT vec_id, round({sql_median(sql_pick(CORE))}, 6) AS core_median, round(list_max({sql_pick(CORE)}), 6) AS core_max, round({sql_median(sql_pick(OUTER))}, 6) AS outer_median FROM e")
-def _(spark, d):
-    core = a.pick("v", CORE)
-    return rounded(stamps(spark, d).select("vec_id", a.median(core).alias("core_median"), F.array_max(core).alias("core_max"), a.median(a.pick("v", OUTER)).alias("outer_median")))
-
-
-@register("arr_colors", E + f"SELECT vec_id, round(list_avg({sql_pick(CORE)}) - list_avg({sql_pick(OUTER)}), 6) AS color FROM e")
-def _(spark, d):
-    return rounded(stamps(spark, d).select("vec_id", (a.mean(a.pick("v", CORE)) - a.mean(a.pick("v", OUTER))).alias("color")))
-
-
-@register("arr_profile", E + "SELECT vec_id, " + ", ".join(f"round({sql_median(sql_pick(a.ring(SIDE, i, i + 1)))}, 6) AS r{i}" for i in range(4)) + " FROM e")
-def _(spark, d):
-    return rounded(stamps(spark, d).select("vec_id", *[a.median(a.pick("v", a.ring(SIDE, i, i + 1))).alias(f"r{i}") for i in range(4)]))
-
-
-@register("arr_norm_stats", E + f"SELECT vec_id, round({sql_median('v')}, 6) AS median, round({sql_median('list_transform(v, lambda x: abs(x - m))')}, 6) AS mad FROM (SELECT *, {sql_median('v')} AS m FROM e)")
-def _(spark, d):
-    return rounded(stamps(spark, d).select("vec_id", a.median(F.col("v")).alias("median"), a.mad(F.col("v")).alias("mad")))
-
-
 @register("arr_robust_norm", E + f"SELECT vec_id, round(list_max(list_transform(v, lambda x: greatest(least((x - m) / (s * 1.4826), 10.0), -10.0))), 5) AS most, round(list_sum(list_transform(v, lambda x: greatest(least((x - m) / (s * 1.4826), 10.0), -10.0))), 4) AS total FROM (SELECT *, {sql_median('list_transform(o, lambda x: abs(x - m))')} AS s FROM (SELECT *, {sql_median('o')} AS m FROM (SELECT *, {sql_pick(OUTER)} AS o FROM e)))")
 def _(spark, d):
     t = stamps(spark, d).select("vec_id", a.robust_norm("v", OUTER).alias("n"))
@@ -238,18 +212,6 @@ def _(spark, d):
     return rounded(stamps(spark, d).select("vec_id", a.laplacian("v", SIDE, range(64)).alias("lap")))
 
 
-@register("arr_moments", E + f"SELECT vec_id, round(list_sum(p), 6) AS flux, round(list_sum([{', '.join(f'p[{i + 1}] * {i % SIDE - 3.5}' for i in range(64))}]) / list_sum(p), 6) AS x FROM (SELECT vec_id, list_transform(v, lambda x: greatest(x, 0.0)) AS p FROM e)")
-def _(spark, d):
-    t = stamps(spark, d).select("vec_id", a.moments("v", SIDE).alias("m"))
-    return rounded(t.select("vec_id", "m.flux", "m.x"))
-
-
-@register("arr_pair_compare", E + "SELECT vec_id, round(list_max(d), 6) AS max_diff, round(list_avg(d), 6) AS mean_diff, list_max(d) <= 0.01 AS identical FROM (SELECT vec_id, list_transform(v, lambda x: abs(x - x * 0.9)) AS d FROM e)")
-def _(spark, d):
-    t = stamps(spark, d).withColumn("w", F.transform("v", lambda x: x * 0.9)).select("vec_id", a.compare("v", "w", 0.01).alias("m"))
-    return rounded(t.select("vec_id", "m.max_diff", "m.mean_diff", "m.identical"))
-
-
 @register("arr_snr", E + "SELECT vec_id, round(list_max(list_transform(v, lambda x: x / (abs(x) + 0.1))), 6) AS peak, round(list_sum(v) / sqrt(list_sum(list_transform(v, lambda x: (abs(x) + 0.1) * (abs(x) + 0.1)))), 6) AS integrated FROM e")
 def _(spark, d):
     t = stamps(spark, d).withColumn("e", F.transform("v", lambda x: F.abs(x) + 0.1)).select("vec_id", a.snr("v", "e").alias("m"))
@@ -259,15 +221,4 @@ def _(spark, d):
 MID = a.ring(SIDE, 1, 3)
 
 
-@register("arr_annulus_snr", E + f"SELECT vec_id, round((list_sum({sql_pick(MID)}) - {len(MID)} * m) / (s * 1.4826 * sqrt({len(MID)}.0)), 5) AS snr FROM (SELECT *, {sql_median('list_transform(o, lambda x: abs(x - m))')} AS s FROM (SELECT *, {sql_median('o')} AS m FROM (SELECT *, {sql_pick(OUTER)} AS o FROM e)))")
-def _(spark, d):
-    return stamps(spark, d).select("vec_id", F.round(a.annulus_snr("v", SIDE, (1, 3), (3, 9)), 5).alias("snr"))
-
-
 RADII = "[" + ", ".join(f"{(((i % SIDE) - 3.5) ** 2 + ((i // SIDE) - 3.5) ** 2) ** 0.5!r}::DOUBLE" for i in range(64)) + "]"
-
-
-@register("arr_row_masks", E + f"SELECT vec_id, len(list_filter(range(1, 65), lambda i: ({RADII})[i] >= vec_id % 3 AND ({RADII})[i] < vec_id % 3 + 2)) AS n FROM e")
-def _(spark, d):
-    low = F.col("vec_id") % 3
-    return stamps(spark, d).select("vec_id", F.size(a.row_ring("v", SIDE, low, low + 2)).cast("long").alias("n"))

@@ -19,25 +19,6 @@ def _(spark, d):
     return j.left_meta(fact, meta, ["c_custkey"])
 
 
-@register("join_region_map", "SELECT l_orderkey, l_linenumber, n_name, r_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'AFRICA'")
-def _(spark, d):
-    place = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read(spark, d, "region").where("r_name <> 'AFRICA'"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return read(spark, d, "lineitem").join(place, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "l_linenumber", "n_name", "r_name")
-
-
-@register("join_fill_zero", "SELECT c_custkey, coalesce(n, 0) AS n, coalesce(n, 0) / greatest(abs(c_acctbal), 1e-6) AS density FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
-def _(spark, d):
-    counts = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
-    return j.fill_counts(read(spark, d, "customer").withColumn("area", F.abs("c_acctbal")), counts, "c_custkey", "n", "area").select("c_custkey", "n", "density")
-
-
-@register("join_nested_expand", "SELECT l_orderkey, l_linenumber, r_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
-def _(spark, d):
-    place = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    nested = place.groupBy("s_suppkey").agg(F.collect_set(F.struct("r_name")).alias("sel"))
-    return read(spark, d, "lineitem").join(nested, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "l_linenumber", F.explode("sel").alias("s")).select("l_orderkey", "l_linenumber", "s.r_name")
-
-
 def grid(spark, n=4):
     return spark.range(n).select(F.concat(F.lit("g"), F.col("id").cast("string")).alias("config"), (F.col("id") * 0.5).alias("theta"))
 
@@ -87,12 +68,6 @@ def _(spark, d):
     return j.near_flag(a, b, 2.0, "c_custkey").select("c_custkey", "near")
 
 
-@register("join_footprint", SKY2.replace("2.0)", "1.5)") + " SELECT c_custkey, count(DISTINCT s_suppkey) AS tiles, round(min(sep), 6) AS nearest FROM p GROUP BY 1")
-def _(spark, d):
-    a, b = skies(spark, d)
-    return j.sky_pairs(a, b, 1.5).groupBy("c_custkey").agg(F.count_distinct("s_suppkey").alias("tiles"), F.round(F.min("sep"), 6).alias("nearest"))
-
-
 @register("join_bin_swap", f"WITH o AS (SELECT *, {sql_uniform('o_orderkey', 5)} AS u FROM orders), a AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY u, o_orderkey) AS n FROM o WHERE o_totalprice < 100000 AND {sql_uniform('o_orderkey', 6)} < 0.3::DOUBLE), b AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY u, o_orderkey) AS n FROM o WHERE o_totalprice >= 100000) SELECT c.o_orderkey, b.o_orderkey AS swapped FROM orders c LEFT JOIN a USING (o_orderkey) LEFT JOIN b ON a.o_orderpriority = b.o_orderpriority AND a.o_orderstatus = b.o_orderstatus AND a.n = b.n WHERE c.o_totalprice < 100000")
 def _(spark, d):
     o = read(spark, d, "orders")
@@ -106,22 +81,6 @@ def _(spark, d):
     return j.pool_match(p.where("p_type = 'ECONOMY'"), p.where("p_type = 'PROMO' AND p_partkey % 2 = 0").select("p_partkey", "p_size"), ["p_size"], "p_partkey").select("p_partkey", "p_size", "draw")
 
 
-@register("join_paired_delta", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) - l_extendedprice * (1 - l_discount / 2) AS delta FROM lineitem")
-def _(spark, d):
-    t = read(spark, d, "lineitem")
-    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
-    a = t.select(*key, (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("a")).dropDuplicates(key)
-    b = t.select(*key, (F.col("l_extendedprice") * (1 - F.col("l_discount") / 2)).alias("b"))
-    return b.join(a, key).select("l_orderkey", "l_linenumber", (F.col("a") - F.col("b")).alias("delta"))
-
-
-@register("join_grid_interpolate", "SELECT l_orderkey, l_linenumber, round(l_discount / 0.05 * 10 + l_tax / 0.04 * 3, 6) AS value FROM lineitem WHERE l_discount < 0.1 AND l_tax < 0.08")
-def _(spark, d):
-    surface = spark.range(9).select((F.col("id") % 3).alias("ix"), F.floor(F.col("id") / 3).alias("iy")).withColumn("value", F.col("ix") * 10.0 + F.col("iy") * 3.0)
-    t = read(spark, d, "lineitem").where("l_discount < 0.1 AND l_tax < 0.08").select("l_orderkey", "l_linenumber", "l_discount", "l_tax")
-    return j.grid_interpolate(t, surface, "l_discount", "l_tax", 0.0, 0.05, 0.0, 0.04).select("l_orderkey", "l_linenumber", F.round("interpolated", 6).alias("value"))
-
-
 @register("join_scores", "SELECT doc_id, n_chars AS score, quality FROM documents JOIN labels USING (doc_id)")
 def _(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.col("n_chars").alias("score"))
@@ -129,32 +88,6 @@ def _(spark, d):
     return j.latest(twice, ["doc_id"], [F.desc("score")]).join(read(spark, d, "labels"), "doc_id").select("doc_id", "score", "quality")
 
 
-@register("join_ledger_anti", "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderkey % 3 = 0)")
-def _(spark, d):
-    o = read(spark, d, "orders")
-    ledger = o.where("o_orderkey % 3 = 0").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "OK").otherwise("FAILED").alias("status"))
-    return o.select("o_orderkey").join(ledger.where("status = 'OK'").select("o_orderkey").distinct(), "o_orderkey", "left_anti")
-
-
-@register("join_blocklist_anti", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")
-def _(spark, d):
-    bad = read(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey"))
-    return read(spark, d, "lineitem").join(bad, "l_suppkey", "left_anti").select("l_orderkey", "l_linenumber")
-
-
-@register("join_remove_flagged", "SELECT doc_id, quality FROM labels WHERE toxic = 0")
-def _(spark, d):
-    t = read(spark, d, "labels")
-    return t.join(t.where("toxic = 1").select("doc_id"), "doc_id", "left_anti").select("doc_id", "quality")
-
-
-@register("join_lookup_hash", f"SELECT c_custkey, count(*) AS hits FROM (SELECT c_custkey, round({sql_ra('c_custkey')}) AS x, round({sql_dec('c_custkey')}) AS y FROM customer) JOIN (SELECT round({sql_ra('o_orderkey')}) AS x, round({sql_dec('o_orderkey')}) AS y FROM orders) USING (x, y) GROUP BY 1")
-def _(spark, d):
-    cell = lambda t, k: sky(read(spark, d, t), k).select(k, F.round("ra").alias("x"), F.round("dec").alias("y"))
-    counts = cell("orders", "o_orderkey").groupBy("x", "y").agg(F.count(F.lit(1)).alias("hits"))
-    return cell("customer", "c_custkey").join(counts, ["x", "y"]).select("c_custkey", "hits")
-
-
 @register("win_topk_split", "SELECT c_mktsegment, c_custkey, c_acctbal, n::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS n FROM customer) WHERE n <= 10")
 def _(spark, d):
     return w.topk(read(spark, d, "customer"), 10, ["c_mktsegment"], "c_acctbal", "c_custkey").select("c_mktsegment", "c_custkey", "c_acctbal", "rank")
@@ -171,11 +104,6 @@ def _(spark, d):
     return w.two_pass_quota(read(spark, d, "orders"), ["o_orderpriority"], ["o_orderstatus"], 30, 100, "o_orderkey").select("o_orderkey", "rank")
 
 
-@register("win_global_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
-def _(spark, d):
-    return read(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50)
-
-
 @register("win_first_per_key", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n = 1")
 def _(spark, d):
     return j.latest(read(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), "o_orderkey"]).select("o_custkey", "o_orderkey")
@@ -193,36 +121,12 @@ def _(spark, d):
     return w.threshold_at_fpr(read(spark, d, "lineitem"), "l_extendedprice", F.col("l_returnflag") == "R", 0.01)
 
 
-@register("win_candidate_list", "SELECT o_orderkey, o_totalprice, coalesce(g, 'ungraded') AS grade FROM (SELECT * FROM orders WHERE o_totalprice >= 200000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 100) LEFT JOIN (SELECT o_orderkey AS k, o_orderstatus AS g FROM orders WHERE o_orderkey % 2 = 0) ON k = o_orderkey")
-def _(spark, d):
-    o = read(spark, d, "orders")
-    grades = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_orderstatus").alias("grade"))
-    top = o.where("o_totalprice >= 200000").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100).select("o_orderkey", "o_totalprice")
-    return top.join(grades, "o_orderkey", "left").withColumn("grade", F.coalesce("grade", F.lit("ungraded")))
-
-
 @register("win_half_total", "WITH r AS (SELECT o_orderkey, p, l_quantity, sum(l_quantity) OVER (PARTITION BY o_orderkey ORDER BY p, l_linenumber ROWS UNBOUNDED PRECEDING) AS run, sum(l_quantity) OVER (PARTITION BY o_orderkey) AS total, row_number() OVER (PARTITION BY o_orderkey ORDER BY p, l_linenumber) AS i FROM (SELECT l_orderkey AS o_orderkey, l_extendedprice AS p, l_linenumber, l_quantity FROM lineitem)) SELECT o_orderkey, min(p) AS half_price FROM r WHERE run * 2 >= total GROUP BY 1")
 def _(spark, d):
     t = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("half_price"), "l_linenumber", "l_quantity")
     return w.half_total(t, ["o_orderkey"], ["half_price", "l_linenumber"], "l_quantity").select("o_orderkey", "half_price")
 
 
-@register("sort_region_list", "SELECT n_nationkey, n, bal FROM (SELECT c_nationkey AS n_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS bal FROM customer GROUP BY 1) ORDER BY n DESC, bal, n_nationkey LIMIT 10")
-def _(spark, d):
-    t = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("bal"))
-    return t.orderBy(F.desc("n"), "bal", "n_nationkey").limit(10)
-
-
-@register("sort_local", "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem")
-def _(spark, d):
-    return read(spark, d, "lineitem").repartition("l_suppkey").sortWithinPartitions("l_suppkey", "l_orderkey").select("l_orderkey", "l_linenumber", "l_suppkey")
-
-
-@register("samp_boundary", "SELECT o_orderkey, o_totalprice FROM orders WHERE abs(o_totalprice - 200000) < 500")
-def _(spark, d):
-    return read(spark, d, "orders").where(F.abs(F.col("o_totalprice") - 200000) < 500).select("o_orderkey", "o_totalprice")
-
-
 @register("set_union_named", "SELECT c_custkey AS id, c_acctbal AS bal, c_mktsegment AS seg FROM customer UNION ALL SELECT s_suppkey, s_acctbal, NULL FROM supplier")
 def _(spark, d):
     a = read(spark, d, "customer").selectExpr("c_custkey as id", "c_acctbal as bal", "c_mktsegment as seg")
@@ -238,20 +142,3 @@ def _(spark, d):
 def _(spark, d):
     e = read(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
     return st.missing_extra(e, read(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k")
-
-
-@register("set_dedup_exact", "SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
-def _(spark, d):
-    return st.duplicates(read(spark, d, "lineitem"), ["l_partkey", "l_suppkey"])
-
-
-@register("set_dedup_position", f"SELECT x, y, min(o_orderkey) AS o_orderkey FROM (SELECT o_orderkey, CAST(floor({sql_ra('o_orderkey')}) AS BIGINT) AS x, CAST(floor({sql_dec('o_orderkey')}) AS BIGINT) AS y FROM orders) GROUP BY ALL")
-def _(spark, d):
-    t = sky(read(spark, d, "orders"), "o_orderkey").select("o_orderkey", F.floor("ra").alias("x"), F.floor("dec").alias("y"))
-    return j.latest(t, ["x", "y"], ["o_orderkey"])
-
-
-@register("set_entity_key", f"SELECT count(DISTINCT round({sql_ra('o_orderkey')}, 1)::VARCHAR || '_' || round({sql_dec('o_orderkey')}, 0)::VARCHAR) AS entities FROM orders")
-def _(spark, d):
-    t = sky(read(spark, d, "orders"), "o_orderkey")
-    return t.select(F.concat_ws("_", F.round("ra", 1), F.round("dec", 0)).alias("e")).agg(F.count_distinct("e").alias("entities"))

@@ -16,4 +16,8 @@ def incremental_counts(spark: SparkSession, source: str, schema, by: Sequence[st
 
     q = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(source).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.option("basePath", target).parquet(f"{target}/batch=*").groupBy(*by).agg(F.sum("n").alias("n"))
+    where = spark._jvm.org.apache.hadoop.fs.Path(target)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)  # no batch was written if no file has come yet
+    kinds = {f.name: f.dataType.simpleString() for f in schema}
+    known = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "n bigint", "batch bigint"])
+    return spark.read.schema(known).parquet(target).groupBy(*by).agg(F.sum("n").alias("n"))
