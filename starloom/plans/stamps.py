@@ -176,12 +176,12 @@ def _(spark, d):
     "dq_coverage",
     f"""WITH t AS (SELECT o_custkey, c_nationkey, {split_sql('o_orderkey')} AS split FROM orders JOIN customer ON o_custkey = c_custkey), c AS (SELECT o_custkey::VARCHAR AS s, count(*)::DOUBLE AS n FROM t GROUP BY 1), r AS (SELECT c_nationkey, count(*)::DOUBLE AS n FROM t GROUP BY 1)
     SELECT 'split' AS section, split AS subject, count(*)::DOUBLE AS value FROM t GROUP BY ALL
-    UNION ALL SELECT 'per tile', unnest(['p10', 'p50', 'p90']), unnest(quantile_cont(n, [0.1, 0.5, 0.9])) FROM c UNION ALL SELECT 'per region', unnest(['p10', 'p50', 'p90']), unnest(quantile_cont(n, [0.1, 0.5, 0.9])) FROM r
+    UNION ALL SELECT 'per tile', unnest(['p10', 'p50', 'p90']), unnest(list_transform(quantile_cont(n, [0.1, 0.5, 0.9]), lambda x: round(x, 6))) FROM c UNION ALL SELECT 'per region', unnest(['p10', 'p50', 'p90']), unnest(list_transform(quantile_cont(n, [0.1, 0.5, 0.9]), lambda x: round(x, 6))) FROM r
     UNION ALL (SELECT 'top', s, n FROM c ORDER BY n DESC, s LIMIT 20)""",
 )
 def _(spark, d):
     t = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("split", hash_split("o_orderkey"))
-    return q.coverage(t, "split", "o_custkey", "c_nationkey")
+    return rounded(q.coverage(t, "split", "o_custkey", "c_nationkey"))
 
 
 def failed_sql(name: str, severity: str, rule: str, table: str) -> str:
