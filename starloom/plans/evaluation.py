@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from starloom.functions import columns as c
 from starloom.operators import metrics as m
 from starloom.operators import quality as q
-from starloom.operators import splits as sp
 from starloom.plans.aggregates import rounded
 from starloom.plans.columns import CUTS, SQL_CUTS, part_cuts
 from starloom.plans.registry import register

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from starloom.functions import columns as c
@@ -10,7 +9,6 @@ from starloom.operators import joins as j
 from starloom.operators import metrics as m
 from starloom.operators import models as md
 from starloom.operators import sampling as sm
-from starloom.operators import windows as w
 from starloom.operators.sets import union_named
 from starloom.plans.evaluation import scored
 from starloom.plans.registry import register

@@ -10,7 +10,7 @@ from starloom.operators import evaluation as e
 from starloom.operators import metrics as m
 from starloom.operators import splits as sp
 from starloom.plans.aggregates import KS, rounded
-from starloom.plans.evaluation import AUC, BINS, CONF, RANK, RATES, ROC, S, good, scored
+from starloom.plans.evaluation import AUC, BINS, CONF, RANK, RATES, S, good, scored
 from starloom.plans.registry import register
 from starloom.plans.views import read
 
