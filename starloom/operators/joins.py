@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.functions.columns import ang_sep, hash_uniform
+from starloom.operators.windows import numbered
 
 
 def left_meta(fact: DataFrame, meta: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -97,10 +98,9 @@ def away(left: DataFrame, right: DataFrame, radius: float, left_id: str, **on) -
 
 def bin_swap(controls: DataFrame, pool: DataFrame, bins: Sequence[str], key: str, pool_key: str, share: float, seed: int = 5) -> DataFrame:
     """controls plus ``swapped``: for a share of them, another target of the same bin, paired by hash order in the bin."""
-    w = lambda k: Window.partitionBy(*bins).orderBy(hash_uniform(k, seed), k)
-    a = controls.withColumn("_n", F.when(hash_uniform(key, seed + 1) < share, F.lit(1)))
-    chosen = a.where("_n = 1").withColumn("_rn", F.row_number().over(w(key)))
-    other = pool.withColumn("_rn", F.row_number().over(w(pool_key))).select(*bins, "_rn", F.col(pool_key).alias("swapped"))
+    placed = lambda t, k: numbered(t.select(*bins, k, hash_uniform(k, seed).alias("_u")), [*bins, "_u", k], "_rn", bins)
+    chosen = placed(controls.where(hash_uniform(key, seed + 1) < share), key)
+    other = placed(pool, pool_key).select(*bins, "_rn", F.col(pool_key).alias("swapped"))
     got = chosen.join(other, [*bins, "_rn"], "left").select(key, "swapped")
     return controls.join(got, key, "left")
 
@@ -108,7 +108,7 @@ def bin_swap(controls: DataFrame, pool: DataFrame, bins: Sequence[str], key: str
 def pool_match(wanted: DataFrame, pool: DataFrame, bins: Sequence[str], key: str, seed: int = 9) -> DataFrame:
     """From the pool, as many rows per bin as ``wanted`` has; drawn again and again in hash order if the bin is short (``draw`` numbers them)."""
     need = wanted.groupBy(*bins).agg(F.count(F.lit(1)).alias("_need"))
-    have = pool.withColumn("_i", F.row_number().over(Window.partitionBy(*bins).orderBy(hash_uniform(key, seed), key)) - 1)
+    have = numbered(pool.withColumn("_u", hash_uniform(key, seed)), [*bins, "_u", key], "_i", bins).drop("_u").withColumn("_i", F.col("_i") - 1)
     size = pool.groupBy(*bins).agg(F.count(F.lit(1)).alias("_size"))
     j = have.join(need, list(bins)).join(size, list(bins)).where("_i < _need")
     turns = F.sequence(F.lit(0), F.floor((F.col("_need") - 1 - F.col("_i")) / F.col("_size")))

@@ -5,14 +5,14 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.functions.columns import clean_mask, content_id, content_md5, hash_uniform, healpix_nested, lookup, within
 from starloom.operators.joins import away, bin_swap, modulo_assign, near_flag
 from starloom.operators.sets import dedup_position, union_named
 from starloom.operators.splits import hash_split
-from starloom.operators.windows import topk
+from starloom.operators.windows import numbered, topk
 
 
 def fraction(df: DataFrame, key: str, share: float, seed: int = 3) -> DataFrame:
@@ -25,8 +25,7 @@ def ratio_backfill(positives: DataFrame, pool: DataFrame, strata: Sequence[str],
     have = pool.where(F.col(kind) == 2).groupBy(*strata).agg(F.count(F.lit(1)).alias("_n2"))
     quota = need.join(have, list(strata), "left").select(*strata, F.floor(F.col("_p") * F.lit(ratio * first_share)).alias("_q1"), (F.col("_p") * ratio).alias("_all"), F.coalesce("_n2", F.lit(0)).alias("_n2"))
     quota = quota.withColumn("_q2", F.col("_all") - F.col("_q1")).withColumn("_short", F.greatest(F.col("_q2") - F.col("_n2"), F.lit(0)))
-    i = F.row_number().over(Window.partitionBy(*strata, kind).orderBy(hash_uniform(key, seed), key))
-    ranked = pool.withColumn("_i", i).join(quota, list(strata))
+    ranked = numbered(pool.withColumn("_u", hash_uniform(key, seed)), [*strata, kind, "_u", key], "_i", [*strata, kind]).drop("_u").join(quota, list(strata))
     take = F.when(F.col(kind) == 1, F.col("_i") <= F.col("_q1") + F.col("_short")).otherwise(F.col("_i") <= F.col("_q2"))
     return ranked.where(take).withColumn("backfill", (F.col(kind) == 1) & (F.col("_i") > F.col("_q1"))).drop("_i", "_q1", "_q2", "_all", "_n2", "_short")
 

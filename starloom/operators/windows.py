@@ -30,7 +30,10 @@ def numbered(df: DataFrame, order: Sequence[str], name: str, within: Sequence[st
 
 
 def topk(df: DataFrame, k: int, by: Sequence[str], score: str, key: str, rank: str = "rank") -> DataFrame:
-    """The k rows of each group with the highest score, ranked; ties to the smaller key."""
+    """The k rows of each group with the highest score, ranked; ties to the smaller key.
+
+    Spark cuts each group to k rows before the shuffle, so a large group stays small (k up to ``spark.sql.optimizer.windowGroupLimitThreshold``).
+    """
     w = Window.partitionBy(*by).orderBy(F.desc(score), key)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
@@ -41,7 +44,8 @@ def stratified_topk(df: DataFrame, quotas: dict[int, int], by: Sequence[str], bi
     for b, n in quotas.items():
         quota = F.when(F.col(bin_) == b, F.lit(n)).otherwise(quota)
     w = Window.partitionBy(*by, bin_).orderBy(F.desc(score), key)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= quota)
+    ranked = df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(quotas.values(), default=0))  # a constant, which cuts groups before they are shuffled
+    return ranked.where(F.col("rank") <= quota)
 
 
 def two_pass_quota(df: DataFrame, inner: Sequence[str], outer: Sequence[str], inner_cap: int, outer_cap: int, key: str, seed: int = 0) -> DataFrame:

@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from starloom.functions.columns import hash_uniform
 from starloom.operators import aggregates as a
 from starloom.operators import joins as j
 from starloom.operators import metrics as m
@@ -120,6 +121,29 @@ def test_mmd_in_blocks_is_that_of_all_pairs(spark, block):
     assert md.mmd(x.limit(1), y, "k", "v", 0.7, block).first().mmd2 is None
 
 
+def test_mmd_blocks_averages_estimates_of_all_rows(spark):
+    rows = [(i, [math.sin(i * k) for k in range(3)]) for i in range(80)]
+    t = spark.createDataFrame([*rows, (80, None)], "k bigint, v array<double>")
+    x, y = t.where("k % 2 = 0"), t.where("k % 2 = 1")
+    whole = md.mmd(x.where("v is not null"), y, "k", "v", 0.7).first().mmd2
+    one = md.mmd_blocks(x, y, "k", "v", 0.7).first()
+    assert one.blocks == 1 and math.isclose(one.mmd2, whole, abs_tol=1e-12)
+    many = md.mmd_blocks(x, y, "k", "v", 0.7, block=10).first()
+    at = {r.k: r.b for r in t.select("k", F.floor(hash_uniform("k", 3) * 4).alias("b")).collect()}
+    parts = [md.mmd(*(s.where(F.col("v").isNotNull() & F.col("k").isin([k for k in at if at[k] == b])) for s in (x, y)), "k", "v", 0.7).first().mmd2 for b in range(4)]
+    assert many.blocks == 4 and math.isclose(many.mmd2, sum(parts) / 4, abs_tol=1e-12)
+    empty = md.mmd_blocks(x.limit(0), y.limit(0), "k", "v", 0.7).first()
+    assert empty.mmd2 is None and empty.blocks == 0
+
+
+def test_rankings_cut_groups_before_the_shuffle(spark):
+    t = spark.createDataFrame([(i, i % 2, i % 3, float(i)) for i in range(60)], "k int, g int, b int, s double")
+    for out in (w.topk(t, 2, ["g"], "s", "k"), w.stratified_topk(t, {0: 1, 1: 2}, ["g"], "b", "s", "k"), w.two_pass_quota(t, ["b"], ["g"], 2, 3, "k")):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Partial" in plan and "WindowGroupLimit" in plan
+    assert sorted(r.k for r in w.stratified_topk(t, {0: 1, 1: 2}, ["g"], "b", "s", "k").collect()) == [49, 52, 54, 55, 57, 58]
+
+
 def all_pairs_greedy(x, y, most):
     """x, y: (value, key) sorted; the closest first, then by places."""
     used, out = (set(), set()), []
