@@ -256,10 +256,20 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
     """docs without the rows that ``near_duplicates`` doesn't keep; only rows that may go are shuffled.
 
     Rows go by key: rows that repeat a kept key all stay, also with the same
-    text, and rows with a null key all stay.
+    text. Of rows with a null key and equal texts one stays (any, if their other
+    columns differ), and none if a row with a key has that text; without a word
+    in the text, all stay.
     """
     gone = near_duplicates(docs, key, text, **how).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return without(docs, key, Scratch(docs.sparkSession, "kept").keep(gone, "gone"), "_gone")
+    scratch = Scratch(docs.sparkSession, "kept")
+    out = without(docs, key, scratch.keep(gone, "gone"), "_gone")
+    digest, worded = F.sha2(F.col(text), 256), F.coalesce(F.rlike(text, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    nameless = docs.where(F.col(key).isNull() & worded).select(digest.alias("_digest"), F.struct(*docs.columns).alias("_row"))
+    if not nameless.head(1):
+        return out
+    one = scratch.keep(nameless.dropDuplicates(["_digest"]), "nameless")
+    seen = occupied(docs.where(F.col(key).isNotNull()).select(digest.alias("_digest")), F.col("_digest"), one, F.col("_digest"))
+    return out.where(F.col(key).isNotNull() | ~worded).unionAll(one.join(seen.distinct(), "_digest", "left_anti").select("_row.*"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,6 +140,16 @@ def test_near_duplicates(spark, docs):
     assert ids(kept.collect()) == EXPECTED - collections.Counter([5, 7, 10]) and kept.columns == ["doc_id", "text", "source", "kept", "id"]
 
 
+def test_keep_one_folds_copies_without_a_key(spark):
+    rows = [(1, LONG, "a"), (None, LONG, "b"), (None, PASSAGE, "c"), (None, PASSAGE, "d"), (None, "", "e"), (None, None, "f"), (None, None, "f"), (2, None, "g")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _digest string")
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns
+    got = [tuple(r) for r in kept.collect()]
+    assert len([r for r in got if r[1] == PASSAGE]) == 1 and sorted(map(str, (r for r in got if r[1] != PASSAGE))) == sorted(map(str, (rows[0], *rows[4:])))
+    assert sorted(r[2] for r in neardup.keep_one(df.where("doc_id is null and text <> ''")).collect())[0] == "b"
+
+
 def _linked(a, b, percent):
     n = len(a & b)
     return bool(a) and bool(b) and 100 * n >= percent * len(a | b)
