@@ -16,6 +16,7 @@ ENTRIES = [
     ("neardup", "op4_minhash_near_dedup", None),
     ("decontamination", "op5_decontamination", None),
     ("quality_rules", "op9_quality_rules", None),
+    ("alignment", "op11_tokenizer_alignment", None),
 ]
 
 
