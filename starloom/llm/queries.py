@@ -17,6 +17,8 @@ ENTRIES = [
     ("decontamination", "op5_decontamination", None),
     ("quality_rules", "op9_quality_rules", None),
     ("alignment", "op11_tokenizer_alignment", None),
+    ("bitplanes", "op12_centroid_clustering", "OP12_SQL"),
+    ("licenses", "op13_license_scan", None),
 ]
 
 
