@@ -51,27 +51,30 @@ class Aligned(NamedTuple):
 
 def cut_groups(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> Aligned:
     """Groups and links of two id sequences over the same bytes."""
-    codes = [b[0] << ID_BITS | a[0]]
+    x, y = a[0], b[0]
+    codes = [y << ID_BITS | x]
     if len(a) == 1 == len(b):
-        return Aligned(1, 1, 1, b"%d|%d" % (a[0], b[0]), array("Q", codes).tobytes())
-    groups, i, j, from_a, from_b = [], 0, 0, 0, 0
-    at_a, at_b = size_a[a[0]], size_b[b[0]]
+        return Aligned(1, 1, 1, b"%d|%d" % (x, y), array("Q", codes).tobytes())
+    n, i, j, groups = len(a), 1, 1, 1
+    at_a, at_b, left, right, said = size_a[x], size_b[y], str(x), str(y), ""
     while True:
         if at_a == at_b:
-            i, j = i + 1, j + 1
-            groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-            if i == len(a):
+            said += f"{left}|{right}"
+            if i == n:
                 break
-            from_a, from_b = i, j
-            at_a, at_b = at_a + size_a[a[i]], at_b + size_b[b[j]]
+            x, y = a[i], b[j]
+            i, j, groups, left, right = i + 1, j + 1, groups + 1, f";{x}", str(y)
+            at_a, at_b = at_a + size_a[x], at_b + size_b[y]
         elif at_a < at_b:
-            i += 1
-            at_a += size_a[a[i]]
+            x = a[i]
+            i, left = i + 1, f"{left},{x}"
+            at_a += size_a[x]
         else:
-            j += 1
-            at_b += size_b[b[j]]
-        codes.append(b[j] << ID_BITS | a[i])
-    return Aligned(len(a), len(b), len(groups), ";".join(groups).encode(), array("Q", codes).tobytes())
+            y = b[j]
+            j, right = j + 1, f"{right},{y}"
+            at_b += size_b[y]
+        codes.append(y << ID_BITS | x)
+    return Aligned(n, len(b), groups, said.encode(), array("Q", codes).tobytes())
 
 
 class Aligner:
@@ -84,7 +87,7 @@ class Aligner:
     otherwise, are aligned whole.
     """
 
-    def __init__(self, path_a: str, path_b: str, most: int = 600_000):
+    def __init__(self, path_a: str, path_b: str, most: int = 900_000):
         import sentencepiece
 
         self.encoder, self.b, self.most = Encoder(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b), most
@@ -122,6 +125,7 @@ class Aligner:
     def _parts(self, chunks: Iterable[str]) -> dict[str, Aligned | None]:
         """Alignments of chunks: a chunk stands for a space and itself, or for itself if it begins with a newline."""
         known, older, parts, missing = self.known, self.older, {}, []
+        tokenize, letters = self.a.model.tokenize, self.encoder.known.letters
         for c in chunks:
             if c in known:
                 parts[c] = known[c]
@@ -135,8 +139,12 @@ class Aligner:
                 if b[0] != self.lead:
                     raise LookupError("the space before the newline is part of another piece")
                 b = b[1:]
-            plain = self.encoder.pieces and not _PLAIN.search(c)
-            a = array("H", self.encoder.split(said)).tolist() if plain else self.a.encode(said, add_special_tokens=False).ids
+            if not self.encoder.pieces or not c.isascii() and _PLAIN.search(c):
+                a = self.a.encode(said, add_special_tokens=False).ids
+            elif c.isalpha():  # one piece
+                a = [t.id for t in tokenize(said.encode().decode("latin-1").translate(letters))]
+            else:
+                a = array("H", self.encoder.split(said)).tolist()
             parts[c] = x = self._align(said, a, b)
             if len(c) <= 40:
                 known[c] = x
