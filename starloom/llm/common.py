@@ -95,6 +95,21 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, how
     return out.unionByName(cold.select(*out.columns))
 
 
+def positions(docs: DataFrame, *columns: str) -> tuple[DataFrame, ...]:
+    """docs with its columns named by their places, so that no name of the caller meets one in use here, and the new names of some columns.
+
+    ``toDF(*docs.columns)`` at the end gives the caller's names back.
+    """
+    return docs.toDF(*[f"_in{i}" for i in range(len(docs.columns))]), *[f"_in{docs.columns.index(c)}" for c in columns]
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores after it as make it differ from the caller's columns."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _slot(key: Column, slots: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
 

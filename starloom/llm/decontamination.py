@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.common import table
+from starloom.llm.common import free_name, positions, table
 from starloom.llm.words import PUNCTUATED, slices
 
 #: Words of test items in one automaton, which is broadcast; a larger benchmark is cut into several, used one after another.
@@ -208,11 +208,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: st
     Null texts have no words; items that are null, wordless or without an id
     hit nothing; equal items are all reported. A benchmark of more than
     ``shard_words`` characters / 2 is cut by id hash and searched part by part.
-    docs must not have columns named n_words, hits or items.
+    Where docs has a column of an added name, the added one gets an underscore behind it.
     """
     spark = docs.sparkSession
-    names = [*docs.columns, "n_words", "hits", "items"]
+    final = [*docs.columns, *[free_name(c, docs.columns) for c in ("n_words", "hits", "items")]]
     at = docs.columns.index(text)
+    docs = positions(docs)[0]
+    names = [*docs.columns, "n_words", "hits", "items"]
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", {HITS}"
     out = docs.selectExpr("*", "0L as n_words", "cast(array() as array<struct<start:int,end:int>>) as hits", "cast(array() as array<string>) as items")
     bench = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("k"), F.col(item_text).alias("t"))
@@ -225,7 +227,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: st
         if a:
             out = out.mapInArrow(_searcher(spark.sparkContext.broadcast(a), at, names), schema)
             used = True
-    return out if used else out.mapInArrow(_counter(at, names), schema)
+    return (out if used else out.mapInArrow(_counter(at, names), schema)).toDF(*final)
 
 
 def contaminated(percent: int = 5) -> Column:
@@ -260,9 +262,13 @@ def remove_spans(found: DataFrame, text: str = "text", longer: int = 13) -> Data
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", percent: int = 5, longer: int | None = None, **how) -> DataFrame:
-    """docs without documents whose hit share reaches ``percent``; with ``longer``, hit ranges of that many words leave the other texts."""
-    found = overlaps(docs, benchmark, text, **how).where(~contaminated(percent))
-    return (remove_spans(found, text, longer) if longer else found).select(*docs.columns)
+    """docs without documents whose hit share reaches ``percent``; with ``longer``, hit ranges of that many words leave the other texts.
+
+    Columns come back as they are, whatever their names.
+    """
+    plain, text = positions(docs, text)
+    found = overlaps(plain, benchmark, text, **how).where(~contaminated(percent))
+    return (remove_spans(found, text, longer) if longer else found).select(*plain.columns).toDF(*docs.columns)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

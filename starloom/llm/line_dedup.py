@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.common import Scratch, numbered, spread_join, table
+from starloom.llm.common import Scratch, free_name, numbered, positions, spread_join, table
 
 DOC = ["_key", "_hash"]
 
@@ -37,9 +37,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     """(_key, _hash, i, pos, w) of the lines to delete."""
     scratch = Scratch(docs.sparkSession, "lines")
     lines = scratch.keep(line_table(docs, key, text), "lines")
-    twice = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    ids = numbered(scratch, twice, ["h1", "h2"], "r0")
-    live = lines.join(ids, ["h1", "h2"]).select(*DOC, "i", "pos", "w", "r0")
+    twice = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ids = scratch.keep(numbered(scratch, twice, ["h1", "h2"], "r0"), "ids")
+    live = spread_join(lines, ids, ["h1", "h2"], "n").select(*DOC, "i", "pos", "w", "r0")
     in_doc = Window.partitionBy(*DOC).orderBy("i", "pos")
     live = live.withColumn("seg", F.col("i") - F.dense_rank().over(in_doc))  # equal over lines without a gap
     seg = Window.partitionBy(*DOC, "seg")
@@ -57,7 +57,10 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
         scratch.drop(live)
         pairs = paired.where("a is not null and b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
         ranks = numbered(scratch, pairs, ["a", "b"], f"r{k + 1}")
-        live = scratch.keep(paired.join(ranks, ["a", "b"], "left").drop("a", "b"), "live")
+        # most runs are unique by then and have no rank to look for; they would all meet in the task of the null key
+        sought = paired.where("a is not null and b is not null").join(ranks, ["a", "b"], "left")
+        rest = paired.where("a is null or b is null").withColumn(f"r{k + 1}", F.lit(None).cast("long"))
+        live = scratch.keep(sought.unionByName(rest).drop("a", "b"), "live")
         scratch.drop(paired)
         k += 1
 
@@ -83,9 +86,12 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     earlier, by key, text hash and place, is deleted; its first copy stays.
     Lines without a word belong to no run and stay. Null texts stay null and
     have no lines; a text that loses all lines is empty. Rows that repeat key
-    and text get the same result. A null key sorts first. docs must not have
-    columns that begin with an underscore or the added names.
+    and text get the same result. A null key sorts first. The lines of one
+    document are sorted in one task. Columns come back whatever their names; where
+    one has an added name, the added one gets an underscore behind it.
     """
+    names = [*docs.columns, *[free_name(c, docs.columns) for c in ("n_lines", "n_removed_lines", "n_removed_words")]]
+    docs, key, text = positions(docs, key, text)
     scratch = Scratch(docs.sparkSession, "linecut")
     gone = repeated_lines(docs, key, text, min_words)
     cut = scratch.keep(gone.groupBy(*DOC).agg(F.collect_list("pos").alias("_gone"), F.sum("w").alias("_w")), "cut")
@@ -103,7 +109,7 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     left = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i))
     new = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
     some = some.join(cut, on, "left").select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns], n, F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed_lines"), F.coalesce("_w", F.lit(0)).cast("long").alias("n_removed_words"))
-    return rest.unionAll(some)
+    return rest.unionAll(some).toDF(*names)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.common import WORD, Scratch, numbered, table
+from starloom.llm.common import WORD, Scratch, numbered, positions, table
 
 #: Hash bits used at each level: 4 levels of 10 bits give 2^40 thresholds.
 LEVELS, BITS = 4, 10
@@ -117,11 +117,13 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def repeat(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The mix itself: each row of docs as often as ``mix`` says, with its columns. Names that begin with _mix are taken."""
+    """The mix itself: each row of docs as often as ``mix`` says, with its columns, whatever those are named."""
+    names = docs.columns
+    docs, key, text, source = positions(docs, key, text, source)
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = scratch.keep(docs.select(F.col(source).alias("source"), word_count(text).alias("size"), row_hash(key).alias("hash")), "rows")
     out = with_copies(docs.withColumn("_mix_hash", row_hash(key)), plan(scratch, rows, **how), source)
-    return out.where("_mix.copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_mix.copies"))).alias("_mix_copy")).drop("_mix_copy")
+    return out.where("_mix.copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_mix.copies"))).alias("_mix_copy")).drop("_mix_copy").toDF(*names)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.common import Scratch, components, occupied, spread_join, table, without
+from starloom.llm.common import Scratch, components, occupied, positions, spread_join, table, without
 from starloom.llm.words import SPACED, mix, slices
 
 #: Minima of a signature. 32 bands of 6 miss a pair of similarity 0.85 once in 4 million, 38 bands of 5 one of 0.8 as rarely.
@@ -258,18 +258,20 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
     Rows go by key: rows that repeat a kept key all stay, also with the same
     text. Of rows with a null key and equal texts one stays (any, if their other
     columns differ), and none if a row with a key has that text; without a word
-    in the text, all stay.
+    in the text, all stay. Columns come back as they are, whatever their names.
     """
+    names = docs.columns
+    docs, key, text = positions(docs, key, text)
     gone = near_duplicates(docs, key, text, **how).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     scratch = Scratch(docs.sparkSession, "kept")
     out = without(docs, key, scratch.keep(gone, "gone"), "_gone")
     digest, worded = F.sha2(F.col(text), 256), F.coalesce(F.rlike(text, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
     nameless = docs.where(F.col(key).isNull() & worded).select(digest.alias("_digest"), F.struct(*docs.columns).alias("_row"))
     if not nameless.head(1):
-        return out
+        return out.toDF(*names)
     one = scratch.keep(nameless.dropDuplicates(["_digest"]), "nameless")
     seen = occupied(docs.where(F.col(key).isNotNull()).select(digest.alias("_digest")), F.col("_digest"), one, F.col("_digest"))
-    return out.where(F.col(key).isNotNull() | ~worded).unionAll(one.join(seen.distinct(), "_digest", "left_anti").select("_row.*"))
+    return out.where(F.col(key).isNotNull() | ~worded).unionAll(one.join(seen.distinct(), "_digest", "left_anti").select("_row.*")).toDF(*names)
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
