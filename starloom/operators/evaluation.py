@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from starloom.functions.columns import hash_uniform
 from starloom.operators.metrics import poisson_weight, unpivot
+from starloom.operators.resampling import permutation_summary, permuted_auc, poisson_counts
 from starloom.operators.sets import union_named
 from starloom.operators.splits import ks, ks_p
+from starloom.operators.stored import Stored
 from starloom.operators.windows import numbered, running_counts, score_counts
 
 
@@ -87,11 +89,26 @@ def gate_report(rows: Sequence[tuple[str, DataFrame, str, str, float]]) -> DataF
     return out.unionAll(out.agg(F.lit("all"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.every("passed")))
 
 
-def replicate_metrics(df: DataFrame, key: str, score: str, label: Column, threshold: float, replicates: int, by: Sequence[str] = ()) -> DataFrame:
-    """(by, replicate, auc, recall, precision) of Poisson bootstrap replicates, from weights summed at distinct scores."""
-    r = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
-    t = df.where(F.col(score).isNotNull()).select(*by, key, score, label.alias("_y"), r).withColumn("_w", poisson_weight(key, F.col("replicate")))
-    t = score_counts(t, score, F.col("_y"), [*by, "replicate"], F.col("_w"))
+def _weighted_counts(df: DataFrame, key: str, score: str, label: Column, replicates: int, by: Sequence[str]) -> DataFrame:
+    """(by, score, replicate, pos, neg): Poisson weights of rows summed at distinct scores, all replicates of a slice in one aggregate; rows are never copied."""
+    t, parts = df.where(F.col(score).isNotNull()).withColumn("_y", label), []
+    for lo in range(0, replicates, 50):
+        some = range(lo, min(lo + 50, replicates))
+        w = lambda b: poisson_weight(key, F.lit(b))
+        sums = t.groupBy(*by, score).agg(F.array(*[F.struct(F.lit(b).alias("replicate"), F.sum(F.when(F.col("_y"), w(b)).otherwise(0)).alias("pos"), F.sum(F.when(F.col("_y"), 0).otherwise(w(b))).alias("neg")) for b in some]).alias("_w"))
+        parts.append(sums.select(*by, score, F.explode("_w").alias("_w")).select(*by, score, "_w.*"))
+    return union_named(*parts)
+
+
+def replicate_metrics(df: DataFrame, key: str, score: str, label: Column, threshold: float, replicates: int, by: Sequence[str] = (), draws: str = "rows") -> DataFrame:
+    """(by, replicate, auc, recall, precision) of Poisson bootstrap replicates, from weights summed at distinct scores.
+
+    With draws "rows", the hash of a row's key and the replicate is its weight;
+    with "counts", each distinct score draws its sum of weights at once, in work
+    that follows distinct scores and not rows.
+    """
+    t = poisson_counts(df, score, label, replicates, by) if draws == "counts" else _weighted_counts(df, key, score, label, replicates, by)
+    t = running_counts(Stored(df.sparkSession, "replicates").keep(t), score, [*by, "replicate"])
     hit = F.col(score) >= threshold
     total = lambda c: F.sum(F.when(hit, F.col(c)).otherwise(0))
     area = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
@@ -100,26 +117,30 @@ def replicate_metrics(df: DataFrame, key: str, score: str, label: Column, thresh
     return g.select(*by, "replicate", ratio(F.col("_a"), F.col("_p") * F.col("_n")).alias("auc"), ratio(F.col("_tp"), F.col("_p")).alias("recall"), ratio(F.col("_tp"), F.col("_tp") + F.col("_fp")).alias("precision"))
 
 
-def bootstrap_intervals(df: DataFrame, key: str, score: str, label: Column, threshold: float, replicates: int, level: float = 0.95) -> DataFrame:
+def bootstrap_intervals(df: DataFrame, key: str, score: str, label: Column, threshold: float, replicates: int, level: float = 0.95, draws: str = "rows") -> DataFrame:
     """(metric, mean, std, low, high, valid) of AUC, recall and precision over Poisson bootstrap replicates."""
-    t = unpivot(replicate_metrics(df, key, score, label, threshold, replicates), ("auc", "recall", "precision"), [])
+    t = unpivot(replicate_metrics(df, key, score, label, threshold, replicates, draws=draws), ("auc", "recall", "precision"), [])
     q = F.percentile("value", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
     return t.groupBy(F.col("feature").alias("metric")).agg(F.avg("value").alias("mean"), F.stddev("value").alias("std"), q[0].alias("low"), q[1].alias("high"), F.count("value").alias("valid"))
 
 
-def permutation_test(df: DataFrame, key: str, score: str, label: Column, replicates: int, seed: str = "perm") -> DataFrame:
+def permutation_test(df: DataFrame, key: str, score: str, label: Column, replicates: int, seed: str | int = "perm", draws: str = "rows") -> DataFrame:
     """One row: auc, mean and deviation of the AUC under dealt labels, replicates that reach it, and p = (n_exceed + 1) / (replicates + 1).
 
-    Labels are dealt in hash order to rows in key order; both are numbered by
-    ranges, so no task holds all rows.
+    With draws "rows", labels are dealt in hash order to rows in key order, both
+    numbered by ranges, which sorts all rows for each replicate. With "counts",
+    distinct scores are dealt their shares of the positives (seed is then a number).
+    ``resampling.refit_test`` refits a model on each shuffle.
     """
     t = df.where(F.col(score).isNotNull()).select(key, F.col(score).alias("_s"), label.alias("_y"))
+    area = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)) / F.nullif(F.max("pos_all") * F.max("neg_all"), F.lit(0))
+    real = score_counts(t, "_s", F.col("_y")).agg(area.alias("auc"))
+    if draws == "counts":
+        return permutation_summary(permuted_auc(t, "_s", F.col("_y"), replicates, seed if isinstance(seed, int) else 0), real.first().auc, replicates)
     rows = numbered(t.select(key, "_s"), [key], "_i").select("_s", "_i")
     dealt = t.select(key, "_y", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("_u", hash_uniform([key, F.col("replicate")], seed))
     dealt = numbered(dealt, ["replicate", "_u", key], "_i", ["replicate"]).select("replicate", "_y", "_i")
-    area = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)) / F.nullif(F.max("pos_all") * F.max("neg_all"), F.lit(0))
     null = score_counts(rows.join(dealt, "_i"), "_s", F.col("_y"), ["replicate"]).groupBy("replicate").agg(area.alias("null"))
-    real = score_counts(t, "_s", F.col("_y")).agg(area.alias("auc"))
     j = null.crossJoin(F.broadcast(real))  # one row
     out = j.agg(F.first("auc").alias("auc"), F.avg("null").alias("mean_null"), F.stddev("null").alias("std_null"), F.count_if(F.col("null") >= F.col("auc")).alias("n_exceed"))
     return out.withColumn("p_value", (F.col("n_exceed") + 1) / F.lit(replicates + 1.0))

@@ -2,7 +2,8 @@
 
 Sky joins turn a radius into an equi join on cells: one side is copied to the
 cells that its circle touches, so no pair beyond neighbours is made, also
-across ra = 0 and near the poles.
+across ra = 0 and near the poles. Searches for the nearest count the cells and leave
+overfull ones to nested cells.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.functions.columns import ang_sep, hash_uniform
+from starloom.operators.skytree import nearest_in_tree
+from starloom.operators.stored import Stored
 from starloom.operators.windows import numbered
 
 
@@ -65,8 +68,8 @@ def _cells(band: Column, size: float) -> Column:
     return F.greatest(F.floor(F.lit(360.0 / size) * narrow), F.lit(1))
 
 
-def sky_pairs(left: DataFrame, right: DataFrame, radius: float, left_on=("ra", "dec"), right_on=("ra2", "dec2")) -> DataFrame:
-    """Pairs within ``radius`` degrees, with ``sep``. right is copied to the cells around it; its columns must differ from left's."""
+def _sky_sides(left: DataFrame, right: DataFrame, radius: float, left_on, right_on) -> tuple[DataFrame, DataFrame]:
+    """left with its cell (_band, _cell), and right once for each cell around it."""
     size = max(radius, 1e-3)
     band, cell = sky_cells(F.col(left_on[0]), F.col(left_on[1]), size)
     a = left.withColumn("_band", band).withColumn("_cell", cell)
@@ -74,26 +77,65 @@ def sky_pairs(left: DataFrame, right: DataFrame, radius: float, left_on=("ra", "
     near = near.where(F.col("_band").between(0, int(180 / size))).withColumn("_n", _cells(F.col("_band"), size))
     home = F.floor(F.pmod(F.col(right_on[0]), F.lit(360.0)) / (F.lit(360.0) / F.col("_n")))
     steps = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda s: F.pmod(home + s, F.col("_n"))))
-    near = near.withColumn("_cell", F.explode(steps)).drop("_n")
+    return a, near.withColumn("_cell", F.explode(steps)).drop("_n")
+
+
+def _sky_join(a: DataFrame, near: DataFrame, radius: float, left_on, right_on) -> DataFrame:
     sep = ang_sep(left_on[0], left_on[1], right_on[0], right_on[1])
     return a.join(near, ["_band", "_cell"]).withColumn("sep", sep).where(F.col("sep") <= radius).drop("_band", "_cell")
 
 
-def nearest(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, **on) -> DataFrame:
-    """The nearest right row of each left row within the radius; ties to the smaller id."""
+def sky_pairs(left: DataFrame, right: DataFrame, radius: float, left_on=("ra", "dec"), right_on=("ra2", "dec2")) -> DataFrame:
+    """Pairs within ``radius`` degrees, with ``sep``. right is copied to the cells around it; its columns must differ from left's."""
+    return _sky_join(*_sky_sides(left, right, radius, left_on, right_on), radius, left_on, right_on)
+
+
+def _sky_split(left: DataFrame, right: DataFrame, radius: float, busy: int, left_on=("ra", "dec"), right_on=("ra2", "dec2")) -> tuple[DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """(pairs of ordinary cells, rows of overfull ones): a cell whose rows would make more than ``busy`` pairs goes to nested cells."""
+    a, near = _sky_sides(left, right, radius, left_on, right_on)
+    cell = ["_band", "_cell"]
+    rows = lambda t, n: t.groupBy(*cell).agg(F.count(F.lit(1)).alias(n))
+    over = rows(a, "_a").join(rows(near, "_b"), cell).where(F.col("_a") * F.col("_b") > busy).select(*cell)
+    if not over.head(1):
+        return _sky_join(a, near, radius, left_on, right_on), None
+    over = Stored(left.sparkSession, "overfull").keep(over)
+    calm = _sky_join(a.join(over, cell, "left_anti"), near.join(over, cell, "left_anti"), radius, left_on, right_on)
+    return calm, (a.join(over, cell, "left_semi").drop(*cell), near.join(over, cell, "left_semi").drop(*cell).distinct())
+
+
+def nearest(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, busy: int = 10_000_000, **on) -> DataFrame:
+    """The nearest right row of each left row within the radius; ties to the smaller id. Ids are unique on either side.
+
+    Cells are counted first; those of more than ``busy`` pairs, such as a
+    cluster inside one radius, are searched by nested cells in place of all pairs.
+    """
+    pairs, dense = _sky_split(left, right, radius, busy, **on)
     w = Window.partitionBy(left_id).orderBy(F.round("sep", 9), right_id)
-    return sky_pairs(left, right, radius, **on).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    out = pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    if dense:
+        found = nearest_in_tree(*dense, left_id, right_id, within=radius, **on)
+        out = out.unionByName(dense[0].join(found, left_id).join(dense[1], right_id).select(*out.columns))
+    return out
+
+
+def _near_ids(left: DataFrame, right: DataFrame, radius: float, left_id: str, busy: int, **on) -> DataFrame:
+    """Distinct ids of left rows with a right row within the radius."""
+    pairs, dense = _sky_split(left, right, radius, busy, **on)
+    hits = pairs.select(left_id)
+    if dense:
+        hits = hits.unionAll(nearest_in_tree(dense[0], dense[1].withColumn("_any", F.lit(0)), left_id, "_any", within=radius, **on).select(left_id))
+    return hits.distinct()
 
 
-def near_flag(left: DataFrame, right: DataFrame, radius: float, left_id: str, **on) -> DataFrame:
+def near_flag(left: DataFrame, right: DataFrame, radius: float, left_id: str, busy: int = 10_000_000, **on) -> DataFrame:
     """left plus ``near``: whether any right row lies within the radius."""
-    hits = sky_pairs(left, right, radius, **on).select(left_id).distinct().withColumn("near", F.lit(True))
+    hits = _near_ids(left, right, radius, left_id, busy, **on).withColumn("near", F.lit(True))
     return left.join(hits, left_id, "left").withColumn("near", F.coalesce("near", F.lit(False)))
 
 
-def away(left: DataFrame, right: DataFrame, radius: float, left_id: str, **on) -> DataFrame:
+def away(left: DataFrame, right: DataFrame, radius: float, left_id: str, busy: int = 10_000_000, **on) -> DataFrame:
     """left rows with no right row within the radius."""
-    return left.join(sky_pairs(left, right, radius, **on).select(left_id).distinct(), left_id, "left_anti")
+    return left.join(_near_ids(left, right, radius, left_id, busy, **on), left_id, "left_anti")
 
 
 def bin_swap(controls: DataFrame, pool: DataFrame, bins: Sequence[str], key: str, pool_key: str, share: float, seed: int = 5) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.columns import hash_uniform
+from starloom.operators.stored import Stored
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
@@ -242,14 +243,12 @@ def greedy_pairs(a: DataFrame, b: DataFrame, bin_: str, key_a: str, key_b: str,
     """
     import pandas as pd
 
-    from starloom.operators.regions import _kept
-
     kinds = dict(a.dtypes) | dict(b.dtypes)
     schema = f"`{bin_}` {kinds[bin_]}, `{key_a}` {kinds[key_a]}, `{key_b}` {kinds[key_b]}, gap double, _v double"
     names = [bin_, key_a, key_b, "gap", "_v"]
     known = F.col("_v").isNotNull() & ~F.isnan("_v")
     a, b = (t.select(bin_, k, F.col(value).cast("double").alias("_v")).where(known) for t, k in ((a, key_a), (b, key_b)))
-    found, width, turn = None, 0.0, 0
+    found, width, turn, stored = None, 0.0, 0, Stored(a.sparkSession, "pairs")
     while True:
         both = a.select(bin_, "_v").unionAll(b.select(bin_, "_v"))
         n, lo, hi = both.groupBy(bin_).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).agg(F.max("n"), F.min("lo"), F.max("hi")).first()
@@ -273,7 +272,7 @@ def greedy_pairs(a: DataFrame, b: DataFrame, bin_: str, key_a: str, key_b: str,
             return pd.DataFrame({c: pd.Series([r[i] for r in out], dtype=object) for i, c in enumerate(names)})
 
         x, y = (t.withColumn("_at", place) for t in (a, b))
-        t = _kept(x.groupBy(bin_, "_at").cogroup(y.groupBy(bin_, "_at")).applyInPandas(match, schema))
+        t = stored.keep(x.groupBy(bin_, "_at").cogroup(y.groupBy(bin_, "_at")).applyInPandas(match, schema))
         pairs = t.where("_v IS NULL").drop("_v")
         found = pairs if found is None else found.unionAll(pairs)
         a, b = t.where(F.col("_v").isNotNull() & F.col(key_b).isNull()).select(bin_, key_a, "_v"), t.where(F.col("_v").isNotNull() & F.col(key_a).isNull()).select(bin_, key_b, "_v")

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import logging
 import math
-import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from starloom.operators.sets import union_named
+from starloom.operators.stored import Stored, hot_join
 from starloom.operators.windows import numbered, stratified_topk, topk
 
+log = logging.getLogger(__name__)
+
 
 def adjacency(tiles: DataFrame, x: str, y: str, around: int) -> DataFrame:
     """(x, y, x2, y2): pairs of existing tiles that touch on a grid of ``around`` columns that wraps; one row per direction."""
@@ -45,7 +50,8 @@ def degrees(tiles: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 
 def regions(tiles: DataFrame, key: str, ra: str, dec: str, eps: float) -> DataFrame:
     """(key, root, region_id) of each tile: contiguous regions numbered by their smallest tile."""
-    roots = components(tiles.select(key), adjacency_within(tiles, key, ra, dec, eps), key)
+    edges = adjacency_within(tiles, key, ra, dec, eps).where("a < b")
+    roots = Stored(tiles.sparkSession, "regions").keep(components(tiles.select(key), edges, key))
     return roots.join(region_ids(roots), "root").select(key, "root", "region_id")
 
 
@@ -99,32 +105,75 @@ def parent_catalog(objects: DataFrame, tile_regions: DataFrame, selections: Data
     return objects.join(tiles, tile).withColumns(flags)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df by way of the checkpoint folder, so that lost executors cost a re-read."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base and spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
-def components(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
-    """(node, root): root is the smallest node that edges(a, b), given in both directions, can reach.
-
-    Labels spread to neighbours and jump to their label's label, so rounds
-    grow with the logarithm of the diameter.
+def _stars(most: int, schema: pa.Schema) -> Callable:
+    """Links, ``most`` at a time, as links from each node to the smallest one that it reaches within those."""
+
+    def contract(links: list[tuple]) -> pa.RecordBatch:
+        up: dict = {}
+
+        def top(x):
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for a, b in links:
+            up.setdefault(a, a), up.setdefault(b, b)
+            a, b = top(a), top(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+        ends = [(x, top(x)) for x in list(up)]
+        return pa.RecordBatch.from_pydict({"u": [x for x, r in ends if x != r], "v": [r for x, r in ends if x != r]}, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            if len(held) >= most:
+                yield contract(held)
+                held = []
+        if held:
+            yield contract(held)
+
+    return run
+
+
+def components(nodes: DataFrame, edges: DataFrame, node: str, most: int = 200_000) -> DataFrame:
+    """(node, root): root is the smallest node that edges(a, b) can reach; one direction of each edge is enough.
+
+    Rounds over a stored edge table. In each, tasks contract ``most`` links at
+    a time to stars around the smallest node of their links. What is left beyond one such
+    block goes through a large-star step (neighbours above a node are hung
+    on its smallest neighbour) and a small-star step (those below it too), whose
+    hubs are joined by broadcast of counted keys, so no task holds a hub. The
+    rounds end when every node has one link, to a node that has none; each
+    round's links are logged.
     """
-    t = _kept(nodes.select(node, F.col(node).alias("root")))
+    spark = nodes.sparkSession
+    stored = Stored(spark, "components")
+    links = edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    layout = links.schema
+    stars = _stars(most, to_arrow_schema(layout))
+    # keys compare in Spark's order, which is that of Python for numbers and texts
+    e, turn = stored.keep(links.mapInArrow(stars, layout).distinct()), 0
     while True:
-        heard = edges.join(t, edges["b"] == t[node]).groupBy(F.col("a").alias(node)).agg(F.min("root").alias("_m"))
-        new = t.join(heard, node, "left").select(node, F.least("root", F.coalesce("_m", "root")).alias("_r"), F.col("root").alias("_old"))
-        top = new.select(F.col(node).alias("_r"), F.col("_r").alias("_up"))
-        new = _kept(new.join(top, "_r", "left").select(node, F.least("_r", F.coalesce("_up", "_r")).alias("root"), "_old"))
-        if new.where("root <> _old").isEmpty():
-            return new.select(node, "root")
-        t = new.select(node, "root")
+        n = e.count()
+        log.info("components: round %d, %d links", turn, n)
+        if n <= most:
+            done = stored.keep(e.coalesce(1).mapInArrow(stars, layout))  # one block: its stars are the components
+            break
+        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = stored.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = stored.keep(hot_join(both, low, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = stored.keep(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = hot_join(large, least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        new = stored.keep(small.where("u <> v").mapInArrow(stars, layout).distinct())
+        stored.drop(e, low, large, least)
+        e, turn = new, turn + 1
+        ends = e.select("u", F.lit(1).alias("links"), F.lit(0).alias("below")).unionAll(e.select("v", F.lit(0), F.lit(1)))
+        if not ends.groupBy("u").agg(F.sum("links").alias("links"), F.max("below").alias("below")).where("links > 1 or links = 1 and below = 1").head(1):
+            done = e
+            break
+    return nodes.select(node).join(done.select(F.col("u").alias(node), F.col("v").alias("_root")), node, "left").select(node, F.coalesce("_root", node).alias("root"))
 
 
 def primary_backup(regions: DataFrame, area: str, score: str, key: str, low: float, high: float) -> DataFrame:

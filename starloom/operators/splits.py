@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.columns import col, hash_uniform
+from starloom.operators.stored import Stored
 
 SHARES = (("test", 0.1), ("val", 0.1), ("train", 0.8))
 
@@ -70,14 +71,15 @@ def ks_p(statistic: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
     return F.when(x.isNotNull(), F.when(x < 0.2, F.lit(1.0)).otherwise(F.greatest(F.least(p, F.lit(1.0)), F.lit(0.0))))  # below 0.2 the series has no meaning and p is 1
 
 
-def min_separation(test: DataFrame, train: DataFrame, limit: float, reach: float, key: str, other: str, **on) -> tuple[DataFrame, DataFrame]:
-    """(report, violations): smallest and median distance from test rows to their nearest train row, and the test rows closer than ``limit``.
+def min_separation(test: DataFrame, train: DataFrame, limit: float, key: str, other: str, **on) -> tuple[DataFrame, DataFrame]:
+    """(report, violations): smallest and median distance from test rows to their nearest train row at any distance, and the test rows closer than ``limit``.
 
-    Neighbours beyond ``reach`` degrees aren't searched; test rows without one are counted as ``alone``.
+    ``alone`` counts test rows without a distance: all of them if train is
+    empty, and those without a position.
     """
-    from starloom.operators.joins import nearest
+    from starloom.operators.skytree import nearest_in_tree
 
-    near = nearest(test, train, reach, key, other, **on).select(key, other, "sep")
+    near = Stored(test.sparkSession, "separation").keep(nearest_in_tree(test, train, key, other, **on))
     t = test.select(key).join(near, key, "left")
     report = t.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("sep").isNull()).alias("alone"), F.min("sep").alias("least"), F.percentile("sep", F.lit(0.5)).alias("median"), F.count_if(F.col("sep") < limit).alias("violations"))
     return report, near.where(F.col("sep") < limit)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions.columns import hash_uniform
 from starloom.operators.sets import union_named
+from starloom.operators.stored import Stored
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str, within: Sequence[str] = ()) -> DataFrame:
@@ -17,9 +18,7 @@ def numbered(df: DataFrame, order: Sequence[str], name: str, within: Sequence[st
     Rows are range partitioned, so no task sorts all of them; the rows before
     each partition come from counts.
     """
-    from starloom.operators.regions import _kept
-
-    t = _kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    t = Stored(df.sparkSession, "numbered").keep(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftrightunsigned("_at", 33)
     heads = t.groupBy(*within, part.alias("_part")).agg(F.min("_at").alias("_head"), F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from starloom.operators import evaluation as e
 from starloom.operators import metrics as m
 from starloom.operators import splits as sp
+from starloom.operators.resampling import refit_test
 from starloom.plans.aggregates import KS, rounded
 from starloom.plans.evaluation import AUC, BINS, CONF, RANK, RATES, S, good, scored
 from starloom.plans.registry import register
@@ -142,6 +143,21 @@ def _(spark, d):
     return rounded(e.permutation_test(scored(spark, d), "doc_id", "score", good(), 10), 9)
 
 
+@register("ev_bootstrap_counts")  # draws of a generator have no SQL form
+def _(spark, d):
+    return rounded(e.bootstrap_intervals(scored(spark, d), "doc_id", "score", good(), 0.5, 200, draws="counts"), 9)
+
+
+@register("ev_permutation_counts")  # draws of a generator have no SQL form
+def _(spark, d):
+    return rounded(e.permutation_test(scored(spark, d), "doc_id", "score", good(), 200, draws="counts"), 9)
+
+
+@register("ev_permutation_refit")  # an optimiser has no SQL form
+def _(spark, d):
+    return rounded(refit_test(read(spark, d, "embeddings"), "vec_id", F.col("label") % 2 == 1, "embedding", 50), 4)
+
+
 FEATURES = ("n_chars", "score", "toxic")
 AUDIT = f"""f AS ({' UNION ALL '.join(f"SELECT '{x}' AS feature, doc_id, {x}::DOUBLE AS score, quality FROM s" for x in FEATURES)}),
     a AS (SELECT feature, count(*) FILTER (WHERE quality = 1) AS n_pos, count(*) FILTER (WHERE quality = 0) AS n_neg, {AUC} AS auc FROM (SELECT *, {RANK.format(w='PARTITION BY feature', p='feature, ')} FROM f) GROUP BY 1),

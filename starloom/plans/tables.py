@@ -324,13 +324,13 @@ def _(spark, d):
 # split audits
 
 SEPARATED = f"""t AS (SELECT c_custkey, {sql_ra('c_custkey')} AS ra, {sql_dec('c_custkey')} AS dec, {split_sql('c_custkey')} AS s FROM customer),
-    p AS (SELECT a.c_custkey, min({SEP}) AS sep FROM t a, t b WHERE a.s = 'test' AND b.s = 'train' AND {SEP} <= 3 GROUP BY 1)"""
+    p AS (SELECT a.c_custkey, min({SEP}) AS sep FROM t a, t b WHERE a.s = 'test' AND b.s = 'train' GROUP BY 1)"""
 
 
 def separation(spark, d):
     t = sky(read(spark, d, "customer"), "c_custkey").withColumn("s", sp.hash_split("c_custkey"))
     train = t.where("s = 'train'").select(F.col("c_custkey").alias("other"), F.col("ra").alias("ra2"), F.col("dec").alias("dec2"))
-    return sp.min_separation(t.where("s = 'test'").select("c_custkey", "ra", "dec"), train, 1.0, 3.0, "c_custkey", "other")
+    return sp.min_separation(t.where("s = 'test'").select("c_custkey", "ra", "dec"), train, 1.0, "c_custkey", "other")
 
 
 @register("spl_min_separation", f"WITH {SEPARATED} SELECT count(*) AS n, count(*) FILTER (WHERE sep IS NULL) AS alone, round(min(sep), 6) AS least, round(quantile_cont(sep, 0.5), 6) AS median, count(*) FILTER (WHERE sep < 1) AS violations FROM t LEFT JOIN p USING (c_custkey) WHERE s = 'test'")
