@@ -106,10 +106,11 @@ def mcnemar(df: DataFrame, by: Sequence[str], a: Column, b: Column) -> DataFrame
     """Discordant counts of paired outcomes, chi-square with continuity correction and its p, and the exact two-sided binomial p."""
     t = df.groupBy(*by).agg(F.count_if(a & ~b).alias("b"), F.count_if(~a & b).alias("c"))
     n = F.col("b") + F.col("c")
-    # sums of binomial terms by their logarithms
-    log_choose = lambda k: F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda s, i: s + F.log((n - k + i) / i))
-    terms = F.transform(F.sequence(F.lit(0).cast("long"), F.least("b", "c")), lambda k: F.exp(log_choose(k) - n * F.log(F.lit(2.0))))
-    p = F.least(F.lit(1.0), F.lit(2.0) * F.aggregate(terms, F.lit(0.0), lambda s, x: s + x))
+    # one pass over k = 0, 1, ... min(b, c), which carries the logarithm of the binomial term from one k to the next
+    start = F.struct((-n * F.log(F.lit(2.0))).alias("log"), F.lit(0.0).alias("sum"))
+    step = lambda s, k: F.struct((s["log"] + F.log((n - k) / (k + 1.0))).alias("log"), (s["sum"] + F.exp(s["log"])).alias("sum"))
+    total = F.aggregate(F.sequence(F.lit(0).cast("long"), F.least("b", "c")), start, step, lambda s: s["sum"])
+    p = F.least(F.lit(1.0), F.lit(2.0) * total)
     return t.withColumn("chi2", _mcnemar_chi2()).withColumn("p_chi2", chi2_tail(F.col("chi2"))).withColumn("p_exact", F.when(n > 0, p).otherwise(F.lit(1.0)))
 
 
@@ -251,47 +252,45 @@ def cell_concentration(df: DataFrame, cell: str, top: int = 5, accuracy: int | N
 
 def jeffreys(df: DataFrame, k: str, n: str, levels: Sequence[float] = (0.68, 0.95)) -> DataFrame:
     """df plus the Jeffreys interval ci<level>_low/high of k out of n, for aggregated rows; null when n is 0."""
-    import pandas as pd
-
-    def quantile(p: float, a: float, b: float) -> float:
-        import math
-
-        def cdf(x: float) -> float:
-            if x <= 0 or x >= 1:
-                return float(x >= 1)
-            front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
-            if x > (a + 1) / (a + b + 2):
-                return 1 - front * fraction(1 - x, b, a) / b
-            return front * fraction(x, a, b) / a
-
-        def fraction(x: float, a: float, b: float) -> float:
-            c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
-            h = d
-            for m in range(1, 300):
-                for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                    d, c = 1 / (1 + num * d), 1 + num / c
-                    h *= d * c
-                if abs(d * c - 1) < 1e-13:
-                    break
-            return h
-
-        low, high = 0.0, 1.0
+    import numpy as np
+
+    names = [f"ci{round(100 * x)}_{s}" for x in levels for s in ("low", "high")]
+
+    def fraction(x, a, b):
+        """The incomplete beta's continued fraction, for all rows at once."""
+        c, d = np.ones_like(x), 1 / (1 - (a + b) * x / (a + 1))
+        h = d.copy()
+        for m in range(1, 300):
+            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d = 1 / (1 + num * d)
+                c = 1 + num / c
+                h = h * d * c
+            if np.all(np.abs(d * c - 1) < 1e-13):
+                break
+        return h
+
+    def quantile(p: float, a, b):
+        scale = np.array([math.lgamma(x + y) - math.lgamma(x) - math.lgamma(y) for x, y in zip(a, b, strict=True)])
+        low, high = np.zeros_like(a), np.ones_like(a)
         for _ in range(60):
             mid = (low + high) / 2
-            low, high = (mid, high) if cdf(mid) < p else (low, mid)
+            upper = mid > (a + 1) / (a + b + 2)  # there the fraction of the other tail converges
+            x, s, t = np.where(upper, 1 - mid, mid), np.where(upper, b, a), np.where(upper, a, b)
+            tail = np.exp(scale + a * np.log(mid) + b * np.log1p(-mid)) * fraction(x, s, t) / s
+            below = np.where(upper, 1 - tail, tail) < p
+            low, high = np.where(below, mid, low), np.where(below, high, mid)
         return (low + high) / 2
 
-    names = [f"ci{round(100 * x)}_{s}" for x in levels for s in ("low", "high")]
-
     def run(frames):
         for f in frames:
-            rows = []
-            for a, b in zip(f[k], f[n], strict=True):
-                row: list[float | None] = []
-                for x in levels:
-                    row += [None, None] if not b else [0.0 if a == 0 else quantile((1 - x) / 2, a + 0.5, b - a + 0.5), 1.0 if a == b else quantile((1 + x) / 2, a + 0.5, b - a + 0.5)]
-                rows.append(row)
-            yield pd.concat([f.reset_index(drop=True), pd.DataFrame(rows, columns=names, dtype=float)], axis=1)
+            hit, all_ = f[k].to_numpy(float), f[n].to_numpy(float)
+            some = np.nan_to_num(all_) > 0
+            a, b = hit[some] + 0.5, all_[some] - hit[some] + 0.5
+            for x, (low, high) in zip(levels, zip(names[::2], names[1::2], strict=True), strict=True):
+                f[low], f[high] = None, None
+                f.loc[some, low] = np.where(hit[some] == 0, 0.0, quantile((1 - x) / 2, a, b))
+                f.loc[some, high] = np.where(hit[some] == all_[some], 1.0, quantile((1 + x) / 2, a, b))
+            yield f.astype(dict.fromkeys(names, float))
 
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + "".join(f", {c} double" for c in names)
     return df.mapInPandas(run, schema)

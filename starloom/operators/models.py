@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.columns import hash_uniform
+from starloom.operators.metrics import auc
 from starloom.operators.stored import Stored
+from starloom.operators.windows import numbered
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
@@ -43,6 +45,45 @@ def probe(df: DataFrame, vector: str, label: str, key: str, folds: int = 5) -> D
     return out
 
 
+def entity_folds(df: DataFrame, entity: str, folds: int, seed: int | str = "fold") -> DataFrame:
+    """(entity, fold): every entity in one fold, folds of nearly equal rows.
+
+    Entities are numbered by size, the largest first, and dealt to the folds
+    forwards and backwards in turn. A null entity is one entity.
+    """
+    t = df.groupBy(entity).agg((-F.count(F.lit(1))).alias("_m")).withColumn("_u", F.coalesce(hash_uniform(entity, seed), F.lit(-1.0)))
+    place = F.pmod(F.col("_i") - 1, F.lit(2 * folds))
+    return numbered(t, ["_m", "_u", entity], "_i").select(entity, F.least(place, 2 * folds - 1 - place).cast("int").alias("fold"))
+
+
+def cross_validated(df: DataFrame, features: Sequence[str] | str, label: str, key: str, folds: int = 5, entity: str | None = None, seed: int | str = "fold") -> DataFrame:
+    """(key, label, score, fold): scores of rows by a model fitted without their fold, on columns or on an array column.
+
+    With ``entity``, no entity has rows on both sides of a fold; without, folds
+    come from the key's hash. Each fold must leave both labels to fit on.
+    """
+    stored = Stored(df.sparkSession, "folds")
+    if entity is None:
+        t = df.withColumn("_f", F.floor(hash_uniform(key, seed) * folds).cast("int"))
+    else:
+        f = stored.keep(entity_folds(df, entity, folds, seed)).select(F.col(entity).alias("_e"), F.col("fold").alias("_f"))
+        t = df.join(f, F.col(entity).eqNullSafe(F.col("_e"))).drop("_e")
+    t, out = stored.keep(t.select(key, label, *([features] if isinstance(features, str) else features), "_f")), None
+    for i in range(folds):
+        part = logistic(t.where(F.col("_f") != i), t.where(F.col("_f") == i), features, label, key).withColumn("fold", F.lit(i))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def probe_report(scores: DataFrame, label: str) -> DataFrame:
+    """(fold, n, auc, accuracy, brier) of scores in [0, 1] for each fold and for all rows; accuracy at 0.5."""
+    y = F.col(label).cast("double")
+    t = scores.select("score", label, F.explode(F.array(F.col("fold").cast("string"), F.lit("all"))).alias("fold"))
+    rest = t.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg(((F.col("score") >= 0.5) == (y == 1)).cast("double")).alias("accuracy"), F.avg(F.pow(F.col("score") - y, F.lit(2.0))).alias("brier"))
+    area = auc(t, "score", F.col(label) == 1, ["fold"]).select("fold", "auc")
+    return rest.join(area, "fold", "left").select("fold", "n", "auc", "accuracy", "brier")
+
+
 def covariance(df: DataFrame, vector: str) -> DataFrame:
     """(i, j, n, mean_i, mean_j, cov): sample covariance; partial d x d sums per batch, added by index."""
     import pandas as pd

@@ -14,26 +14,21 @@ from starloom.plans.evaluation import scored
 from starloom.plans.registry import register
 from starloom.plans.relations import SKY2, skies
 from starloom.plans.views import read, scratch_dir, sql_uniform
-from starloom.sources.catalogs import read_arrays, write_arrays
+from starloom.sources.catalogs import write_arrays
+from starloom.sources.stamps import read_stamps
 
 
-@register("src_stamps")  # a codec has no SQL form
+@register("src_stamps", "SELECT vec_id, label, len(embedding) AS pixels, list_min(embedding)::DOUBLE AS least, list_max(embedding)::DOUBLE AS most, CASE WHEN embedding IS NULL THEN 'no array' END AS error FROM embeddings")
 def _(spark, d):
-    """Each embedding becomes an NPZ file in the shared folder and is read back; a row whose file is not read has an error."""
+    """Each embedding becomes an NPZ file with its key and label in the shared folder, and all is read back from the files; a row whose file is not read has an error."""
     path = scratch_dir(spark)
-    rows = write_arrays(read(spark, d, "embeddings").select("vec_id", "label", "embedding"), "embedding", f"{path}/npz")
-    rows.write.parquet(f"{path}/rows")
-    stamps = read_arrays(spark, f"{path}/npz/*").select(F.regexp_extract("path", r"([0-9a-f]+\.npz)$", 1).alias("file"), F.size("data").alias("pixels"), "error")
-    cost = "spark.sql.files.openCostInBytes"
-    held = spark.conf.get(cost)
-    spark.conf.set(cost, "4096")  # files of a kilobyte: thousands to a task, not four
-    try:
-        stamps.write.parquet(f"{path}/stamps")
-    finally:
-        spark.conf.set(cost, held)
-    rows, stamps = (spark.read.schema(t.schema).parquet(f"{path}/{name}") for t, name in ((rows, "rows"), (stamps, "stamps")))
-    error = F.when(F.col("file").isNull(), "no array").when(F.col("pixels").isNull(), F.coalesce("error", F.lit("no file")))
-    return rows.join(stamps, "file", "left").select("vec_id", "label", "pixels", error.alias("error"))
+    rows = write_arrays(read(spark, d, "embeddings").select("vec_id", "label", "embedding"), "embedding", f"{path}/npz", ["vec_id", "label"])
+    rows.select("file", F.col("vec_id").alias("_id"), F.col("label").alias("_label")).write.parquet(f"{path}/rows")
+    stamps = read_stamps(spark, f"{path}/npz", columns="path string, data array<float>, meta_vec_id bigint, meta_label int, error string")
+    stamps = stamps.select(F.regexp_extract("path", r"([0-9a-f]+\.npz)$", 1).alias("file"), F.col("meta_vec_id").alias("vec_id"), F.col("meta_label").alias("label"), F.size("data").cast("long").alias("pixels"), F.array_min("data").cast("double").alias("least"), F.array_max("data").cast("double").alias("most"), "error")
+    rows = spark.read.schema("file string, _id bigint, _label int").parquet(f"{path}/rows")
+    lost = F.when(F.col("file").isNull(), "no array").when(F.col("pixels").isNull(), F.coalesce("error", F.lit("no file")))
+    return rows.join(stamps, "file", "left").select(F.coalesce("vec_id", "_id").alias("vec_id"), F.coalesce("label", "_label").alias("label"), "pixels", "least", "most", lost.alias("error"))
 
 
 @register("join_greedy_pairs", "WITH a AS (SELECT s_nationkey AS b, s_suppkey AS k, s_acctbal AS v FROM supplier), b AS (SELECT c_nationkey AS b, c_custkey AS k, c_acctbal AS v FROM customer), x AS (SELECT *, row_number() OVER (PARTITION BY b, k ORDER BY gap, below DESC, ord) AS n FROM (SELECT a.b, a.k, b.k AS o, abs(a.v - b.v) AS gap, (b.v <= a.v)::INT AS below, CASE WHEN b.v < a.v THEN -b.k ELSE b.k END AS ord FROM a JOIN b USING (b))), y AS (SELECT *, row_number() OVER (PARTITION BY b, o ORDER BY gap, below DESC, ord) AS n FROM (SELECT b.b, b.k AS o, a.k, abs(a.v - b.v) AS gap, (a.v <= b.v)::INT AS below, CASE WHEN a.v < b.v THEN -a.k ELSE a.k END AS ord FROM a JOIN b USING (b))) SELECT x.b, x.k AS s_suppkey, x.o AS c_custkey, x.gap FROM x JOIN y ON x.b = y.b AND x.k = y.k AND x.o = y.o WHERE x.n = 1 AND y.n = 1")
@@ -68,8 +63,22 @@ def folds(spark, d):
 @register("ev_scalar_baseline")  # an optimiser has no SQL form
 def _(spark, d):
     train, test = folds(spark, d)
-    s = md.logistic(train, test, ["n_chars", "toxic"], "quality", "doc_id")
-    return m.auc(s, "score", F.col("quality") == 1).select(F.round("auc", 3).alias("auc"), "n_pos", "n_neg")
+    s = md.logistic(train, test, ["n_chars", "toxic"], "quality", "doc_id").withColumn("fold", F.lit(0))
+    return md.probe_report(s, "quality").where("fold = 'all'").select("n", *[F.round(c, 3).alias(c) for c in ("auc", "accuracy", "brier")])
+
+
+@register("ev_scalar_baseline_cv")  # an optimiser has no SQL form
+def _(spark, d):
+    t = scored(spark, d).withColumn("entity", F.concat_ws("/", "source", (F.col("n_chars") % 50).cast("string")))
+    s = md.cross_validated(t, ["n_chars", "toxic"], "quality", "doc_id", 3, "entity")
+    return md.probe_report(s, "quality").select("fold", "n", *[F.round(c, 3).alias(c) for c in ("auc", "accuracy", "brier")])
+
+
+@register("ev_linear_probe_grouped")  # an optimiser has no SQL form
+def _(spark, d):
+    t = read(spark, d, "embeddings").withColumn("y", (F.col("label") % 2).cast("int")).withColumn("entity", F.floor(F.col("vec_id") / 4))
+    s = md.cross_validated(t, "embedding", "y", "vec_id", 3, "entity")
+    return md.probe_report(s, "y").select("fold", "n", *[F.round(c, 3).alias(c) for c in ("auc", "accuracy", "brier")])
 
 
 @register("ev_ensemble")  # an optimiser has no SQL form

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from starloom.functions import arrays as a
 from starloom.operators import regions as rg
 from starloom.operators import sampling as sm
-from starloom.operators.joins import grid_cross
+from starloom.operators.joins import grid_cross, left_meta
 from starloom.operators.quality import contract
 from starloom.operators.sets import union_named
+from starloom.operators.stored import Stored
 from starloom.plans.aggregates import rounded
 from starloom.plans.registry import register
 from starloom.plans.views import read, scratch_dir, sql_uniform
 from starloom.sources import catalogs as s
-from starloom.streaming.incremental import incremental_counts
+from starloom.sources import snapshots as sn
+from starloom.streaming.incremental import incremental_counts, incremental_sketches, merge_sketches, read_sketches, sketch
 
 
 @register("src_catalog", "SELECT p_partkey, p_brand FROM part")
@@ -95,6 +99,48 @@ def _(spark, d):
     return spark.read.parquet(path)
 
 
+@register("src_snapshot", "SELECT l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY 1")
+def _(spark, d):
+    """Two commits, a half-written run beside them, a compaction and a vacuum; then the catalog is read."""
+    path, t = scratch_dir(spark), read(spark, d, "lineitem").select("l_linestatus", "l_quantity", "l_linenumber")
+    for half in (0, 1):
+        sn.commit(spark, t.where(F.col("l_linenumber") % 2 == half).repartition(6), path, "l_linestatus")
+    t.limit(0).withColumn("stray", F.lit(1)).write.parquet(f"{path}/{sn.DATA}/stray")
+    sn.compact(spark, path)
+    sn.vacuum(spark, path)
+    return s.read_catalog(spark, path).groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"))
+
+
+@register("join_meta_bucketed", "SELECT o_orderkey, o_custkey AS c_custkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def _(spark, d):
+    path, name = scratch_dir(spark), f"starloom_{uuid.uuid4().hex[:12]}"
+    fact = s.write_bucketed(read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), f"{name}_f", ["c_custkey"], 8, f"{path}/fact")
+    meta = s.write_bucketed(read(spark, d, "customer").select("c_custkey", "c_mktsegment"), f"{name}_m", ["c_custkey"], 8, f"{path}/meta")
+    return left_meta(fact, meta, ["c_custkey"])
+
+
+@register("agg_two_phase_sketches", "SELECT event_type, count(*) AS n, true AS median_close, true AS tail_close, true AS users_close FROM events GROUP BY 1")
+def _(spark, d):
+    """Daily sketches, merged: each estimate is held against the exact rank or count, within the stated errors."""
+    t = read(spark, d, "events").select("event_type", "user_id", F.col("value").cast("double").alias("value"), F.to_date("ts").alias("day"))
+    parts = Stored(spark, "sketches").keep(sketch(t, ["event_type", "day"], ["value"], ["user_id"]))
+    e = read_sketches(merge_sketches(parts.drop("day"), ["event_type"]), ["event_type"], [0.5, 0.95])
+    j = t.join(F.broadcast(e), "event_type")  # a row per type
+    within = lambda c, p: ((F.count_if(F.col("value") < F.col(c)) / F.count("value") < p + 0.02) & (F.count_if(F.col("value") <= F.col(c)) / F.count("value") > p - 0.02))
+    users = F.count_distinct("user_id")
+    return j.groupBy("event_type").agg(F.first("n").alias("n"), within("value_p50", 0.5).alias("median_close"), within("value_p95", 0.95).alias("tail_close"), (F.abs(F.first("user_id_distinct") - users) <= 0.025 * users).alias("users_close"))
+
+
+@register("stm_incremental_sketches", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def _(spark, d):
+    src, out, mark = scratch_dir(spark), scratch_dir(spark), scratch_dir(spark)
+    t = read(spark, d, "events").select("event_id", "event_type", F.col("user_id").cast("long").alias("user_id"), F.col("value").cast("double").alias("value"))
+    for i in range(2):  # new files arrive between two runs; theta sketches count exactly up to 2^20 users
+        t.where(F.col("event_id") % 2 == i).repartition(2).write.mode("append").parquet(src)
+        state = incremental_sketches(spark, src, t.schema, ["event_type"], ["value"], ["user_id"], out, mark, lg=20)
+    return read_sketches(state, ["event_type"], [0.5]).select("event_type", "n", F.col("user_id_distinct").alias("users"))
+
+
 @register("stm_incremental_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def _(spark, d):
     src, out, mark = scratch_dir(spark), scratch_dir(spark), scratch_dir(spark)

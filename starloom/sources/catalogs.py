@@ -5,14 +5,27 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from starloom.operators.stored import Stored
+from starloom.sources import snapshots
+
 
 def read_catalog(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """A Parquet catalog, with the given columns only."""
-    df = spark.read.parquet(path)
+    """A Parquet catalog, with the given columns only: the live files of its last version if it has versions, else its files.
+
+    In a folder of partitions (``name=value``) only those are read, so that left-over
+    folders beside them neither add rows nor break the partition columns.
+    """
+    if snapshots.versions(spark, path):
+        df = snapshots.read(spark, path)
+    else:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        parts = [f"{path}/{s.getPath().getName()}" for s in fs.listStatus(where) if s.isDirectory() and "=" in s.getPath().getName()] if "*" not in path else []
+        df = spark.read.option("basePath", path).parquet(*sorted(parts)) if parts else spark.read.parquet(path)
     return df.select(*columns) if columns else df
 
 
@@ -64,9 +77,10 @@ def read_arrays(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, data array<float>, shape array<int>, error string")
 
 
-def write_arrays(df: DataFrame, array: str, path: str) -> DataFrame:
+def write_arrays(df: DataFrame, array: str, path: str, meta: Sequence[str] = ()) -> DataFrame:
     """df with ``file`` in place of its array: the name of an NPZ file that the row's task writes below ``path``; null without an array.
 
+    The columns in ``meta`` go into the file, too, as fields ``meta_<name>``; null ones are left out.
     Tasks write through Arrow's file systems, into a folder per partition.
     Every run writes new files, so the result is to be stored before they are
     read; files of lost tasks are named by no row.
@@ -91,12 +105,13 @@ def write_arrays(df: DataFrame, array: str, path: str) -> DataFrame:
         folder = f"{root}/{TaskContext.get().partitionId():05d}"
         store.create_dir(folder)
         for batch in batches:
-            names = []
-            for v in batch.column(array):
+            names, fields = [], [batch.column(c).to_pylist() for c in meta]
+            for i, v in enumerate(batch.column(array)):
                 names.append(f"{uuid.uuid4().hex}.npz" if v.is_valid else None)
                 if v.is_valid:
                     b = io.BytesIO()
-                    np.savez_compressed(b, data=np.asarray(v.as_py(), "float32").reshape(-1, 1))
+                    own = {f"meta_{c}": np.asarray(x[i]) for c, x in zip(meta, fields, strict=True) if x[i] is not None}
+                    np.savez_compressed(b, data=np.asarray(v.as_py(), "float32").reshape(-1, 1), **own)
                     with store.open_output_stream(f"{folder}/{names[-1]}") as out:
                         out.write(b.getvalue())
             kept = [c for c in batch.schema.names if c != array]
@@ -161,14 +176,26 @@ def write_sized(df: DataFrame, path: str, by: str, rows_per_file: int = 500_000,
     return files
 
 
-def compact(spark: SparkSession, source: str, target: str, by: str, required: Sequence[str], files: int = 8) -> DataFrame:
-    """Rewrites small files partitioned by a column; rechecks columns and the count of each partition."""
+def compact(spark: SparkSession, source: str, target: str, by: str, required: Sequence[str], file_bytes: int = 128 << 20) -> DataFrame:
+    """Rewrites small files partitioned by a column; rechecks columns and the count of each partition.
+
+    A partition value gets as many files of about ``file_bytes`` as its share of the source's bytes asks for.
+    """
     df = spark.read.parquet(source)
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    # a partition value may hold most rows, so its rows are spread over several files
-    df.withColumn("_s", F.pmod(F.xxhash64(*df.columns), F.lit(files))).repartition(F.col(by), F.col("_s")).drop("_s").write.mode("overwrite").partitionBy(by).parquet(target)
+    where = spark._jvm.org.apache.hadoop.fs.Path(source)
+    size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    shares = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    need = F.ceil(F.col("_n") / F.sum("_n").over(Window.partitionBy()) * size / file_bytes).cast("long")
+    shares = shares.select(F.col(by).alias("_by"), need.alias("_files"))
+    before = F.sum("_files").over(Window.orderBy("_by").rowsBetween(Window.unboundedPreceding, -1))
+    shares = Stored(spark, "compact").keep(shares.withColumn("_first", F.coalesce(before, F.lit(0))))  # one row per partition value
+    files = shares.agg(F.sum("_files")).first()[0] or 1
+    spread = df.join(shares, F.col(by).eqNullSafe(F.col("_by")))
+    place = (F.col("_first") + F.pmod(F.xxhash64(*df.columns), F.col("_files"))).cast("int")  # a task for each file
+    spread.repartitionById(files, place).select(*df.columns).write.mode("overwrite").partitionBy(by).parquet(target)
     out = spark.read.schema(df.schema).parquet(target)
     count = lambda t, n: t.groupBy(F.col(by).cast("string").alias("k")).agg(F.count(F.lit(1)).alias(n))
     if not count(df, "a").join(count(out, "b"), "k", "full").where("a IS DISTINCT FROM b").isEmpty():
@@ -180,3 +207,13 @@ def done(spark: SparkSession, path: str) -> bool:
     """Whether a stage's output carries its success marker."""
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
+def write_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str | None = None) -> DataFrame:
+    """A catalog table bucketed and sorted by its keys. Tables with the same keys and buckets are joined on them, and grouped by them, without a shuffle.
+
+    Each bucket is one file, so ``buckets`` should be total bytes / some hundred MB.
+    """
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return df.sparkSession.table(name)
