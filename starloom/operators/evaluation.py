@@ -17,7 +17,6 @@ from starloom.operators.metrics import poisson_weight, unpivot
 from starloom.operators.resampling import permutation_summary, permuted_auc, poisson_counts
 from starloom.operators.sets import union_named
 from starloom.operators.splits import ks, ks_p
-from starloom.operators.stored import Stored
 from starloom.operators.windows import numbered, running_counts, score_counts
 
 
@@ -108,7 +107,7 @@ def replicate_metrics(df: DataFrame, key: str, score: str, label: Column, thresh
     that follows distinct scores and not rows.
     """
     t = poisson_counts(df, score, label, replicates, by) if draws == "counts" else _weighted_counts(df, key, score, label, replicates, by)
-    t = running_counts(Stored(df.sparkSession, "replicates").keep(t), score, [*by, "replicate"])
+    t = running_counts(t, score, [*by, "replicate"])
     hit = F.col(score) >= threshold
     total = lambda c: F.sum(F.when(hit, F.col(c)).otherwise(0))
     area = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))

@@ -247,12 +247,13 @@ def grid_interpolate(df: DataFrame, grid: DataFrame, x: str, y: str, x0: float,
     small = F.broadcast if grid.count() <= 100_000 else (lambda g: g)
     fx, fy = (F.col(x) - x0) / dx, (F.col(y) - y0) / dy
     t = df.withColumn("_ix", F.floor(fx)).withColumn("_iy", F.floor(fy)).withColumn("_tx", fx - F.floor(fx)).withColumn("_ty", fy - F.floor(fy))
-    total = F.lit(0.0)
-    for i in (0, 1):
-        for k in (0, 1):
-            g = small(grid.select((F.col("ix") - i).alias("_ix"), (F.col("iy") - k).alias("_iy"), F.col(value).alias(f"_v{i}{k}")))
-            t = t.join(g, ["_ix", "_iy"], "left")
-            wx = F.col("_tx") if i else 1 - F.col("_tx")
-            wy = F.col("_ty") if k else 1 - F.col("_ty")
-            total = total + wx * wy * F.coalesce(F.col(f"_v{i}{k}"), F.lit(0.0))
+    sides = [(i, k) for i in (0, 1) for k in (0, 1)]
+    # every grid point is a corner of four cells; a cell's corners are one row, so df is joined once
+    corner = F.explode(F.array(*[F.struct((F.col("ix") - i).alias("_ix"), (F.col("iy") - k).alias("_iy"), F.lit(f"_v{i}{k}").alias("c")) for i, k in sides])).alias("s")
+    cells = grid.select(F.col(value).alias("_v"), corner).groupBy("s._ix", "s._iy").agg(*[F.max(F.when(F.col("s.c") == f"_v{i}{k}", F.col("_v"))).alias(f"_v{i}{k}") for i, k in sides])
+    t, total = t.join(small(cells), ["_ix", "_iy"], "left"), F.lit(0.0)
+    for i, k in sides:
+        wx = F.col("_tx") if i else 1 - F.col("_tx")
+        wy = F.col("_ty") if k else 1 - F.col("_ty")
+        total = total + wx * wy * F.coalesce(F.col(f"_v{i}{k}"), F.lit(0.0))
     return t.withColumn("interpolated", total).select(*df.columns, "interpolated")

@@ -74,8 +74,9 @@ def running_counts(t: DataFrame, score: str, by: Sequence[str] = ()) -> DataFram
 
     Rows meet as counts of distinct scores only. Within a group the sums run
     over score ranges first and then inside each range, so that one very
-    large group is not summed by a single task.
+    large group is not summed by a single task. The counts are stored once.
     """
+    t = Stored(t.sparkSession, "counts").keep(t)
     edges = t.groupBy(*by).agg(F.percentile_approx(score, [i / 64 for i in range(1, 64)], 1000).alias("_e"))
     part = F.size(F.filter("_e", lambda x: x <= F.col(score)))
     t = (t.join(edges, list(by)) if by else t.crossJoin(F.broadcast(edges))).withColumn("_part", part).drop("_e")  # one row of edges

@@ -113,13 +113,20 @@ def _(spark, d):
     return t.agg(F.count(F.lit(1)).alias("n")).withColumn("frechet", F.lit(round(f, 4)))
 
 
-MMD = f"""s AS (SELECT vec_id, vec_id % 2 AS side, embedding::DOUBLE[] AS v,
-        floor({sql_uniform("vec_id", 3)} * (SELECT ceil(max(n) / 1024.0) FROM (SELECT count(*) AS n FROM embeddings GROUP BY vec_id % 2))) AS block FROM embeddings),
+def mmd_sql(block: int) -> str:
+    return f"""s AS (SELECT vec_id, vec_id % 2 AS side, embedding::DOUBLE[] AS v,
+        floor({sql_uniform("vec_id", 3)} * (SELECT ceil(max(n) / {block}.0) FROM (SELECT count(*) AS n FROM embeddings GROUP BY vec_id % 2))) AS block FROM embeddings),
     k AS (SELECT a.block, a.side AS p, b.side AS q, a.vec_id = b.vec_id AS same, exp(-list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS k FROM s a JOIN s b USING (block)),
     e AS (SELECT block, avg(k) FILTER (WHERE p = 0 AND q = 0 AND NOT same) + avg(k) FILTER (WHERE p = 1 AND q = 1 AND NOT same) - 2 * avg(k) FILTER (WHERE p = 0 AND q = 1) AS estimate FROM k GROUP BY block)"""
 
 
-@register("ev_mmd", f"WITH {MMD} SELECT round(avg(estimate), 6) AS mmd2, count(estimate) AS blocks FROM e")
+@register("ev_mmd_blocks", f"WITH {mmd_sql(64)} SELECT round(avg(estimate), 6) AS mmd2, count(estimate) AS blocks FROM e")
+def _(spark, d):
+    t = read(spark, d, "embeddings")
+    return md.mmd_blocks(t.where("vec_id % 2 = 0"), t.where("vec_id % 2 = 1"), "vec_id", "embedding", 1.0, 64).select(F.round("mmd2", 6).alias("mmd2"), "blocks")
+
+
+@register("ev_mmd", f"WITH {mmd_sql(1024)} SELECT round(avg(estimate), 6) AS mmd2, count(estimate) AS blocks FROM e")
 def _(spark, d):
     t = read(spark, d, "embeddings")
     out = md.mmd_blocks(t.where("vec_id % 2 = 0"), t.where("vec_id % 2 = 1"), "vec_id", "embedding", 1.0)
