@@ -59,10 +59,11 @@ def tree(stored: Stored, t: DataFrame, leaf: int) -> tuple[DataFrame, list[DataF
         level = stored.keep(at.groupBy("cell", "above").agg(F.count(F.lit(1)).alias("rows"), whole.alias("whole"), *_box(), F.min(F.struct(*AXES)).alias("one")))
         levels.append(level)
         # hot cells are split ones, of which there are at most rows / leaf; hot_join keeps their rows where they lie
-        marked = hot_join(at, level.select("cell", "whole", "rows"), ["cell"], "rows")
+        total, largest, split = level.agg(F.sum("rows"), F.max("rows"), F.count_if(~F.col("whole"))).first()
+        marked = hot_join(at, level.select("cell", "whole", "rows"), ["cell"], "rows", seen=(total, largest))
         kept = marked.where("whole").select(*t.columns, "cell")
         done = kept if done is None else done.unionAll(kept)
-        if not level.where("not whole").head(1):
+        if not split:
             break
         open_ = stored.keep(marked.where("not whole").select(*t.columns))
     return done, levels

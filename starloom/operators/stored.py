@@ -48,14 +48,15 @@ class Stored:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, how: str = "inner", most: int = 1000) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], rows: str, how: str = "inner", most: int = 1000, seen: tuple[int, int] | None = None) -> DataFrame:
     """left joined with right, which has one row per key and in ``rows`` the number of left's rows with that key.
 
     At most ``most`` keys have more than 1/``most`` of all rows each; these are
     broadcast and their rows stay where they lie. The others are shuffled, and none of
-    them fills a task. Both tables should be stored; how is inner or left.
+    them fills a task. Both tables should be stored; how is inner or left. seen is the
+    sum and maximum of ``rows``, where the caller knows them.
     """
-    total, largest = right.agg(F.sum(rows), F.max(rows)).first()
+    total, largest = seen or right.agg(F.sum(rows), F.max(rows)).first()
     bar = max((total or 0) // most, 1000)
     if (largest or 0) <= bar:
         return left.join(right.drop(rows), on, how)
