@@ -186,3 +186,15 @@ def test_batch_score_reports_bad_rows(spark):
 
     rows = {r.k: (r.score, r.error) for r in m.batch_score(spark.createDataFrame([(1, 1.0), (2, -1.0)], "k int, x double").coalesce(1), model, ["x"], ["k"]).collect()}
     assert rows == {1: (2.0, None), 2: (None, "ValueError: negative")}
+
+
+def test_frechet_of_diagonal_covariances(spark):
+    def cloud(mean, spread):  # points on the axes have a diagonal covariance
+        return [([m + (s if i == k else 0.0) * sign for i, (m, s) in enumerate(zip(mean, spread, strict=True))],) for k in range(len(mean)) for s in [spread[k]] for sign in (1, -1)]
+
+    a, b = cloud([0.0, 1.0, -2.0], [1.0, 2.0, 3.0]), cloud([0.5, 1.0, 0.0], [2.0, 2.0, 0.5])
+    frame = lambda rows: spark.createDataFrame([([float(x) for x in v],) for (v,) in rows], "v array<double>").repartition(2)
+    n = len(a)
+    root = lambda s: math.sqrt(2 * s * s / (n - 1))  # noqa: E731  the sample deviation of n points, two of them at +s and -s
+    want = 0.25 + 0.0 + 4.0 + sum((root(x) - root(y)) ** 2 for x, y in zip([1.0, 2.0, 3.0], [2.0, 2.0, 0.5], strict=True))
+    assert math.isclose(md.frechet(frame(a), frame(b), "v"), want, rel_tol=1e-9)
