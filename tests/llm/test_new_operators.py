@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import math
+import os
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -172,3 +174,11 @@ def test_tags_and_places(spark):
     assert [(e.expression, e.labels) for e in one.expressions] == [("((GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause)", ["bsd"]), ("Apache-2.0", ["apache-2"]), ("CC-BY-NC-SA-4.0", ["cc-by-nc"])]
     judged = licenses.judge(licenses.scan(docs)).collect()
     assert sorted((r.doc_id or 0, r.labels, r.score) for r in judged) == [(0, "all-rights-reserved", 1.0), (1, "apache-2,bsd,cc-by-nc", 0.9), (1, "apache-2,bsd,cc-by-nc", 0.9)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+def test_clusters_agree_with_sql(spark):
+    db = duckdb.connect()
+    db.sql("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
+    want = db.sql(bitplanes.OP12_SQL).fetchall()
+    assert collections.Counter(map(tuple, bitplanes.op12_centroid_clustering(spark, "/root/testdata/sf0.001").collect())) == collections.Counter(want)
