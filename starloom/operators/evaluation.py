@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.columns import hash_uniform
-from starloom.operators.metrics import poisson_weight, unpivot
+from starloom.operators.metrics import poisson_of, unpivot
 from starloom.operators.resampling import permutation_summary, permuted_auc, poisson_counts
 from starloom.operators.sets import union_named
 from starloom.operators.splits import ks, ks_p
@@ -93,8 +93,10 @@ def _weighted_counts(df: DataFrame, key: str, score: str, label: Column, replica
     t, parts = df.where(F.col(score).isNotNull()).withColumn("_y", label), []
     for lo in range(0, replicates, 50):
         some = range(lo, min(lo + 50, replicates))
-        w = lambda b: poisson_weight(key, F.lit(b))
-        sums = t.groupBy(*by, score).agg(F.array(*[F.struct(F.lit(b).alias("replicate"), F.sum(F.when(F.col("_y"), w(b)).otherwise(0)).alias("pos"), F.sum(F.when(F.col("_y"), 0).otherwise(w(b))).alias("neg")) for b in some]).alias("_w"))
+        # one hash for each row and replicate; the draw then reads it as a number
+        draws = t.withColumn("_w", F.transform(F.transform(F.array(*map(F.lit, some)), lambda b: hash_uniform([key, b], "boot")), poisson_of))
+        side = lambda i, pos: F.sum(F.when(F.col("_y"), F.col("_w")[i] if pos else 0).otherwise(0 if pos else F.col("_w")[i]))
+        sums = draws.groupBy(*by, score).agg(F.array(*[F.struct(F.lit(b).alias("replicate"), side(i, True).alias("pos"), side(i, False).alias("neg")) for i, b in enumerate(some)]).alias("_w"))
         parts.append(sums.select(*by, score, F.explode("_w").alias("_w")).select(*by, score, "_w.*"))
     return union_named(*parts)
 

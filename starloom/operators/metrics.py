@@ -95,7 +95,11 @@ def calibration_error(curve: DataFrame) -> DataFrame:
 
 def poisson_weight(key: str, replicate: Column) -> Column:
     """Poisson(1) count of a row in a bootstrap replicate, from the hash of both."""
-    u = hash_uniform([key, replicate], "boot")
+    return poisson_of(hash_uniform([key, replicate], "boot"))
+
+
+def poisson_of(u: Column) -> Column:
+    """The Poisson(1) count of a uniform number."""
     out, edge = F.lit(8), 0.0
     edges = []
     for k in range(8):
