@@ -89,31 +89,35 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(seen.tolist(), pa.string()), pa.array(n.astype(np.int64))], names=["pattern", "n"])
 
 
-def estimate(patterns: dict[str, int], rounds: int = 200, bad: float = 0.1, weight: float = 0.01) -> tuple[dict[str, float], np.ndarray, np.ndarray]:
+def estimate(patterns: dict[str, int], rounds: int = 500, bad: float = 0.1, weight: float = 0.01) -> tuple[dict[str, float], np.ndarray, np.ndarray]:
     """(P(good) of each vote pattern; chance of each labeller's vote on good and on bad texts; shares of good and bad texts), by expectation-maximisation.
 
-    Each labeller votes with one chance on good texts and another on bad ones.
-    Junk comes in kinds, so silence of a labeller for one kind is no sign of
-    quality, while silence of one that knows good texts counts. A prior worth
-    ``weight`` of all texts says that labellers are right more often than not.
-    At most 2^labellers patterns exist. ``bad`` is the share of bad texts that
-    the search starts from. Without patterns the start is returned.
+    Junk comes in kinds, one for each labeller that says "bad", so the hidden
+    classes are good texts and each kind of bad ones, with a chance of every
+    labeller's vote in each. Votes and silence both count: a text on which no
+    labeller says "bad" is unlikely in any kind, so its posterior is near one.
+    The search starts from labellers that mostly see their own kind and from a
+    share ``bad`` of bad texts; a prior worth ``weight`` of all texts keeps
+    chances off zero and one. At most 2^labellers patterns exist. Without
+    patterns the start is returned.
     """
     keys = sorted(patterns)
     count = np.array([patterns[k] for k in keys], float)
     v = np.array([[c == "1" for c in k] for k in keys], bool).reshape(len(keys), len(BAD) + len(GOOD))
-    speaks = np.r_[np.zeros(len(BAD), bool), np.ones(len(GOOD), bool)]  # whose silence counts
-    start = np.where(speaks, [[0.9], [0.3]], [[0.01], [0.3]])  # on good texts, on bad texts
-    chance, share, prior = start.copy(), np.array([1 - bad, bad]), weight * count.sum()
-    p = np.ones((2, 0))
+    kinds = len(BAD)
+    start = np.hstack([np.vstack([np.full(kinds, 0.01), np.where(np.eye(kinds) > 0, 0.9, 0.1)]), np.r_[[[0.9] * len(GOOD)], np.full((kinds, len(GOOD)), 0.5)]])
+    at_first = np.r_[1 - bad, np.full(kinds, bad / kinds)]
+    chance, share, prior = start.copy(), at_first.copy(), weight * count.sum()
+    p = np.ones((1 + kinds, 0))
     for _ in range(rounds if keys else 0):
-        like = np.stack([np.log(share[y]) + np.where(v, np.log(chance[y]), np.where(speaks, np.log(1 - chance[y]), 0)).sum(axis=1) for y in (0, 1)])
+        like = np.log(share)[:, None] + np.log(chance) @ v.T + np.log(1 - chance) @ ~v.T
         p = np.exp(like - like.max(axis=0))
         p /= p.sum(axis=0)
         weights = p * count
         chance = (weights @ v + prior * start) / (weights.sum(axis=1, keepdims=True) + prior)
-        share = (weights.sum(axis=1) + prior * np.array([1 - bad, bad])) / (count.sum() + prior)
-    return dict(zip(keys, p[0].tolist(), strict=True)), chance, share
+        share = (weights.sum(axis=1) + prior * at_first) / (count.sum() + prior)
+    on_bad = share[1:] @ chance[1:] / share[1:].sum()
+    return dict(zip(keys, p[0].tolist(), strict=True)), np.stack([chance[0], on_bad]), np.array([share[0], share[1:].sum()])
 
 
 def _vectors(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -158,9 +162,8 @@ def score_quality(docs: DataFrame, text: str = "text", most_rows: int = 8_000) -
     """docs plus quality_score (0 to 1, higher is better) of each whole text.
 
     Vote patterns are counted over all texts. The scorer is fitted on about
-    ``most_rows`` distinct texts, chosen by text hash, with the likelier class of
-    their pattern's posterior (fitted on the posteriors themselves, it rejected 273
-    in place of 23 of 3,409 labelled good texts). Null and wordless texts score 0; equal texts score the
+    ``most_rows`` distinct texts, chosen by text hash, with the posteriors of
+    their patterns as targets. Null and wordless texts score 0; equal texts score the
     same, so ties and repeated rows do; a text of any length is scored whole;
     an empty table gives no rows. A column named quality_score is an error.
     """
@@ -173,7 +176,7 @@ def score_quality(docs: DataFrame, text: str = "text", most_rows: int = 8_000) -
     some = body.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct().mapInArrow(_sampler, "pattern string, x binary").toArrow()
     x = np.frombuffer(b"".join(some.column(1).to_pylist()), np.uint8).reshape(-1, SIZE).astype(np.float32) / 255
     y = np.array([known.get(k, 0.5) for k in some.column(0).to_pylist()], np.float32)
-    weights = fit(x, np.round(y)) if len(y) else np.zeros(SIZE + 1, np.float32)
+    weights = fit(x, y) if len(y) else np.zeros(SIZE + 1, np.float32)
     names = [*docs.columns, "quality_score"]
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", quality_score double"
     return docs.mapInArrow(_scorer(weights, docs.columns.index(text), names), schema)

@@ -286,6 +286,21 @@ def test_posteriors_recover_planted_labellers():
     right = (p < 0.5) == bad
     assert right.mean() > 0.95 and abs(share[1] - bad.mean()) < 0.1
     assert np.abs(chance[0] - on_good).max() < 0.06 and (chance[1, :kinds] > 5 * chance[0, :kinds]).all()
+    assert abs(p.mean() - (~bad).mean()) < 0.05
+    for low, high in ((0, 0.1), (0.9, 1.01)):  # posteriors are near the share of good texts
+        some = (p >= low) & (p < high)
+        assert abs(p[some].mean() - (~bad[some]).mean()) < 0.05
+
+
+def test_quality_scores_follow_the_labellers(spark):
+    rng = np.random.default_rng(21)
+    words = ["the", "river", "runs", "past", "an", "old", "mill", "where", "children", "play", "while", "their", "parents", "talk", "of", "rain", "harvest", "markets", "and", "roads"]
+    prose = lambda n: " ".join(rng.choice(words, n)) + "."
+    junk = (lambda: "$$% ## @@ " * 12, lambda: prose(30).upper() + "!!! " * 20, lambda: "buy now " * 40, lambda: " ".join(map(str, rng.integers(10000, 99999, 40))))
+    rows = [(i, prose(int(rng.integers(40, 90))) if i % 5 else junk[i // 5 % 4]()) for i in range(600)]
+    got = {r.doc_id: r.quality_score for r in quality_model.score_quality(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    good, bad = [got[i] for i in range(600) if i % 5], [got[i] for i in range(0, 600, 5)]
+    assert np.mean(np.array(good) >= 0.5) > 0.99 and np.mean(np.array(bad) < 0.5) > 0.95
 
 
 def test_scorer_fits_posteriors():
