@@ -16,7 +16,6 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from operator import mul
 from typing import NamedTuple
 
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.common import Scratch, table
+from starloom.llm.common import Scratch, per_worker, table
 from starloom.llm.token_store import _PLAIN, Encoder, _byte_letters, public_tokenizer
 
 #: Bits of an id in a pair code: B id, then A id.
@@ -178,7 +177,7 @@ class Aligner:
         return Aligned(*sums, b";".join([parts[c].groups for c in order]), b""), codes[first], np.add.reduceat(n, first)
 
 
-@lru_cache(maxsize=1)
+@per_worker
 def aligner_of(path_a: str, path_b: str) -> Aligner:
     """One aligner per Python worker, shared by the tasks that it runs."""
     return Aligner(path_a, path_b)

@@ -6,9 +6,13 @@ executors), so a lost executor costs a re-read and not a recomputation.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +23,43 @@ SPACES = " \t\n\x0b\x0c\r"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _local_dirs: dict[str, str] = {}
+_held: list[Callable] = []
+
+
+def per_worker(make: Callable) -> Callable:
+    """``make`` with its last result held in the Python worker for the tasks that follow, until a stage without it begins."""
+    out = lru_cache(maxsize=1)(make)
+    _held.append(out)
+    return out
+
+
+def give_back(using: str | None = None) -> None:
+    """Drops what ``per_worker`` holds, but for that of module ``using``, and returns freed memory to the system."""
+    for f in _held:
+        if f.__module__ != using:
+            f.cache_clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def frugal(run: Callable, using: str | None = None) -> Callable:
+    """run for mapInArrow, in a worker that holds nothing of other stages.
+
+    Spark reuses Python workers, so what one stage's tables and batches took would
+    stand beside those of the next. using is the module whose ``per_worker`` result run looks up.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back(using)
+        try:
+            yield from run(batches)
+        finally:
+            give_back(using)
+
+    return task
 
 
 def workspace(spark: SparkSession) -> str:

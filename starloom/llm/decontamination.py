@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.common import free_name, positions, table
+from starloom.llm.common import free_name, frugal, positions, table
 from starloom.llm.words import PUNCTUATED, slices
 
 #: Words of test items in one automaton, which is broadcast; a larger benchmark is cut into several, used one after another.
@@ -225,9 +225,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: st
         part = bench.where(F.pmod(F.xxhash64("k"), F.lit(shards)) == s).collect()
         a = build(list(zip([r.k for r in part], _hashes([r.t for r in part]), strict=True)), window)
         if a:
-            out = out.mapInArrow(_searcher(spark.sparkContext.broadcast(a), at, names), schema)
+            out = out.mapInArrow(frugal(_searcher(spark.sparkContext.broadcast(a), at, names)), schema)
             used = True
-    return (out if used else out.mapInArrow(_counter(at, names), schema)).toDF(*final)
+    return (out if used else out.mapInArrow(frugal(_counter(at, names)), schema)).toDF(*final)
 
 
 def contaminated(percent: int = 5) -> Column:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.common import Scratch, components, occupied, positions, spread_join, table, without
+from starloom.llm.common import Scratch, components, frugal, occupied, positions, spread_join, table, without
 from starloom.llm.words import SPACED, mix, slices
 
 #: Minima of a signature. 32 bands of 6 miss a pair of similarity 0.85 once in 4 million, 38 bands of 5 one of 0.8 as rarely.
@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     needed = [(n, least_matches(n, percent / 100, miss)) for n in range(BATCH, SIGNATURE + 1, BATCH)]
     body = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     bands, per_band = (32, 6) if percent >= 85 else (38, 5)
-    sigs = scratch.keep(body.mapInArrow(_signer(width, bands, per_band), SIGNED), "signatures")
+    sigs = scratch.keep(body.mapInArrow(frugal(_signer(width, bands, per_band)), SIGNED), "signatures")
 
     # classes of equal sets; rep is their smallest key and stands for them from here on
     have, one_class = sigs.where("n_shingles > 0 and doc_id is not null"), ["d1", "d2", "n_shingles"]
@@ -211,13 +211,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     def sets_of(ids: DataFrame) -> DataFrame:
         ids = scratch.keep(ids.distinct(), "ids")
         wanted = occupied(body, F.col("doc_id"), ids, F.col("id"))
-        return scratch.keep(wanted.mapInArrow(_lister(width), "id bigint, shingles array<bigint>"), "sets")
+        return scratch.keep(wanted.mapInArrow(frugal(_lister(width)), "id bigint, shingles array<bigint>"), "sets")
 
     one = lambda c, s: reps.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(s))
     star = scratch.keep(buckets.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "star")
     hubs = scratch.keep(star.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(one("a", "sa"), "a"), "hubs")
     near = spread_join(star, hubs, ["a"], "n").join(one("b", "sb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    pairs = scratch.keep(near.select("a", "b", "sa", "sb").mapInArrow(_prune(needed), "a bigint, b bigint").distinct(), "pairs")
+    pairs = scratch.keep(near.select("a", "b", "sa", "sb").mapInArrow(frugal(_prune(needed)), "a bigint, b bigint").distinct(), "pairs")
     sets = sets_of(pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")))
     hubs = scratch.keep(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a"), "hubs")
     sized = spread_join(pairs, hubs, ["a"], "n").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.common import table
+from starloom.llm.common import frugal, table
 from starloom.llm.words import SPACED, Words, mix, slices
 
 SIZE = 2048
@@ -170,16 +170,16 @@ def score_quality(docs: DataFrame, text: str = "text", most_rows: int = 8_000) -
     if "quality_score" in docs.columns:
         raise ValueError("docs must not have a column named quality_score")
     body = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    seen = {r.pattern: r.n for r in body.mapInArrow(_vote, "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
+    seen = {r.pattern: r.n for r in body.mapInArrow(frugal(_vote), "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
     known, _, _ = estimate(seen)
     share = min(1.0, most_rows / max(sum(seen.values()), 1))
-    some = body.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct().mapInArrow(_sampler, "pattern string, x binary").toArrow()
+    some = body.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct().mapInArrow(frugal(_sampler), "pattern string, x binary").toArrow()
     x = np.frombuffer(b"".join(some.column(1).to_pylist()), np.uint8).reshape(-1, SIZE).astype(np.float32) / 255
     y = np.array([known.get(k, 0.5) for k in some.column(0).to_pylist()], np.float32)
     weights = fit(x, y) if len(y) else np.zeros(SIZE + 1, np.float32)
     names = [*docs.columns, "quality_score"]
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", quality_score double"
-    return docs.mapInArrow(_scorer(weights, docs.columns.index(text), names), schema)
+    return docs.mapInArrow(frugal(_scorer(weights, docs.columns.index(text), names)), schema)
 
 
 def keep_good(docs: DataFrame, text: str = "text", least: float = 0.5, **how) -> DataFrame:

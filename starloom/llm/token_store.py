@@ -20,7 +20,6 @@ import struct
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.common import Scratch, table
+from starloom.llm.common import Scratch, frugal, per_worker, table
 
 HEAD = struct.Struct("<4sIIIIQ")
 SHARD_IDS = 1_000_000
@@ -155,7 +154,7 @@ class Encoder:
         return self.last[1]
 
 
-@lru_cache(maxsize=1)
+@per_worker
 def encoder_of(path: str) -> Encoder:
     """One encoder per Python worker, shared by the tasks that it runs."""
     return Encoder(path)
@@ -347,7 +346,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, key:
     """
     body = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("_tie"))
     body = body.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
-    return Scratch(docs.sparkSession, "tokens").keep(body.mapInArrow(_writer(tokenizer, end_id, shard_ids), SHARDS), "shards", path)
+    return Scratch(docs.sparkSession, "tokens").keep(body.mapInArrow(frugal(_writer(tokenizer, end_id, shard_ids), __name__), SHARDS), "shards", path)
 
 
 def _placed(shards: DataFrame) -> DataFrame:
@@ -360,7 +359,7 @@ def _placed(shards: DataFrame) -> DataFrame:
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each stored document: ids of all documents before it, its ids, and their CRC."""
-    return _placed(shards).select("_base", "payload").mapInArrow(_reader, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return _placed(shards).select("_base", "payload").mapInArrow(frugal(_reader, __name__), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def read_ranges(shards: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -498,3 +498,19 @@ def test_line_dedup_agrees_with_brute_force(spark):
 
 def test_hashes_are_stable():
     assert hashlib.sha256(token_store.pack([1], np.array([3]), np.array([1, 2, 3], np.uint16), 50)).hexdigest() == hashlib.sha256(token_store.pack([1], np.array([3]), np.array([1, 2, 3], np.uint16), 50)).hexdigest()
+
+
+def test_held_tables_go_when_another_stage_begins():
+    made = []
+
+    @common.per_worker
+    def make(x):
+        made.append(x)
+        return x
+
+    use = lambda batches: (make(b) for b in batches)
+    try:
+        assert list(common.frugal(use, __name__)([1])) == list(common.frugal(use, __name__)([1])) == [1] and made == [1]
+        assert list(common.frugal(iter)([2])) == [2] and list(common.frugal(use, __name__)([1])) == [1] and made == [1, 1]
+    finally:
+        common._held.remove(make)
