@@ -24,6 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,6 +43,14 @@ _PLAIN = re.compile(f"[^\\x00-\\x7f{_L}]|<\\|")
 _S = "\\t-\\r \\x85\\xa0"
 _WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0")
 _PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[0-9]+| ?[^{_S}{_L}0-9]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: The same with U+0000 as a piece of its own.
+_PARTS = re.compile("\0|" + _PIECES.pattern.replace("[^", "[^\\0", 1))
+#: RE2: texts that are not plain, or empty, or hold U+0000, U+0001, or white space at an end or beside other white space.
+_HARD = f"[\\t-\\r ][\\t-\\r ]|^[\\t-\\r ]|[\\t-\\r ]$|^$|<\\||[\\x00\\x01]|[^\\x00-\\x7f{_L}]"
+#: RE2: a letter before a sign that is none, where a piece always ends.
+_ENDS = f"([{_L}])([^\\t-\\r {_L}0-9])"
+#: Bytes of text that are encoded together.
+SLICE = 1 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -101,6 +110,65 @@ class _Chunks(_Known):
         return self.split(chunk if chunk[0] == "\n" else " " + chunk)
 
 
+class _Parts(_Known):
+    """Ids of the parts that ``Encoder.encode_all`` cuts texts into, made many at a time.
+
+    A part takes the space before it, but for those that begin with a newline
+    and those that U+0001 marks as following without one. The model gets the pieces of
+    many parts in one string: U+0000 before each part and U+0001 between the pieces
+    of one are in no longer entry of the vocabulary, so no merge reaches over them.
+    """
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        from tokenizers import Tokenizer
+
+        model, letters = tokenizer.model, _byte_letters()
+        self.encode, self.signs = Tokenizer(model).encode_batch_fast, np.zeros(256, "<u2")
+        for byte, letter in letters.items():
+            self.signs[byte] = ord(letter)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        self.head, self.gap = (vocabulary.get(letters[b], -1) for b in (0, 1))
+        holding = [t for t in vocabulary if letters[0] in t or letters[1] in t]
+        self.mark = letters[0]
+        #: Whether the model takes a string for its pieces one by one, as only merges can join what stands side by side.
+        self.exact = sorted(holding) == [letters[0], letters[1]] and not (model.ignore_merges or model.dropout or model.unk_token or model.continuing_subword_prefix or model.end_of_word_suffix)
+
+    def take(self, parts: list[str]) -> list[bytes]:
+        out = [*map(self.get, parts)]
+        new = [k for k, x in enumerate(out) if x is None]
+        if self.old:
+            for k in new:
+                out[k] = self.old.get(parts[k])
+            self.update((parts[k], out[k]) for k in new if out[k] is not None)
+            new = [k for k in new if out[k] is None]
+        names = [parts[k] for k in new]
+        made = self.many(names)
+        self.update(zip(names, made, strict=True))
+        for k, ids in zip(new, made, strict=True):
+            out[k] = ids
+        return out
+
+    def many(self, parts: list[str], longest: int = 500) -> list[bytes]:
+        """Ids of each part; the model gets strings of about ``longest`` letters, as its work on one grows faster than its length."""
+        if not parts:
+            return []
+        text = ("\0 " + "\0 ".join(parts)).replace("\0 \n", "\0\n").replace("\0 \1", "\0")
+        text = "\1".join(_PARTS.findall(text)).replace("\1\0", "\0").replace("\0\1", "\0")
+        text = self.signs[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le")
+        strings, at = [], 0
+        while at < len(text):
+            end = text.find(self.mark, at + longest)
+            strings.append(text[at : end if end > 0 else len(text)])
+            at += len(strings[-1])
+        ids = np.concatenate([np.array(e.ids, np.uint16) for e in self.encode(strings, add_special_tokens=False)])
+        head = ids == self.head
+        real = ~head & (ids != self.gap)
+        stop = 2 * np.r_[np.cumsum(real)[head], real.sum()]
+        data = ids[real].tobytes()
+        return [data[a:b] for a, b in zip(stop[:-1].tolist(), stop[1:].tolist(), strict=True)]
+
+
 class Encoder:
     """Ids of texts as uint16 bytes.
 
@@ -108,7 +176,9 @@ class Encoder:
     single spaces and newlines, which end a piece whatever stands around them;
     chunks met before are looked up and the others cut into pieces. At most
     ``most`` pieces and as many chunks are held. Everything else goes to the
-    tokenizer whole.
+    tokenizer whole. ``encode_all`` does this for many texts at once: Arrow cuts
+    them and numbers their distinct parts, and each of these is looked up or made
+    once; as many parts are held, and those of one slice.
     """
 
     def __init__(self, path: str, most: int = 300_000):
@@ -126,6 +196,7 @@ class Encoder:
             self.pieces = self.whole(probe) == self.split(probe)
         except Exception:  # noqa: BLE001  another kind of model: it gets whole texts
             self.pieces = False
+        self.parts = _Parts(self.tokenizer) if self.pieces else None
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
@@ -153,6 +224,33 @@ class Encoder:
             self.last = text, self.joined(text) if self.pieces and plain else self.whole(text)
         return self.last[1]
 
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a string array without nulls, slice by slice of about ``SLICE`` bytes."""
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(size // SLICE)) + 1).tolist(), len(texts)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = texts.slice(a, b - a)
+            if self.parts is None or not self.parts.exact:
+                hard = np.ones(len(part), bool)
+            else:
+                hard = pc.match_substring_regex(part, _HARD).to_numpy(zero_copy_only=False)
+            easy = iter(self.together(part.filter(pa.array(~hard))) if not hard.all() else ())
+            for k, alone in enumerate(hard.tolist()):
+                yield np.frombuffer(self.encode(part[k].as_py()), np.uint16) if alone else next(easy)
+
+    def together(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; none of them matches ``_HARD``."""
+        if len(self.parts) > self.most // 2:
+            self.parts.turn()
+        marked = pc.replace_substring_regex(pc.binary_join_element_wise("\1", texts, ""), _ENDS, "\\1 \1\\2")
+        cut = pc.split_pattern(pc.replace_substring(marked, "\n", " \n"), " ")
+        coded = cut.flatten().dictionary_encode()
+        found = self.parts.take(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 2
+        ids, first, which = np.frombuffer(b"".join(found), np.uint16), np.cumsum(size) - size, coded.indices.to_numpy()
+        ids, stop = ids[_ranges_at(first[which], size[which])], np.cumsum(size[which])
+        return np.split(ids, stop[np.cumsum(pc.list_value_length(cut).to_numpy()) - 1][:-1])
+
 
 @per_worker
 def encoder_of(path: str) -> Encoder:
@@ -160,6 +258,12 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _ranges_at(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (n[0] of them), then those of first[1], and so on."""
+    stop = np.cumsum(n)
+    return np.repeat(first - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)
+
+
 def compress(ids: np.ndarray, vocabulary: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """(rules, symbols): rule k is the pair that nonterminal vocabulary + k stands for.
 
@@ -169,45 +273,50 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = 8) -> tuple[np.ndarr
     every second place is taken. Rounds go on until no pair comes ``least``
     times, or all symbols of 16 bits are in use. A rule takes 8 bytes and each
     of its occurrences saves 2.
+
+    Pairs are counted with their places, by one sort. A pair of older symbols only loses places,
+    so after the first round only places of pairs that were frequent and those beside new symbols are looked at.
     """
     seq, rules = ids.astype(np.uint32), []
-    sixteen = np.uint32(16)
-    while len(seq) > 1 and (room := (1 << 16) - vocabulary - len(rules)) > 0:
-        here = seq[:-1] << sixteen | seq[1:]
-        codes = np.sort(here)
-        codes = codes[least - 1 :][codes[least - 1 :] == codes[: len(codes) - least + 1]]  # a pair of n places is left n - least + 1 times
-        codes, n = np.unique(codes, return_counts=True)
+    at = np.arange(max(len(seq) - 1, 0))  # places whose pair may be frequent
+    while len(at) >= least and (room := (1 << 16) - vocabulary - len(rules)) > 0:
+        keys = seq[at].astype(np.uint64)
+        keys <<= np.uint64(16)
+        keys |= seq[1:][at]
+        keys <<= np.uint64(32)
+        keys |= at.view(np.uint64)
+        keys.sort()
+        codes = (keys >> np.uint64(32)).astype(np.uint32)
+        keys &= np.uint64(0xFFFFFFFF)
+        at = keys.view(np.int64)
+        first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        n = np.diff(np.r_[first, len(codes)])
+        first, n = first[n >= least], n[n >= least]
+        codes = codes[first]
         left, right, chosen = set(), set(), []
-        for c in codes[np.lexsort((codes, -n))].tolist():
+        by_count = np.lexsort((codes, -n))
+        for k, c in zip(by_count.tolist(), codes[by_count].tolist(), strict=True):
             a, b = c >> 16, c & 0xFFFF
             if (a not in right and b not in left) if a != b else not (a in left or a in right):
                 left.add(a)
                 right.add(b)
-                chosen.append(c)
+                chosen.append(k)
                 if len(chosen) == room:
                     break
         if not chosen:
             break
-        is_left, is_right = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
-        is_left[list(left)] = is_right[list(right)] = True
-        at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]])
-        order = np.argsort(np.array(chosen, np.uint32))
-        sorted_codes = np.array(chosen, np.uint32)[order]
-        here = here[at]
-        place = np.minimum(np.searchsorted(sorted_codes, here), len(chosen) - 1)
-        ok = sorted_codes[place] == here
-        at, place = at[ok], place[ok]
-        twin = np.flatnonzero((np.diff(at) == 1) & (np.diff(place) == 0))
-        if len(twin):  # only runs of one symbol can touch
-            head = np.r_[True, (np.diff(at) > 1) | (np.diff(place) != 0)]
-            first = np.flatnonzero(head)
-            ok = (np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))) % 2 == 0
-            at, place = at[ok], place[ok]
-        seq[at] = vocabulary + len(rules) + order[place]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq = seq[keep]
-        rules += [(c >> 16, c & 0xFFFF) for c in chosen]
+        taken, new = at[_ranges_at(first[chosen], n[chosen])], np.repeat(np.arange(len(chosen)), n[chosen])
+        touch = (np.diff(taken) == 1) & (np.diff(new) == 0)
+        if touch.any():  # only runs of one symbol can touch
+            head = np.flatnonzero(np.r_[True, ~touch])
+            ok = (np.arange(len(taken)) - np.repeat(head, np.diff(np.r_[head, len(taken)]))) % 2 == 0
+            taken, new = taken[ok], new[ok]
+        seq[taken] = vocabulary + len(rules) + new
+        keep, look = np.ones(len(seq), bool), np.zeros(len(seq), bool)
+        keep[taken + 1] = False
+        look[at[_ranges_at(first, n)]] = look[taken] = look[taken[taken > 0] - 1] = True
+        seq, at = seq[keep], np.flatnonzero(look[keep][:-1])
+        rules += [(c >> 16, c & 0xFFFF) for c in codes[chosen].tolist()]
     return np.array(rules, np.uint16).reshape(-1, 2), seq.astype(np.uint16)
 
 
@@ -274,7 +383,7 @@ class Shard(NamedTuple):
         flat, first = self.expand(used), np.zeros(len(sizes), np.int64)
         first[used] = np.cumsum(sizes[used]) - sizes[used]
         n = sizes[some]
-        out = flat[np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        out = flat[_ranges_at(first[some], n)]
         skip = start - int(stop[i] - n[0])
         return out[skip : skip + end - start]
 
@@ -285,25 +394,24 @@ SHARDS = "part int, shard int, n_docs bigint, n_ids bigint, before bigint, paylo
 def _writer(path: str, end_id: int, shard_ids: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, number = encoder_of(path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], np.uint16).tobytes()
+        end = np.array([end_id], np.uint16)
         docs: list[int | None] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []  # ids and end id of each document
         size, before = 0, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal docs, held, size, number, before
-            counts = np.array([len(x) // 2 for x in held], np.uint32)
-            data = pack(docs, counts, np.frombuffer(b"".join(held), np.uint16), encoder.size)
+            counts = np.array([len(x) + 1 for x in held[::2]], np.uint32)
+            data = pack(docs, counts, np.concatenate(held), encoder.size)
             out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([size], pa.int64()), pa.array([before], pa.int64()), pa.array([data], pa.binary())], names=["part", "shard", "n_docs", "n_ids", "before", "payload"])
             docs, held, size, number, before = [], [], 0, number + 1, before + size
             return out
 
         for batch in batches:
-            for d, text in zip(batch.column(0), batch.column(1), strict=True):
-                x = encoder.encode(text.as_py())
-                docs.append(d.as_py())
-                held.append(x + end)
-                size += len(x) // 2 + 1
+            for d, x in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1)), strict=True):
+                docs.append(d)
+                held += (x, end)
+                size += len(x) + 1
                 if size >= shard_ids:
                     yield flush()
         if docs:

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -389,6 +390,36 @@ def test_pieces_agree_with_the_tokenizer_on_pairs_and_triples():
         assert e.encode(text) == np.array(w.ids, np.uint16).tobytes(), repr(text)
 
 
+def test_texts_encoded_together_agree_with_the_tokenizer(monkeypatch):
+    e, rng = token_store.Encoder(token_store.public_tokenizer(), most=300), np.random.default_rng(5)
+    assert e.parts.exact
+    signs = [*(chr(c) for c in range(0x100)), "\u0100", "\u3000", "\U0001f600", "<|endoftext|>"]
+    words = ["it's", "don'tx", "'s", "a.b,c", "end.", "12ab", "x1,2", "Ünder", "naïve.", "été", "_y_", "\tz", "q\tr", "''", "'ll."] * 6
+    texts = ["", "one", "one.", " lead", "tail\n", "two  gaps", "a\n\nb", "a\nb", "a \nb", "\x00a \x01b", "a\x00 b\x00"]
+    for _ in range(3000):
+        some = [str(rng.choice(words if rng.random() < 0.8 else signs)) for _ in range(rng.integers(1, 12))]
+        texts.append("".join(w + str(rng.choice([" ", " ", " ", "\n", ""])) for w in some)[:-1])
+    want = [t.ids for t in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for size in (64, 5000, token_store.SLICE):
+        monkeypatch.setattr(token_store, "SLICE", size)
+        got = [x.tolist() for x in e.encode_all(pa.array(texts))]
+        assert len(got) == len(texts)
+        for text, g, w in zip(texts, got, want, strict=True):
+            assert g == w, repr(text)
+    assert list(e.encode_all(pa.array([], pa.string()))) == []
+
+
+def test_a_part_is_made_once_for_all_texts(monkeypatch):
+    e, made = token_store.Encoder(token_store.public_tokenizer()), []
+    many = e.parts.many
+    monkeypatch.setattr(e.parts, "many", lambda parts: made.extend(parts) or many(parts))
+    texts = [f"word{k % 7} other, again{k % 5}.\nnext" for k in range(200)]
+    assert [x.tobytes() for x in e.encode_all(pa.array(texts))] == [e.whole(t) for t in texts]
+    assert sorted(made) == sorted(set(made)) and len(made) < 30
+    made.clear()
+    assert len(list(e.encode_all(pa.array(texts)))) == 200 and not made
+
+
 def test_random_access(spark, docs, tmp_path):
     shards = token_store.write_shards(docs, token_store.public_tokenizer(), str(tmp_path / "store"), shard_ids=3000)
     assert spark.read.parquet(str(tmp_path / "store")).count() == shards.count() > 1
@@ -414,6 +445,47 @@ def test_grammar_round_trip():
     assert len(s.symbols) < 400 and len(s.rules) > 0
 
 
+def test_grammar_of_short_shards(spark):
+    for n in range(24):  # also sequences that shrink to a few symbols after a round
+        for x in (np.arange(n), np.tile([1, 2], n), np.tile([1, 2, 3], n)):
+            ids = x.astype(np.uint16)
+            assert (token_store.Shard.read(token_store.pack([7], np.array([len(ids)]), ids, 100)).ids() == ids).all()
+    text = "one two three four five six"
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    n = len(token_store.Encoder(token_store.public_tokenizer()).whole(text)) // 2 + 1
+    assert n == 7 and [(r.start, r.n_tokens) for r in token_store.read_documents(token_store.write_shards(docs, token_store.public_tokenizer())).collect()] == [(0, n)]
+
+
+def test_grammar_agrees_with_counting_every_pair():
+    def plain(seq, vocabulary, least):
+        rules = []
+        while True:
+            count = collections.Counter(zip(seq[:-1], seq[1:], strict=True))
+            left, right, chosen = set(), set(), {}
+            for (a, b), n in sorted(count.items(), key=lambda x: (-x[1], x[0])):
+                free = (a not in right and b not in left) if a != b else a not in left | right
+                if n >= least and free and vocabulary + len(rules) < 1 << 16:
+                    left.add(a)
+                    right.add(b)
+                    chosen[a, b] = vocabulary + len(rules)
+                    rules.append((a, b))
+            if not chosen:
+                return rules, seq
+            out, k = [], 0
+            while k < len(seq):
+                new = chosen.get(tuple(seq[k : k + 2]))
+                out.append(seq[k] if new is None else new)
+                k += 1 if new is None else 2
+            seq = out
+
+    rng = np.random.default_rng(6)
+    for k in range(300):
+        x = np.repeat(rng.integers(0, rng.integers(2, 9), 80), rng.integers(1, 2 + k % 5, 80)).tolist()
+        vocabulary, least = (10, (1 << 16) - 4)[k % 2], (2, 3, 8)[k % 3]
+        rules, seq = token_store.compress(np.array(x, np.uint16), vocabulary, least)
+        assert ([tuple(r) for r in rules.tolist()], seq.tolist()) == plain(x, vocabulary, least)
+
+
 def test_grammar_leaves_no_frequent_pair():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 50_000, 1 << 18).astype(np.uint16)
