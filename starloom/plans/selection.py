@@ -83,7 +83,7 @@ def _(spark, d):
 
 @register("src_metadata_only", "SELECT doc_id, lang, source, 'documents.parquet' AS file FROM documents")
 def _(spark, d):
-    return s.metadata_only(read(spark, d, "documents"), ["doc_id", "lang", "source"]).select("doc_id", "lang", "source", "file")
+    return s.metadata_only(read(spark, d, "documents"), ["doc_id", "lang", "source"], f"{d}/documents.parquet").select("doc_id", "lang", "source", "file")
 
 
 @register("run_skip_if_done", "SELECT *, 1 AS runs FROM region")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from starloom.operators import aggregates as a
 from starloom.operators import models as md
+from starloom.plans import registry
 from starloom.sources import catalogs as s
 from starloom.sources import snapshots as sn
 from starloom.sources.stamps import read_stamps
@@ -60,6 +61,22 @@ def test_compaction_plans_files_from_bytes(spark, tmp_path):
     assert out.count() == 20_000 and files["small"] == 1 and 3 <= files["big"] <= 6
 
 
+@pytest.mark.parametrize("parts", [0, 3])
+def test_light_rows_name_their_table_and_find_their_part(spark, tmp_path, parts):
+    """The table is one file, or a folder of part files."""
+    path, raw = str(tmp_path / "documents.parquet"), str(tmp_path / "raw")
+    t = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("web").alias("source"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    t.repartition(parts or 1).write.parquet(path if parts else raw)
+    if not parts:
+        next((tmp_path / "raw").glob("*.parquet")).rename(path)
+    got = registry.queries()["src_metadata_only"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(i, "en", "web", "documents.parquet") for i in range(40)]
+    light = s.metadata_only(spark.read.parquet(path), ["doc_id"], path)
+    heavy = spark.read.parquet(path).select("text", F.col("_metadata.file_path").alias("part"), F.col("_metadata.row_index").alias("row"))
+    assert light.select("part").distinct().count() == (parts or 1)
+    assert light.join(heavy, ["part", "row"]).where(F.col("text") == F.sha2(F.col("doc_id").cast("string"), 256)).count() == 40
+
+
 def test_stamps_with_fields(spark, tmp_path):
     rows = [(i, i % 3, [float(i), -1.5], None if i == 4 else f"n{i}") for i in range(30)] + [(99, 0, None, "x")]
     df = spark.createDataFrame(rows, "vec_id long, label int, data array<float>, name string").repartition(3)
