@@ -7,7 +7,7 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -49,10 +49,80 @@ def degrees(tiles: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 
 
 def regions(tiles: DataFrame, key: str, ra: str, dec: str, eps: float) -> DataFrame:
-    """(key, root, region_id) of each tile: contiguous regions numbered by their smallest tile."""
-    edges = adjacency_within(tiles, key, ra, dec, eps).where("a < b")
-    roots = Stored(tiles.sparkSession, "regions").keep(components(tiles.select(key), edges, key))
-    return roots.join(region_ids(roots), "root").select(key, "root", "region_id")
+    """(key, root, region_id) of each tile: contiguous regions numbered by their smallest tile.
+
+    Tiles touch as in ``adjacency_within``, whose pairs grow with the square
+    of the density and are not made here: all tiles of a cell half of eps
+    wide touch, so regions are those of the cells. A tile without a position is a region.
+    """
+    stored = Stored(tiles.sparkSession, "regions")
+    if eps > 45:  # a distance between cells would go both ways around
+        roots = stored.keep(components(tiles.select(key), adjacency_within(tiles, key, ra, dec, eps).where("a < b"), key))
+        return roots.join(region_ids(roots), "root").select(key, "root", "region_id")
+    n, x, y = math.ceil(720 / eps), F.pmod(F.col(ra).cast("double"), F.lit(360.0)), F.col(dec).cast("double")
+    x, known = F.when(x < 360, x).when(x < math.inf, 0.0), (x < math.inf) & (F.abs(y) < math.inf)
+    cell = [F.when(known, F.least(F.floor(x * n / 360), F.lit(n - 1))).alias("_x"), F.when(known, F.floor(y * 2 / eps)).alias("_y")]
+    t = stored.keep(tiles.select(key, x.alias("_ra"), y.alias("_dec"), *cell))
+    placed, alone = t.where("_x IS NOT NULL"), t.where("_x IS NULL").select(F.col(key).alias("_tile"))
+    cells = stored.keep(_cells(placed, key))
+    roots = stored.keep(components(cells.select("_tile").unionAll(alone), _cell_links(cells, stored, n, eps), "_tile"))
+    named = roots.join(region_ids(roots), "root")
+    by_cell = stored.keep(cells.select("_x", "_y", "_n", "_tile").join(named, "_tile").drop("_tile"))
+    out = hot_join(placed, by_cell, ["_x", "_y"], "_n").select(key, "root", "region_id")
+    return out.unionAll(alone.join(named, "_tile").select(F.col("_tile").alias(key), "root", "region_id"))
+
+
+def _cells(placed: DataFrame, key: str) -> DataFrame:
+    """One row for each cell (_x, _y): its smallest tile, its tiles' number and ends, and its staircases.
+
+    A staircase holds the tiles that no other one of the cell beats in both
+    directions, such as ``right_up``: of larger ra and dec. They are sorted by ra.
+    """
+    lines = placed.groupBy("_x", "_y", "_ra").agg(F.min(key).alias("_tile"), F.count(F.lit(1)).alias("_n"), F.min("_dec").alias("d0"), F.max("_dec").alias("d1"))
+    before = lambda o: Window.partitionBy("_x", "_y").orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+    steps = {}
+    for side, o in (("left", F.asc("_ra")), ("right", F.desc("_ra"))):
+        low, high = F.min("d0").over(before(o)), F.max("d1").over(before(o))
+        steps |= {f"{side}_down": F.when(low.isNull() | (F.col("d0") < low), F.struct(F.col("_ra").alias("ra"), F.col("d0").alias("dec")))}
+        steps |= {f"{side}_up": F.when(high.isNull() | (F.col("d1") > high), F.struct(F.col("_ra").alias("ra"), F.col("d1").alias("dec")))}
+    ends = [F.min("_ra").alias("r0"), F.max("_ra").alias("r1"), F.min("d0").alias("d0"), F.max("d1").alias("d1")]
+    return lines.withColumns(steps).groupBy("_x", "_y").agg(F.min("_tile").alias("_tile"), F.sum("_n").alias("_n"), *ends, *[F.array_sort(F.collect_list(s)).alias(s) for s in steps])
+
+
+def _cell_links(cells: DataFrame, stored: Stored, n: int, eps: float) -> DataFrame:
+    """(a, b): smallest tiles of two cells, of n around, that hold touching tiles; each pair of cells once.
+
+    Such cells are at most three apart. Their nearest ends say no, or with the
+    farthest ends of one direction yes; else the staircases that face each
+    other are compared. Rounding keeps the order of differences, so all is as exact as comparing tiles.
+    """
+    gap = lambda p, q: F.abs(p - q)
+    close_ra = lambda p, q: F.least(gap(p, q), 360 - gap(p, q)) <= eps
+    close_dec = lambda p, q: gap(p, q) <= eps
+    c = F.col
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k")) for i in range(4) for k in range(-3, 4) if i or k > 0])
+    ends = cells.select("_x", "_y", "_tile", "r0", "r1", "d0", "d1")
+    a = ends.select("*", F.explode(steps).alias("s")).withColumn("x2", F.pmod(c("_x") + c("s.i"), F.lit(n).cast("long"))).withColumn("y2", c("_y") + c("s.k"))
+    b = ends.select(*[c(o).alias(w) for o, w in zip(ends.columns, ("x2", "y2", "b", "br0", "br1", "bd0", "bd1"), strict=True)])
+    i, k = c("s.i"), c("s.k")
+    near = ((i == 0) | close_ra(c("r1"), c("br0"))) & F.when(k == 0, True).when(k > 0, close_dec(c("d1"), c("bd0"))).otherwise(close_dec(c("d0"), c("bd1")))
+    sure = (i == 0) | (k == 0) | close_ra(c("r0"), c("br1")) | F.when(k > 0, close_dec(c("d0"), c("bd1"))).otherwise(close_dec(c("d1"), c("bd0")))
+    pairs = stored.keep(a.join(b, ["x2", "y2"]).where(near).select("_x", "_y", "x2", "y2", c("_tile").alias("a"), "b", (k > 0).alias("up"), sure.alias("sure")))
+
+    def touch(p, q):
+        """q's tiles in reach of one of p in ra are its first ones; the last of these is the nearest in dec. Their number is found bit by bit."""
+        bits = F.array(*[F.lit(1 << s) for s in range(30, -1, -1)])
+
+        def reached(u):
+            return F.aggregate(bits, F.lit(0), lambda m, s: F.when(close_ra(u["ra"], F.get(q, m + s - 1)["ra"]), m + s).otherwise(m))
+
+        return F.exists(p, lambda u: F.coalesce(close_dec(u["dec"], F.get(q, reached(u) - 1)["dec"]), F.lit(False)))
+
+    right = cells.select("_x", "_y", "right_up", "right_down")
+    left = cells.select(c("_x").alias("x2"), c("_y").alias("y2"), "left_up", "left_down")
+    faced = pairs.where("NOT sure").join(right, ["_x", "_y"]).join(left, ["x2", "y2"])
+    faced = faced.select("a", "b", F.when(c("up"), c("right_up")).otherwise(c("right_down")).alias("p"), F.when(c("up"), c("left_down")).otherwise(c("left_up")).alias("q"))
+    return pairs.where("sure").select("a", "b").unionAll(faced.where(touch(c("p"), c("q"))).select("a", "b"))
 
 
 def high_density_regions(tiles: DataFrame, key: str, density: str, ra: str, dec: str, eps: float, share: float = 0.9, accuracy: int | None = None) -> DataFrame:

@@ -106,6 +106,62 @@ def test_long_chain_and_hub(spark, caplog):
     assert got.where("root = 7").count() == 20_001 and got.where("root = node").count() == 10
 
 
+def touching(p, q, eps):
+    gap = abs(p[0] - q[0])
+    return min(gap, 360 - gap) <= eps and abs(p[1] - q[1]) <= eps
+
+
+def all_pairs_regions(places, eps):
+    up = list(range(len(places)))
+    for i, p in enumerate(places):
+        for k in range(i):
+            if up[i] != up[k] and touching(p, places[k], eps):
+                new, old = sorted((up[i], up[k]))
+                up = [new if r == old else r for r in up]
+    ids = {r: n + 1 for n, r in enumerate(sorted(set(up)))}
+    return [(i, r, ids[r]) for i, r in enumerate(up)]
+
+
+def field(kind, eps, rng):
+    if kind == "even":
+        side = eps * math.sqrt(300)
+        out = [(rng.uniform(-side, side) / 2, rng.uniform(-side, side) / 2) for _ in range(300)]
+    elif kind == "grid":  # many tiles at eps from each other, which rounding puts on either side
+        out = [(rng.randrange(60) * eps / 4, rng.randrange(40) * eps / 4) for _ in range(300)]
+    else:  # diagonal clumps, whose corners decide
+        out = []
+        for _ in range(15):
+            x, y, slope = rng.uniform(-8, 8) * eps, rng.uniform(-8, 8) * eps, rng.choice([-1, 1])
+            out += [(x + u, y + slope * u + rng.uniform(0, 0.05) * eps) for u in [rng.uniform(-1, 1) * eps for _ in range(20)]]
+    return [(round(x, 3) % 360, round(y, 3)) for x, y in out]
+
+
+@pytest.mark.parametrize(("kind", "eps"), [("even", 2.0), ("even", 0.7), ("grid", 2.0), ("grid", 0.1), ("clumps", 2.0), ("clumps", 30.0), ("even", 100.0)])
+def test_regions_are_those_of_all_pairs(spark, kind, eps):
+    for seed in range(2):
+        places = field(kind, eps, random.Random(f"{kind} {eps} {seed}"))
+        t = spark.createDataFrame([(i, *p) for i, p in enumerate([*places, (None, 1.0), (2.0, math.nan)])], "tile long, ra double, dec double")
+        want = all_pairs_regions(places, eps)
+        n, most = len(places), max(r[2] for r in want)
+        got = rg.regions(t, "tile", "ra", "dec", eps)
+        assert got.columns == ["tile", "root", "region_id"]
+        assert sorted(map(tuple, got.collect())) == [*want, (n, n, most + 1), (n + 1, n + 1, most + 2)]
+
+
+def test_two_tiles_a_rounding_beyond_eps(spark):
+    k = next(k for k in range(100_000) if (k + 2000) / 1000 - k / 1000 > 2)
+    t = spark.createDataFrame([(1, k / 1000, 0.0), (2, (k + 2000) / 1000, 0.0)], "tile long, ra double, dec double")
+    assert sorted(map(tuple, rg.regions(t, "tile", "ra", "dec", 2.0).collect())) == [(1, 1, 1), (2, 2, 2)]
+
+
+def test_a_crowd_is_one_region_without_its_pairs(spark):
+    n = 100_000  # five billion pairs touch
+    t = spark.range(n).select((n - F.col("id")).alias("tile"), (F.col("id") * 7919 % n / n).alias("ra"), (F.col("id") / n).alias("dec"))
+    t = t.unionAll(spark.createDataFrame([(0, 359.5, 0.5), (n + 7, 3.5, 0.5)], "tile long, ra double, dec double"))
+    got = rg.regions(t, "tile", "ra", "dec", 2.0)
+    assert got.where("root = 0 AND region_id = 1").count() == n + 1 and got.where("root <> 0").collect() == [(n + 7, n + 7, 2)]
+
+
 def test_components_of_texts_and_of_nothing(spark):
     nodes = spark.createDataFrame([("b",), ("a",), ("é",), ("Z",)], "node string")
     edges = spark.createDataFrame([("é", "b"), ("b", "a"), ("a", "a")], "a string, b string")
